@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, secrets
+from . import bpe, mixing, quality, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_secret_scan": secrets.op3,
+    "op5_quality_classifier": quality.op5,
+    "op7_byte_bpe": bpe.op7,
     "op8_source_mixing": mixing.op8,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op5_quality_classifier": quality.op5,
+    "op7_byte_bpe": bpe.op7,
     "op8_source_mixing": mixing.ORACLE,
 }
