@@ -1,7 +1,7 @@
 """Quality classifier by positive-unlabelled learning with the non-negative risk estimator.
 
 Trusted positives are reviewed good texts; all other text is unlabelled, a mixture of good and poor in an
-unknown proportion. A linear model on byte-class statistics is fitted by minimising
+unknown proportion. A small net on byte-class statistics is fitted by minimising
 ``prior * R_p(+) + max(0, R_u(-) - prior * R_p(-))``; where the second part would turn negative (the model
 starts to fit single positives) the step goes back along it, as in non-negative risk minimisation. The
 class prior is estimated from the same scores: over all documents, the share of unlabelled text in the
@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Workspace, crc_mod, small_batches, table
@@ -116,21 +116,52 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def fit_nnpu(p: np.ndarray, u: np.ndarray, prior: float, *, steps: int = 600, rate: float = 0.05, decay: float = 1e-4) -> np.ndarray:
-    """Weights (bias last) that minimise the non-negative risk with the logistic loss, by full-batch Adam."""
-    p, u = np.c_[p, np.ones(len(p))], np.c_[u, np.ones(len(u))]
-    w = np.zeros(p.shape[1])
-    m, v = np.zeros_like(w), np.zeros_like(w)
+class Net:
+    """One hidden layer of rectified units and a logistic output."""
+
+    def __init__(self, inputs: int, hidden: int, rng: np.random.Generator) -> None:
+        self.a, self.b = rng.normal(0, np.sqrt(2 / inputs), (inputs, hidden)), np.zeros(hidden)
+        self.c, self.d = rng.normal(0, np.sqrt(1 / hidden), hidden), np.zeros(1)
+
+    def parts(self) -> list[np.ndarray]:
+        return [self.a, self.b, self.c, self.d]
+
+    def raw(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        h = np.maximum(x @ self.a + self.b, 0)
+        return h, h @ self.c + self.d[0]
+
+    def slopes(self, x: np.ndarray, h: np.ndarray, g: np.ndarray) -> list[np.ndarray]:
+        """Slopes of all parts where ``g`` is the slope of the risk by each row's output."""
+        back = np.outer(g, self.c) * (h > 0)
+        return [x.T @ back, back.sum(axis=0), h.T @ g, np.array([g.sum()])]
+
+
+def fit_nnpu(p: np.ndarray, u: np.ndarray, prior: float, *, hidden: int = 32, steps: int = 2500, batch: int = 256, rate: float = 2e-3, decay: float = 1e-3, seed: int = 7) -> Net:
+    """A small net that minimises the non-negative risk with the logistic loss by Adam on mixed batches."""
+    rng = np.random.default_rng(seed)
+    net = Net(p.shape[1], hidden, rng)
+    m, v = [np.zeros_like(w) for w in net.parts()], [np.zeros_like(w) for w in net.parts()]
+    rest = 0.0
     for step in range(1, steps + 1):
-        sp, su = _sigmoid(p @ w), _sigmoid(u @ w)
-        up = -prior * p.T @ (1 - sp) / len(p)  # slope of prior * R_p(+)
-        down = u.T @ su / len(u) - prior * p.T @ sp / len(p)  # slope of R_u(-) - prior * R_p(-)
-        risk = np.log1p(np.exp(np.clip(u @ w, -40, 40))).mean() - prior * np.log1p(np.exp(np.clip(p @ w, -40, 40))).mean()
-        g = up + down if risk >= 0 else -down
-        g = g + decay * w
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    return w
+        xp, xu = p[rng.integers(0, len(p), batch)], u[rng.integers(0, len(u), 2 * batch)]
+        (hp, zp), (hu, zu) = net.raw(xp), net.raw(xu)
+        sp, su = _sigmoid(zp), _sigmoid(zu)
+        # R_u(-) - prior * R_p(-): if that is negative, only step back along it.
+        # One batch is too noisy to tell the sign, so a running mean is used.
+        rest += (0.03 if step > 1 else 1) * (np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean() - rest)
+        gu, gp = su / len(xu), -prior * sp / len(xp)
+        if rest < 0:
+            gu, gp = -gu, -gp
+        else:
+            gp = gp - prior * (1 - sp) / len(xp)
+        both = zip(net.parts(), net.slopes(xp, hp, gp), net.slopes(xu, hu, gu), m, v, strict=True)
+        now = rate * (0.1 if step > 0.8 * steps else 1)
+        for w, g1, g2, mi, vi in both:
+            g = g1 + g2 + decay * w
+            mi += 0.1 * (g - mi)
+            vi += 0.001 * (g * g - vi)
+            w -= now * (mi / (1 - 0.9**step)) / (np.sqrt(vi / (1 - 0.999**step)) + 1e-8)
+    return net
 
 
 def fit_contrast(p: np.ndarray, u: np.ndarray) -> np.ndarray:
@@ -149,62 +180,69 @@ def fit_contrast(p: np.ndarray, u: np.ndarray) -> np.ndarray:
     return w
 
 
-def prior_from(pos: np.ndarray, unl: np.ndarray, least: float = 0.2) -> float:
+def prior_from(pos: np.ndarray, unl: np.ndarray, least: float = 0.5) -> float:
     """Share of positives in unlabelled text from counts by score bin, highest score first.
 
     If the top region held positives only, its unlabelled share over its positive share were the prior;
-    the least ratio (with a margin for small counts) over regions with enough positives is taken.
+    the least ratio over regions with enough positives is taken.
     """
     p, u = np.cumsum(pos[::-1]), np.cumsum(unl[::-1])
     if not p[-1] or not u[-1]:
         return 0.5
     fp, fu = p / p[-1], u / u[-1]
-    margin = np.sqrt(np.log(40) / (2 * p[-1])) + np.sqrt(np.log(40) / (2 * u[-1]))
     ok = fp >= least
-    return float(np.clip(((fu[ok] + margin) / fp[ok]).min(), 0.05, 0.98))
+    return float(np.clip((fu[ok] / fp[ok]).min(), 0.05, 0.98))
 
 
 class Model:
-    """A fitted classifier."""
+    """A fitted classifier; without a net every score is 0."""
 
-    def __init__(self, mean: np.ndarray, spread: np.ndarray, w: np.ndarray | None, prior: float) -> None:
-        self.mean, self.spread, self.w, self.prior = mean, spread, w, prior
+    def __init__(self, mean: np.ndarray, spread: np.ndarray, net: Net | None, prior: float) -> None:
+        self.mean, self.spread, self.net, self.prior = mean, spread, net, prior
 
     def scaled(self, x: np.ndarray) -> np.ndarray:
         return np.clip((x - self.mean) / self.spread, -8, 8)
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        if self.w is None:
-            return np.zeros(len(x))
-        return _sigmoid(self.scaled(x) @ self.w[:-1] + self.w[-1])
+        return _sigmoid(self.net.raw(self.scaled(x))[1]) if self.net and len(x) else np.zeros(len(x))
+
+
+def _half() -> Column:
+    """Documents whose counts give the prior; the other half fits the first model, so that it isn't flattered."""
+    return F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2)) == 1
 
 
-def _sample(rows: DataFrame, n: int) -> np.ndarray:
-    got = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "x").limit(n).select("x").toArrow().column("x")
-    return _matrix(got.combine_chunks()) if len(got) else np.zeros((0, N_FEATURES))
+def _sample(rows: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Features of the ``n`` rows with the smallest hashes, and which half they are of."""
+    got = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "x").limit(n).select("x", _half().alias("half")).toArrow().combine_chunks()
+    if not len(got):
+        return np.zeros((0, N_FEATURES)), np.zeros(0, dtype=bool)
+    return _matrix(got.column("x")), np.array(got.column("half").to_pylist(), dtype=bool)
 
 
 def train(feats: DataFrame) -> Model:
     """Fit on rows with ``doc_id``, ``held_out``, ``good`` (1 for trusted positives, else null) and features ``x``."""
     mean, spread = _moments(feats)
     part = feats.where(~F.col("held_out"))
-    p, u = _sample(part.where("good = 1"), MAX_POSITIVE), _sample(part.where("good IS NULL"), MAX_UNLABELLED)
+    (p, p_half), (u, u_half) = _sample(part.where("good = 1"), MAX_POSITIVE), _sample(part.where("good IS NULL"), MAX_UNLABELLED)
     model = Model(mean, spread, None, 0.5)
     if not len(p) or not len(u):
         return model
     p, u = model.scaled(p), model.scaled(u)
-    first = Model(mean, spread, fit_contrast(p, u), 0.5)
+    own = len(p) > p_half.sum() and len(u) > u_half.sum()
+    first = fit_contrast(p[~p_half], u[~u_half]) if own else fit_contrast(p, u)
 
     def bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pos, unl = np.zeros(BINS, dtype=np.int64), np.zeros(BINS, dtype=np.int64)
         for b in batches:
-            at = np.minimum((first.score(_matrix(b.column("x"))) * BINS).astype(int), BINS - 1)
+            x = model.scaled(_matrix(b.column("x")))
+            at = np.minimum((_sigmoid(x @ first[:-1] + first[-1]) * BINS).astype(int), BINS - 1)
             good = np.array([g == 1 for g in b.column("good").to_pylist()], dtype=bool)
             pos += np.bincount(at[good], minlength=BINS)
             unl += np.bincount(at[~good], minlength=BINS)
         yield pa.RecordBatch.from_arrays([pa.array(range(BINS), pa.int32()), pa.array(pos), pa.array(unl)], names=["bin", "pos", "unl"])
 
-    counts = part.select("good", "x").mapInArrow(bins, "bin int, pos long, unl long").groupBy("bin").agg(F.sum("pos").alias("pos"), F.sum("unl").alias("unl")).orderBy("bin").collect()
+    counts = part.where(_half() | F.lit(not own)).select("good", "x").mapInArrow(bins, "bin int, pos long, unl long").groupBy("bin").agg(F.sum("pos").alias("pos"), F.sum("unl").alias("unl")).orderBy("bin").collect()
     prior = prior_from(np.array([r["pos"] for r in counts]), np.array([r["unl"] for r in counts]))
     return Model(mean, spread, fit_nnpu(p, u, prior), prior)
 
