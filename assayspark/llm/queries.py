@@ -6,17 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, mixing, quality, secrets
+from . import bpe, langid, mixing, quality, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_secret_scan": secrets.op3,
     "op5_quality_classifier": quality.op5,
+    "op6_language_id": langid.op6,
     "op7_byte_bpe": bpe.op7,
     "op8_source_mixing": mixing.op8,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op5_quality_classifier": quality.op5,
+    "op6_language_id": langid.op6,
     "op7_byte_bpe": bpe.op7,
     "op8_source_mixing": mixing.ORACLE,
 }
