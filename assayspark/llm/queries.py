@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, mixing, quality, secrets
+from . import bpe, langid, mixing, quality, secrets, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_secret_scan": secrets.op3,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_language_id": langid.op6,
     "op7_byte_bpe": bpe.op7,
     "op8_source_mixing": mixing.op8,
+    "op10_substring_dedup": substring_dedup.op10,
 }
 
 ORACLE_SQL: dict[str, str] = {
