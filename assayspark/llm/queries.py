@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, mixing, quality, secrets, substring_dedup
+from . import bpe, langid, minhash_dedup, mixing, quality, secrets, substring_dedup, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_minhash_dedup": minhash_dedup.op1,
     "op3_secret_scan": secrets.op3,
+    "op4_suffix_dedup": suffix_dedup.op4,
     "op5_quality_classifier": quality.op5,
     "op6_language_id": langid.op6,
     "op7_byte_bpe": bpe.op7,
@@ -21,5 +23,6 @@ ORACLE_SQL: dict[str, str] = {
     "op5_quality_classifier": quality.op5,
     "op6_language_id": langid.op6,
     "op7_byte_bpe": bpe.op7,
+    "op1_minhash_dedup": minhash_dedup.ORACLE,
     "op8_source_mixing": mixing.ORACLE,
 }
