@@ -6,16 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, minhash_dedup, mixing, quality, secrets, substring_dedup, suffix_dedup
+from . import bpe, embedding_dedup, langid, minhash_dedup, mixing, nearest, quality, secrets, substring_dedup, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": minhash_dedup.op1,
+    "op2_vantage_point_search": nearest.op2,
     "op3_secret_scan": secrets.op3,
     "op4_suffix_dedup": suffix_dedup.op4,
     "op5_quality_classifier": quality.op5,
     "op6_language_id": langid.op6,
     "op7_byte_bpe": bpe.op7,
     "op8_source_mixing": mixing.op8,
+    "op9_embedding_dedup": embedding_dedup.op9,
     "op10_substring_dedup": substring_dedup.op10,
 }
 
@@ -25,4 +27,5 @@ ORACLE_SQL: dict[str, str] = {
     "op7_byte_bpe": bpe.op7,
     "op1_minhash_dedup": minhash_dedup.ORACLE,
     "op8_source_mixing": mixing.ORACLE,
+    "op9_embedding_dedup": embedding_dedup.ORACLE,
 }
