@@ -200,6 +200,21 @@ def round_trip(docs: DataFrame, codec: Codec) -> DataFrame:
     return _run(docs, codec, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, n_split long", _Digest())
 
 
+class _Checked(_Digest):
+    names = ("ids", "n_tokens", "ids_sha256", "decoded_sha256")
+    kinds = (pa.list_(pa.int32()), pa.int64(), pa.string(), pa.string())
+
+    def __call__(self, codec: Codec, text: str, ids: np.ndarray) -> tuple:
+        back = codec.decode(ids)
+        return ids.astype(np.int32), len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(back).hexdigest()
+
+
+def encode_checked(docs: DataFrame, codec: Codec) -> DataFrame:
+    """``doc_id``, token ``ids``, their number, and digests of the ids and of the decoded bytes."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return _run(docs, codec, f"doc_id {kind}, ids array<int>, n_tokens long, ids_sha256 string, decoded_sha256 string", _Checked())
+
+
 def public_codec() -> Codec:
     """The 50k byte-level vocabulary of the installed public tokenizers."""
     import public_tokenizers

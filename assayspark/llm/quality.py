@@ -247,18 +247,41 @@ def train(feats: DataFrame) -> Model:
     return Model(mean, spread, fit_nnpu(p, u, prior), prior)
 
 
-def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``doc_id``, ``held_out``, ``score``, ``predicted`` and the texts' other columns but the text."""
-    ws = Workspace(docs.sparkSession, "quality")
+def _marked(feats: DataFrame, labels: DataFrame) -> DataFrame:
+    """Features with what may be learned from: ``held_out``, and ``good`` for trusted positives of the training part."""
     good = (
         labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
         .groupBy(F.col("doc_id").alias("label_id")).agg(F.min("quality").alias("good")).where("good = 1")
     )
-    feats = ws.save(_features_table(docs.select("doc_id", "text")), "features")
     held = F.coalesce(crc_mod(F.col("doc_id"), 4) == 2, F.lit(True))
     marked = feats.join(good, F.col("doc_id") == F.col("label_id"), "left").drop("label_id").withColumn("held_out", held)
-    marked = marked.withColumn("good", F.when(~F.col("held_out"), F.col("good").cast("int")))
-    model = train(marked)
+    return marked.withColumn("good", F.when(~F.col("held_out"), F.col("good").cast("int")))
+
+
+def learn(docs: DataFrame, labels: DataFrame) -> Model:
+    """Fit the classifier on ``docs``; the features of all documents are written to the shared folder meanwhile."""
+    ws = Workspace(docs.sparkSession, "quality")
+    model = train(_marked(ws.save(_features_table(docs.select("doc_id", "text")), "features"), labels))
+    ws.drop("features")
+    return model
+
+
+def accepted(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs``, with all columns, whose text scores THRESHOLD or more."""
+    small_batches(docs.sparkSession)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(model.score(features(b.column("text").to_pylist())) >= THRESHOLD))
+
+    return docs.mapInArrow(work, docs.schema)
+
+
+def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``doc_id``, ``held_out``, ``score`` and ``predicted`` of every document."""
+    ws = Workspace(docs.sparkSession, "quality")
+    feats = ws.save(_features_table(docs.select("doc_id", "text")), "features")
+    model = train(_marked(feats, labels))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,6 +290,7 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
     scored = feats.mapInArrow(work, f"doc_id {kind}, score double, predicted int")
+    held = F.coalesce(crc_mod(F.col("doc_id"), 4) == 2, F.lit(True))
     return scored.select("doc_id", held.alias("held_out"), "score", "predicted")
 
 
