@@ -126,10 +126,14 @@ def redact(text: Column, found: Column, mark: str = "[SECRET]") -> Column:
     return F.when(F.size(found) > 0, done).otherwise(text)
 
 
+def _count(order: int) -> Column:
+    """Number of spans of one rule."""
+    return F.size(F.filter("found", lambda x: x["ord"] == order)).cast("long").alias(f"n_{RULES[order][0]}")
+
+
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     ledger = f"{Workspace(spark, 'secrets').root}/ledger"
     scan(docs, ledger)
     out = findings(docs, ledger).withColumn("spans", digest(F.col("found")))
-    count = [F.size(F.filter("found", lambda x, k=k: x["ord"] == k)).cast("long").alias(f"n_{r[0]}") for k, r in enumerate(RULES)]
-    return out.select("doc_id", *count, F.sha2("spans", 256).alias("base_sha256"), "spans")
+    return out.select("doc_id", *[_count(k) for k in range(len(RULES))], F.sha2("spans", 256).alias("base_sha256"), "spans")
