@@ -24,6 +24,9 @@ from .common import Workspace, shuffle_partitions, small_batches
 
 #: Kinds of packed rows.
 POST, MARK = 0, 1
+#: Bytes of an anchor's hash that are kept besides its bucket. Two different anchors of a bucket that agree
+#: in them only cost a needless exact comparison; buckets grow in number with the data, not in size.
+KEPT_BYTES = 5
 PACKED = "kind int, key int, data binary"
 NAMES = ["kind", "key", "data"]
 
@@ -78,8 +81,8 @@ class Plan:
 
     def __init__(self, docs: DataFrame) -> None:
         parts = shuffle_partitions(docs.sparkSession)
-        self.buckets = 8 * parts
-        self.doc_buckets = 8 * parts
+        self.buckets = parts
+        self.doc_buckets = parts
 
 
 def encoded(batch: pa.RecordBatch) -> tuple[np.ndarray, list[bytes]]:
@@ -110,21 +113,22 @@ def post(docs: DataFrame, plan: Plan, anchors: Callable[[bytes], tuple[np.ndarra
             twice[order] = ~(first & np.r_[first[1:], True]) if len(h) else False
             out = dealt(MARK, doc[twice] % plan.doc_buckets, doc[twice], pos[twice])
             one = ~again
-            out += dealt(POST, (h[one] % np.uint64(plan.buckets)).astype(np.int64), h[one] // np.uint64(plan.buckets) & np.uint64((1 << 56) - 1), doc[one], pos[one])
+            out += dealt(POST, (h[one] % np.uint64(plan.buckets)).astype(np.int64), h[one] // np.uint64(plan.buckets) & np.uint64((1 << 8 * KEPT_BYTES) - 1), doc[one], pos[one])
             yield rows([(k, key, squeeze(data)) if k == POST else (k, key, data) for k, key, data in out])
 
     return docs.mapInArrow(work, PACKED)
 
 
 def squeeze(data: bytes) -> bytes:
-    """Drop the empty highest plane of the hashes (56 bits are kept)."""
+    """Drop the empty highest planes of the hashes."""
     n = int(np.frombuffer(data[:8], dtype="<i8")[0])
-    return data[: 8 + 7 * n] + data[8 + 8 * n :]
+    return data[: 8 + KEPT_BYTES * n] + data[8 + 8 * n :]
 
 
 def widen(data: bytes) -> bytes:
+    """Undo :func:`squeeze`."""
     n = int(np.frombuffer(data[:8], dtype="<i8")[0])
-    return data[: 8 + 7 * n] + bytes(n) + data[8 + 7 * n :]
+    return data[: 8 + KEPT_BYTES * n] + bytes((8 - KEPT_BYTES) * n) + data[8 + KEPT_BYTES * n :]
 
 
 def by_bucket(batches: Iterator[pa.RecordBatch], kind: int) -> Iterator[tuple[int, list[bytes]]]:
@@ -217,5 +221,9 @@ def prepared(docs: DataFrame) -> DataFrame:
 
 
 def saved(docs: DataFrame, marks: DataFrame, name: str) -> DataFrame:
-    """Write marks to the shared folder: what was shuffled to find them can then be dropped."""
-    return Workspace(docs.sparkSession, name).save(marks, "marks")
+    """Write marks to the shared folder; what was shuffled to find them is dropped before texts move again."""
+    ws = Workspace(docs.sparkSession, name)
+    out = ws.save(marks, "marks")
+    del marks
+    ws.release()
+    return out

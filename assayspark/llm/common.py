@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import shutil
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -49,6 +51,13 @@ class Workspace:
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def release(self) -> None:
+        """Let Spark's cleaner remove the shuffle files of plans that nothing refers to any more; it waits for a collection."""
+        for _ in range(2):  # what the first one frees holds what the second one frees
+            gc.collect()
+            self.spark._jvm.System.gc()
+            time.sleep(0.3)
+
     def drop(self, *names: str) -> None:
         """Remove tables that no later step reads."""
         jvm = self.spark._jvm

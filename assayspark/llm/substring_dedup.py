@@ -6,7 +6,7 @@ of the cover, so of any two equal windows, wherever they start, some pair of ali
 ``PERIOD - 1`` words in is in the cover on both sides: equal windows always share an anchor. Where anchors
 repeat, all windows that hold them are extended to full length and compared as such.
 
-Windows are compared by 120 hash bits (56 and the bucket for anchors, 64 more and the bucket for windows).
+Windows are compared by their full 64-bit hashes; anchors only say which windows to compare.
 
 Defined cases: null text has no words; null doc_id takes no part and loses nothing; a row that stands
 twice with one doc_id is one document (nothing is removed from it on account of its copy); texts shorter
