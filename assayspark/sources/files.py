@@ -46,14 +46,14 @@ def tree(files: DataFrame) -> DataFrame:
 
 def page_texts(spark: SparkSession, root: str, pages: list[int] | None = None) -> DataFrame:
     """``doc_id``, ``page_num``, ``text`` of page files ``<doc>/pages/page_NNNN.txt``."""
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(root).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    raw = spark.read.option("recursiveFileLookup", True).text(root, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
     out = raw.select(F.regexp_extract("path", r"([^/]+)/pages/page_\d+\.txt$", 1).alias("doc_id"), F.regexp_extract("path", r"page_(\d+)\.txt$", 1).try_cast("int").alias("page_num"), "text").where("page_num IS NOT NULL")
     return out if pages is None else out.where(F.col("page_num").isin(pages))
 
 
 def wiki(spark: SparkSession, root: str, most: int = WIKI_BYTES) -> DataFrame:
     """``id``, ``kind``, ``path``, ``size``, ``text`` of wiki files; larger ones are left out."""
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(root)
+    raw = spark.read.option("recursiveFileLookup", True).text(root, wholetext=True)
     m = raw.select(F.col("_metadata.file_path").alias("p"), F.col("_metadata.file_size").alias("size"), F.col("value").alias("text")).where(F.col("size") <= most)
     kind = F.regexp_extract("p", r"/(summaries|sources|concepts)/[^/]+\.(?:md|json)$", 1)
     return m.select(F.regexp_extract("p", r"/([^/]+)\.(?:md|json)$", 1).alias("id"), kind.alias("kind"), relative(F.col("p"), root).alias("path"), "size", "text").where("kind != ''")
