@@ -10,9 +10,10 @@ stay out of the merge unless they make up most of a document.
 
 Within a merged list no pairs are written out. First each document is compared with one pivot, the
 document that most of its lists begin with. Then lists that still hold several components are gone
-through in blocks: documents outside of a list's main component against the others, collisions counted
-over whole signatures, only pairs above the match threshold leave the task. All of these are confirmed on
-the full sets; links within one component can't change it and need no look.
+through in blocks, those with one main component together: documents outside of the main component
+against all others, collisions counted over whole signatures. Documents with a pair above the match
+threshold get their full sets and the blocks are gone through again; only confirmed links leave the task.
+Links within one component can't change it and need no look.
 
 Defined cases: null or empty text, or one without words: no shingles, linked with nothing; fewer than five
 words: the whole sequence is the one shingle; null doc_id: linked with nothing, component null, kept;
@@ -161,61 +162,99 @@ def _pivots(prefix: DataFrame) -> DataFrame:
     return best.select("a", F.col("doc").alias("b"))
 
 
-def _left_over(prefix: DataFrame, comp: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs above the match threshold that share a list and are in different components."""
+def _members(prefix: DataFrame, comp: DataFrame) -> DataFrame:
+    """``main``, ``doc``, ``comp``: documents of lists that hold several components, lists of one main component as one."""
     g = prefix.join(comp, prefix.doc == comp.node, "left").select("token", "doc", F.coalesce("component", "doc").alias("comp"))
     counts = g.groupBy("token", "comp").agg(F.count("*").alias("n"))
     lists = counts.groupBy("token").agg(F.sum("n").alias("all"), F.max("n").alias("main_n"), F.max_by("comp", F.struct("n", -F.col("comp"))).alias("main"))
-    lists = lists.where(F.col("main_n") < F.col("all"))
-    lists = lists.withColumn("blocks", F.ceil((F.col("all") - F.col("main_n")) / BLOCK).cast("int")).withColumn("runs", F.ceil(F.col("all") / RUN).cast("int"))
-    held = g.join(lists, "token").join(classes.select(F.col("doc").alias("d"), "n", "sig"), F.col("doc") == F.col("d"))
+    return g.join(lists.where(F.col("main_n") < F.col("all")).select("token", "main"), "token").select("main", "doc", "comp").distinct()
+
+
+def _blocks(members: DataFrame) -> DataFrame:
+    """Rows of members dealt out by ``main``, ``block`` and ``run``: side 0 those outside of the main component, side 1 all."""
+    outside = F.col("comp") != F.col("main")
+    sizes = members.groupBy("main").agg(F.count("*").alias("all"), F.count_if(outside).alias("out")).where("out > 0")
+    sizes = sizes.select("main", F.ceil(F.col("out") / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("all") / RUN).cast("int").alias("runs"))
+    held = members.join(sizes, "main").withColumn("outside", outside)
     block, run = F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"), F.pmod(F.xxhash64(F.lit(1), "doc"), F.col("runs")).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    kept = ["token", "block", "run", "side", "doc", "comp", "outside", "n", "sig"]
-    held = held.withColumn("outside", F.col("comp") != F.col("main"))
-    blocks = held.where("outside").withColumn("block", block).withColumn("run", every("runs")).withColumn("side", F.lit(0)).select(kept)
-    runs = held.withColumn("run", run).withColumn("block", every("blocks")).withColumn("side", F.lit(1)).select(kept)
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, rows, stacked = None, [], None
-        for b in batches:
-            cols = [c.to_pylist() for c in b.columns]
-            keys = list(zip(*cols[:4], strict=True))
-            cuts = [k for k in range(1, len(keys)) if keys[k] != keys[k - 1]]
-            found = ([], [])
-            for lo, hi in zip([0, *cuts], [*cuts, len(keys)], strict=True):
-                if lo == hi:
-                    continue
-                part = (np.array(cols[4][lo:hi]), np.array(cols[5][lo:hi]), np.array(cols[6][lo:hi]), np.array(cols[7][lo:hi]), np.frombuffer(b"".join(cols[8][lo:hi]), dtype=np.int32).reshape(-1, COORDINATES))
-                if keys[lo][:3] != key:
-                    key, rows, stacked = keys[lo][:3], [], None
-                if keys[lo][3] == 0:
-                    rows.append(part)
-                    continue
-                if not rows:
-                    continue
-                if stacked is None:
-                    stacked = [np.concatenate(x) for x in zip(*rows, strict=True)]
+    kept = ["main", "block", "run", "side", "outside", *members.columns[1:]]
+    left = held.where("outside").withColumn("block", block).withColumn("run", every("runs")).withColumn("side", F.lit(0)).select(kept)
+    right = held.withColumn("run", run).withColumn("block", every("blocks")).withColumn("side", F.lit(1)).select(kept)
+    return left.unionByName(right).repartition("main", "block", "run").sortWithinPartitions("main", "block", "run", "side").select(kept)
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list]]:
+    """Blocks (side 0) with the parts of the runs (side 1) that they meet, as lists of columns."""
+    key, held, block = None, [], None
+    for b in batches:
+        cols = [c.to_pylist() for c in b.columns]
+        keys = list(zip(*cols[:4], strict=True))
+        cuts = [k for k in range(1, len(keys)) if keys[k] != keys[k - 1]]
+        for lo, hi in zip([0, *cuts], [*cuts, len(keys)], strict=True):
+            if lo == hi:
+                continue
+            part = [np.array(c[lo:hi]) for c in cols[4:8]]
+            part.append(np.frombuffer(b"".join(cols[8][lo:hi]), dtype=np.int32).reshape(-1, COORDINATES))
+            if len(cols) > 9:
+                part.append([np.frombuffer(x, dtype=np.uint64) for x in cols[9][lo:hi]])
+            if keys[lo][:3] != key:
+                key, held, block = keys[lo][:3], [], None
+            if keys[lo][3] == 0:
+                held.append(part)
+            elif held:
+                block = block or [sum(x, []) if isinstance(x[0], list) else np.concatenate(x) for x in zip(*held, strict=True)]
                 for k in range(0, hi - lo, BLOCK):
-                    _compare(stacked, [x[k : k + BLOCK] for x in part], found)
-            yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64())], names=["a", "b"])
-
-    met = blocks.unionByName(runs).repartition("token", "block", "run").sortWithinPartitions("token", "block", "run", "side")
-    return met.select(kept).mapInArrow(work, "a long, b long").distinct()
+                    yield key[0], block, [x[k : k + BLOCK] for x in part]
 
 
-def _compare(one: list[np.ndarray], other: list[np.ndarray], found: tuple[list[int], list[int]]) -> None:
-    """Add the pairs of two blocks that agree in enough coordinates and aren't in one component yet."""
-    (d1, c1, _, n1, s1), (d2, c2, out2, n2, s2) = one, other
+def _close(one: list, other: list) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of two blocks that agree in enough coordinates and aren't in one component yet."""
+    (_, d1, c1, n1, s1), (out2, d2, c2, n2, s2) = one[:5], other[:5]
     small, large = np.minimum(n1[:, None], n2), np.maximum(n1[:, None], n2)
     # Of two documents outside of the main component only the smaller looks for the larger.
-    may = (c1[:, None] != c2) & (100 * small >= THRESHOLD * large) & (~out2 | (d1[:, None] < d2))
-    i, j = np.nonzero(may)
+    i, j = np.nonzero((c1[:, None] != c2) & (100 * small >= THRESHOLD * large) & (~out2 | (d1[:, None] < d2)))
+    hit = np.zeros(len(i), dtype=bool)
     for k in range(0, len(i), 1 << 15):
-        x, y = i[k : k + (1 << 15)], j[k : k + (1 << 15)]
-        hit = (s1[x] == s2[y]).sum(axis=1) >= MATCHES
-        found[0].extend(d1[x[hit]].tolist())
-        found[1].extend(d2[y[hit]].tolist())
+        hit[k : k + (1 << 15)] = (s1[i[k : k + (1 << 15)]] == s2[j[k : k + (1 << 15)]]).sum(axis=1) >= MATCHES
+    return i[hit], j[hit]
+
+
+def _needed(members: DataFrame) -> DataFrame:
+    """``main``, ``doc``: members with some close pair; the pairs themselves don't leave the task."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for main, one, other in _met(batches):
+            i, j = _close(one, other)
+            if len(i):
+                docs = np.unique(np.r_[one[1][i], other[1][j]])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(docs), main)), pa.array(docs)], names=["main", "doc"])
+
+    return _blocks(members).mapInArrow(work, "main long, doc long").distinct()
+
+
+def _linked(members: DataFrame) -> DataFrame:
+    """Links (``a``, ``b``) among close pairs, confirmed on full sets; one for a document and a component of a part suffices."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, one, other in _met(batches):
+            i, j = _close(one, other)
+            left, right = [], []
+            for u in np.unique(i):
+                own, some = one[5][u], j[i == u]
+                sets = [other[5][k] for k in some]
+                flat = np.concatenate(sets)
+                at = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+                sizes = np.array([len(x) for x in sets])
+                both = np.add.reduceat((own[at] == flat).astype(np.int64), np.cumsum(sizes) - sizes)
+                link = some[100 * both >= THRESHOLD * (len(own) + sizes - both)]
+                for k in link[np.unique(other[2][link], return_index=True)[1]] if len(link) else ():
+                    left.append(int(one[1][u]))
+                    right.append(int(other[1][k]))
+            if left:
+                yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+
+    return _blocks(members).mapInArrow(work, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -233,9 +272,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sets = ws.save(_sets(docs, ids), "sets")
     links = ws.save(confirmed(pivots, sets), "links-1")
     comp = ws.save(components(ws, links, "cc-a"), "components-1")
-    more = ws.save(_left_over(prefix, comp, classes), "pairs-2")
-    links = links.union(ws.save(confirmed(more, sets), "links-2"))
-    ws.drop("sets", "pairs-2", "pivots")
+    signs = classes.select(F.col("doc").alias("d"), "n", "sig")
+    members = ws.save(_members(prefix, comp), "members")
+    signed_members = members.join(signs, F.col("doc") == F.col("d")).select("main", "doc", "comp", "n", "sig")
+    needed = ws.save(_needed(signed_members), "needed")
+    full = needed.join(members, ["main", "doc"]).join(signs, F.col("doc") == F.col("d")).drop("n")
+    full = full.join(sets.withColumnRenamed("doc", "s"), F.col("doc") == F.col("s")).select("main", "doc", "comp", "n", "sig", "items")
+    links = links.union(ws.save(_linked(full), "links-2"))
+    ws.drop("sets", "pivots", "members", "needed")
     comp = components(ws, links, "cc-b")
     named = classes.select("set_id", "doc").join(comp, F.col("doc") == F.col("node"), "left").select("set_id", F.coalesce("component", "doc").alias("component"))
     named = ws.save(named, "named")
