@@ -33,7 +33,7 @@ from .vectors import stacked, usable
 K = 20
 EVERY = 20
 #: How much a branch's least distance is stretched before it is compared; 1 is exact.
-FACTOR = 4.0
+FACTOR = 2.0
 SHARD = 8192
 LEAF = 128
 #: Queries that go through a tree together, and queries of a part.
