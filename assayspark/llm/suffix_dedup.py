@@ -5,7 +5,7 @@ be repeated are sorted. Pass 1 finds them without loss: of every 50-byte string
 hash (all of them, if tied) is an anchor, equal strings have equal anchors, and a string whose anchor
 occurs once occurs once. Around anchors that repeat, the stretch of strings that they stand for goes to
 the anchor's bucket; equal strings always meet in one bucket. Each bucket builds the suffix array of its
-stretches by the difference cover modulo 3: the suffixes at positions 1 and 2 modulo 3 are sorted by
+distinct stretches (equal ones count once, for their smallest document) by the difference cover modulo 3: the suffixes at positions 1 and 2 modulo 3 are sorted by
 triples and named, the names are sorted by recursion until they are unique, the remaining suffixes are
 sorted by one byte and a name and merged in, and neighbours in the array are compared on their first 50
 bytes. All steps are whole-array operations; buckets grow in number, not in size, with the corpus.
@@ -32,6 +32,8 @@ LENGTH = 50
 #: Bytes of an anchor; of ``LENGTH - GRAM + 1`` neighbouring ones the least is taken.
 GRAM = 20
 SPAN = LENGTH - GRAM + 1
+#: Bytes of stretches that are sorted together, about.
+SORTED = 1 << 20
 _BYTE = A.mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _POWERS = [pow(0xD6E8FEB86659FD93, 2**k, 1 << 64) for k in range(6)]
 
@@ -179,25 +181,27 @@ def _stretches(plan: A.Plan):  # noqa: ANN202
                     continue
                 raw = text.encode("utf-8", "surrogatepass")
                 h, least = least_grams(np.frombuffer(raw, dtype=np.uint8))
-                for p in np.unique(hits).tolist():
-                    a = max(0, p - SPAN + 1)
-                    own = np.flatnonzero(least[a : p + 1] == h[p])
-                    lo, hi = a + int(own[0]), a + int(own[-1]) + LENGTH
-                    found.setdefault((int(h[p]), raw[lo:hi]), []).append((doc, lo))
+                # Neighbouring strings with one least gram are one stretch.
+                starts = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
+                ends = np.r_[starts[1:], len(least)] - 1 + LENGTH
+                value = least[starts]
+                hit = np.isin(value, h[hits])
+                for v, lo, hi in zip(value[hit].tolist(), starts[hit].tolist(), ends[hit].tolist(), strict=True):
+                    found.setdefault((v, raw[lo:hi]), []).append((doc, lo))
             marks: list[tuple[int, int, int]] = []
-            posts: dict[int, list[tuple[int, int, bytes]]] = {}
+            posts: dict[int, list[tuple[int, int, int, bytes]]] = {}
             for (h, stretch), places in found.items():
                 least_doc = min(places)[0]
                 for doc, lo in places:
                     if doc > least_doc:
                         marks.append((doc, lo, len(stretch)))
                     else:
-                        posts.setdefault(h % plan.buckets, []).append((doc, lo, stretch))
+                        posts.setdefault(h % plan.buckets, []).append((doc, lo, h >> 32, stretch))
             out = _marks(plan, marks)
             for key, own in posts.items():
-                doc, lo, text = zip(*own, strict=True)
+                doc, lo, part, text = zip(*own, strict=True)
                 size = np.array([len(x) for x in text], dtype=np.int32)
-                out.append((A.POST, key, A.pack(np.array(doc, dtype=np.int64), np.array(lo, dtype=np.int32), size) + b"".join(text)))
+                out.append((A.POST, key, A.pack(np.array(doc, dtype=np.int64), np.array(lo, dtype=np.int32), np.array(part, dtype=np.uint32), size) + b"".join(text)))
             if out:
                 yield A.rows(out)
 
@@ -213,29 +217,68 @@ def _marks(plan: A.Plan, marks: list[tuple[int, int, int]]) -> list[tuple[int, i
 
 def _settle(plan: A.Plan):  # noqa: ANN202
     def reduce(held: list[bytes]) -> list[tuple[int, int, bytes]]:
-        parts, texts = [], []
+        parts, kinds, kind, which = [], {}, [], []
         for x in held:
-            doc, lo, size = A.unpack(x, "<i8", "<i4", "<i4")
+            doc, lo, gram, size = A.unpack(x, "<i8", "<i4", "<u4", "<i4")
             parts.append((doc, lo, size))
-            texts.append(np.frombuffer(x, dtype=np.uint8, offset=len(x) - int(size.sum())))
+            at = len(x) - int(size.sum())
+            for g, n in zip(gram.tolist(), size.tolist(), strict=True):
+                text = x[at : at + n]
+                at += n
+                k = kinds.setdefault((g, text), len(kinds))
+                if k == len(kind):
+                    kind.append((g, text))
+                which.append(k)
         doc, lo, size = (np.concatenate(c) for c in zip(*parts, strict=True))
-        raw = np.concatenate(texts)
-        size = size.astype(np.int64)
+        which = np.array(which)
+        least = np.full(len(kind), np.iinfo(np.int64).max)
+        np.minimum.at(least, which, doc)
+        # Equal stretches need no sorting: those of larger documents are covered as a whole.
+        late = doc > least[which]
+        out = A.dealt(A.MARK, doc[late] % plan.doc_buckets, doc[late], lo[late], size[late])
+        # What is left is one stretch of each kind, and only grams with several kinds can hold more.
+        gram = np.array([g for g, _ in kind], dtype=np.int64)
+        _, at, often = np.unique(gram, return_inverse=True, return_counts=True)
+        todo = np.flatnonzero(often[at] > 1)
+        todo = todo[np.argsort(gram[todo], kind="stable")]
+        length = np.array([len(t) for _, t in kind], dtype=np.int64)
+        early, place = np.flatnonzero(~late), np.argsort(which[~late], kind="stable")
+        early = early[place]  # the places of each kind in its first document
+        for some in _portions(gram[todo], length[todo]):
+            some = todo[some]
+            k, a, n = settle(least[some], length[some], np.frombuffer(b"".join(kind[x][1] for x in some), dtype=np.uint8))
+            k = some[k]
+            first, last = np.searchsorted(which[early], k, side="left"), np.searchsorted(which[early], k, side="right")
+            own = early[np.concatenate([np.arange(x, y) for x, y in zip(first, last, strict=True)])] if len(k) else early[:0]
+            a, n = np.repeat(a, last - first), np.repeat(n, last - first)
+            out += A.dealt(A.MARK, doc[own] % plan.doc_buckets, doc[own], (lo[own] + a).astype(np.int32), n.astype(np.int32))
+        return out
+
+    def settle(doc: np.ndarray, size: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Covered runs: which stretch, where in it, how long."""
         start = np.cumsum(size) - size
         covered = repeated_windows(raw, start, size, doc)
         # Neighbouring covered starts of a stretch are one run.
-        head = covered.copy()
+        head, tail = covered.copy(), covered.copy()
         head[1:] &= ~covered[:-1]
-        tail = covered.copy()
         tail[:-1] &= ~covered[1:]
         a, z = np.flatnonzero(head), np.flatnonzero(tail)
         own = np.searchsorted(start, a, side="right") - 1
-        d = doc[own]
-        return A.dealt(A.MARK, d % plan.doc_buckets, d, (lo[own] + a - start[own]).astype(np.int32), (z - a + LENGTH).astype(np.int32))
+        return own, a - start[own], z - a + LENGTH
 
     return reduce
 
 
+def _portions(gram: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
+    """Positions in portions of about SORTED bytes; ``gram`` is sorted, and equal grams stay in one portion."""
+    if not len(gram):
+        return []
+    new = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]])
+    ends = np.cumsum(size)[np.r_[new[1:] - 1, len(gram) - 1]]
+    portion = np.repeat(ends // SORTED, np.diff(np.r_[new, len(gram)]))
+    return np.split(np.arange(len(gram)), np.flatnonzero(portion[1:] != portion[:-1]) + 1)
+
+
 def covered_stretches(docs: DataFrame, plan: A.Plan) -> DataFrame:
     """Packed marks: document, start and size of what strings of smaller documents cover."""
     hits = A.gather(A.post(docs, plan, least_anchors), plan, A.repeated(plan))
