@@ -71,8 +71,7 @@ def page(df: DataFrame, order: Sequence[Column], number: int = 1, size: int = PA
     """One page in the given order (which ends with a key) with the number of all rows as ``total``."""
     size = min(max(size, PAGE_SIZES[0]), PAGE_SIZES[1])
     rows = df.orderBy(*order).offset((max(1, number) - 1) * size).limit(size)
-    total = df.agg(F.count("*").alias("total"))
-    return rows.crossJoin(F.broadcast(total))  # one row
+    return rows.withColumn("total", df.agg(F.count("*")).scalar())
 
 
 def ranked(df: DataFrame, order: Sequence[Column], name: str = "position") -> DataFrame:
