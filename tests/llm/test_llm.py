@@ -1,0 +1,402 @@
+"""Each operator against a brute-force version, and its defined cases: nulls, empties, ties, repeats, extra columns."""
+
+import hashlib
+import math
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from assayspark.llm import bpe, embedding_dedup, langid, minhash_dedup, mixing, nearest, quality, secrets, substring_dedup, suffix_dedup
+from assayspark.llm.common import Workspace, components
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+#: An extra column whose name clashes with one that the operators use inside.
+CLASH = ("kind", "key", "n", "blob", "size", "score", "rank")
+
+
+def corpus(seed=1, n=60):
+    rng = random.Random(seed)
+    words = ["".join(rng.choice("abcdeéß") for _ in range(rng.randrange(1, 6))) for _ in range(300)]
+    text = lambda k: " ".join(rng.choice(words) for _ in range(k))
+    shared = text(40)
+    rows = []
+    for k in range(n):
+        t = text(rng.choice([1, 3, 30, 120]))
+        if k % 5 == 0:
+            t = f"{t} {shared} {text(3)}"
+        if k % 7 == 3 and rows[-1][1]:
+            base = (rows[-1][1] or "").split()
+            if base:
+                base[rng.randrange(len(base))] = "edited"
+            t = " ".join(base)
+        rows.append((k, t, rng.choice(["en", "de", None]), rng.choice(["a", "b", None]), len(t)))
+    rows += [(n, None, None, None, None), (n + 1, "", "en", "a", 0), (n + 2, " \n\t ", "en", "b", 4), (None, rows[5][1], "en", "a", 1), rows[8], (n + 3, "long " * 40_000, "en", "a", 1)]
+    return rows
+
+
+@pytest.fixture(scope="module")
+def rows():
+    return corpus()
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    df = spark.createDataFrame(rows, DOCS).repartition(3)
+    return df.select("*", *[F.lit(1).alias(c) for c in CLASH])
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+def sha(b):
+    return hashlib.sha256(b).hexdigest()
+
+
+def key(i):
+    return (i is None, i or 0)
+
+
+def jaccard_components(rows):
+    sets = {}
+    for i, t, *_ in rows:
+        w = (t or "").encode().lower().split()
+        s = {tuple(w)} if 0 < len(w) < 5 else {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+        if i is not None:
+            sets[i] = s
+    low = {i: i for i in sets}
+    for _ in range(len(sets)):
+        before = dict(low)
+        for a, x in sets.items():
+            for b, y in sets.items():
+                if a != b and x and y and 100 * len(x & y) >= 75 * len(x | y):
+                    low[a] = min(low[a], low[b])
+        if low == before:
+            break
+    return sets, low
+
+
+def test_op1(docs, rows, empty):
+    sets, low = jaccard_components(rows)
+    got = minhash_dedup.near_duplicates(docs).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        if r.doc_id is None:
+            assert r.component_id is None and r.kept
+        else:
+            assert (r.n_shingles, r.component_id, r.kept) == (len(sets[r.doc_id]), low[r.doc_id], low[r.doc_id] == r.doc_id)
+    assert minhash_dedup.near_duplicates(empty).count() == 0
+
+
+def test_op1_large_group(spark):
+    rng = random.Random(4)
+    base = [f"w{k}" for k in range(60)]
+    rows = []
+    for k in range(400):
+        w = list(base)
+        for _ in range(rng.randrange(0, 4)):
+            w[rng.randrange(60)] = f"x{rng.random()}"
+        rows.append((k, " ".join(w), None, None, 0))
+    _, low = jaccard_components(rows)
+    got = {r.doc_id: r.component_id for r in minhash_dedup.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == low
+
+
+@pytest.mark.parametrize("factor", [1.0, nearest.FACTOR])
+def test_op2(spark, factor):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(900, 8)).astype(np.float32)
+    x[10:60] = x[9]  # ties
+    rows = [(k, v.tolist()) for k, v in enumerate(x)] + [(2000, None), (2001, [0.0] * 8), (2002, [float("nan")] * 8), (2003, [1.0, None] + [0.0] * 6), (None, [1.0] * 8), (2004, [1.0] * 3)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("rank", F.lit(1))
+    got = {}
+    for r in nearest.search(df, df.where("vec_id % 20 = 0"), factor=factor).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    y = x.astype(np.float64)
+    hits = 0
+    queries = range(0, 900, 20)
+    assert set(got) == {*queries}
+    for q in queries:
+        want = sorted((-float(y[q] @ y[k]), k) for k in range(900) if k != q)[:20]
+        mine = sorted(got[q])
+        assert [m[0] for m in mine] == list(range(1, 21))
+        assert all(abs(s - y[q] @ y[v]) < 1e-9 for _, v, s in mine)
+        hits += len({k for _, k in want} & {m[1] for m in mine})
+        if factor == 1.0:
+            assert [m[1] for m in mine] == [k for _, k in want]
+    assert hits / (20 * len(queries)) >= 0.9
+    assert nearest.search(df.limit(0), df.limit(0)).count() == 0
+    few = nearest.search(df.where("vec_id < 3"), df.where("vec_id = 0")).collect()
+    assert len(few) == 2
+
+
+RULES = [("assign", re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), 2, 8), ("access", re.compile("AKIA[A-Z0-9]+"), 0, 16), ("hex", re.compile("[0-9a-f]+"), 0, 32)]
+
+
+def spans(t):
+    return ",".join(f"{n}:{a}:{b}" for a, _, b, n in sorted((m.start(), k, m.end(), n) for k, (n, p, g, least) in enumerate(RULES) for m in p.finditer(t or "") if len(m.group(g)) >= least))
+
+
+def test_op3(spark, tmp_path):
+    texts = [
+        None, "", "nothing", 'é🙂 API_KEY: "abcdefgh12" x', "password: token : abcdefgh1234", "AKIA" + "B" * 12 + " AKIAKIA12", "f" * 32 + "0" * 31, "secret=" + "0123456789abcdef" * 3,
+        "token='short' passwd=longenough1", ("token=abcdefgh " * 300), "é" * 5 + "PassWord=a.b-c_d/e+f=",
+    ]
+    rows = [(k, t) for k, t in enumerate(texts)] + [(99, texts[3]), (99, texts[3]), (None, texts[7])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("blob", F.lit("x")).select("doc_id", "text")
+    ledger = str(tmp_path / "ledger")
+    assert secrets.scan(df, ledger) == len({t or "" for _, t in rows})
+    assert secrets.scan(df, ledger) == 0  # all blobs are known
+    assert secrets.scan(df.union(spark.createDataFrame([(5, "new")], df.schema)), ledger) == 1
+    out = secrets.findings(df, ledger).withColumn("spans", secrets.digest(F.col("found"))).withColumn("clean", secrets.redact(F.col("text"), F.col("found"))).collect()
+    assert len(out) == len(rows)
+    for r in out:
+        assert r.spans == spans(r.text)
+        assert (r.clean == r.text) == (r.spans == "")
+        if r.clean is not None and r.spans:
+            assert "[SECRET]" in r.clean
+    assert secrets.scan(df.limit(0), str(tmp_path / "other")) == 0
+
+
+def test_op3_counts(spark, sf_dir):
+    for r in secrets.op3(spark, sf_dir).collect():
+        kinds = Counter(x.split(":")[0] for x in r.spans.split(",") if x)
+        assert (r.n_assign, r.n_access, r.n_hex) == (kinds["assign"], kinds["access"], kinds["hex"])
+        assert r.base_sha256 == sha(r.spans.encode())
+
+
+def test_op4(docs, rows, empty):
+    seen, want = {}, {}
+    for i, t, *_ in sorted(rows, key=lambda r: key(r[0])):
+        b = (t or "").encode()
+        gone = np.zeros(len(b), dtype=bool)
+        if i is not None:
+            for k in range(len(b) - 49):
+                if seen.setdefault(b[k : k + 50], i) < i:
+                    gone[k : k + 50] = True
+        kept = bytes(x for x, g in zip(b, gone, strict=True) if not g)
+        want[i] = (len(b), int(gone.sum()), int((np.diff(np.r_[0, gone.astype(int)]) == 1).sum()), sha(kept))
+    got = suffix_dedup.dedup(docs).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == want[r.doc_id]
+    assert suffix_dedup.dedup(empty).count() == 0
+
+
+def test_suffix_array():
+    rng = random.Random(2)
+    for _ in range(200):
+        t = np.array([rng.randrange(1, rng.choice([2, 3, 5, 200])) for _ in range(rng.randrange(0, 120))], dtype=np.int64)
+        assert suffix_dedup.suffix_array(t).tolist() == sorted(range(len(t)), key=lambda i, t=t: t[i:].tolist())
+
+
+def test_op5(spark):
+    sf = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    out = quality.op5(spark, sf).join(labels, "doc_id", "left").collect()
+    assert len(out) == 1000 and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in out)
+    for r in out:
+        import zlib
+
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+    test = [r for r in out if r.held_out and r.quality is not None]
+    assert np.mean([r.predicted == r.quality for r in test]) >= 0.9
+
+
+def test_op5_cases(docs, rows, spark, empty):
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(20)] + [(None, 1, 0), (3, None, 0), (4, 0, 0), (4, 1, 0)], "doc_id long, quality int, toxic int")
+    out = quality.classify(docs, labels).collect()
+    assert len(out) == len(rows) and all(0 <= r.score <= 1 for r in out)
+    assert quality.classify(docs, labels.limit(0)).where("score != 0").count() == 0
+    assert quality.classify(empty, labels).count() == 0
+
+
+def test_prior():
+    # 70 of 100 unlabelled look like the positives.
+    assert abs(quality.prior_from(np.array([0, 0, 50]), np.array([30, 0, 70])) - 0.7) < 1e-9
+
+
+def ppm_bits(train, text):
+    order = langid.ORDER
+    count = [{} for _ in range(order + 1)]
+    for t in train:
+        b = langid.START + t
+        for i in range(order, len(b)):
+            for o in range(order + 1):
+                count[o].setdefault(b[i - o : i], Counter())[b[i]] += 1
+    total, b = 0.0, langid.START + text
+    for i in range(order, len(b)):
+        out, done = set(), False
+        for o in range(order, -1, -1):
+            c = count[o].get(b[i - o : i])
+            left = {s: n for s, n in (c or {}).items() if s not in out}
+            if left:
+                n, k = sum(left.values()), len(left)
+                if b[i] in left:
+                    total += math.log2((n + k) / left[b[i]])
+                    done = True
+                    break
+                total += math.log2((n + k) / k)
+            out |= set(c or ())
+        if not done:
+            total += math.log2(256 - len(out))
+    return total
+
+
+def test_op6_code_lengths_are_exact():
+    train = [b"hello world the cat", "the dog éà ü sat".encode(), b"aaaa b a c", b""]
+    codes, n = np.unique(langid.grams(train)[0], return_counts=True)
+    model = langid.Frozen({"x": langid.Tree(codes, n)})
+    texts = [b"the hello cat", "zéà the q".encode(), b"", b"xyz\x00", b"\xff\xfe"]
+    assert np.allclose(model.lengths(texts)[:, 0], [ppm_bits(train, t) for t in texts], rtol=1e-4)
+
+
+def test_op6(spark, docs, rows, empty):
+    sf = "/root/testdata/sf0.01"
+    out = langid.op6(spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet"), "doc_id").where("held_out").collect()
+    assert np.mean([r.lang == r.lang_pred for r in out]) >= 0.98
+    got = langid.identify(docs, langid.learn(docs)).collect()
+    assert len(got) == len(rows) and all(0 <= r.score <= 1 for r in got)
+    assert {r.lang_pred for r in got if r.doc_id in (60, 61, 62)} == {"und"}
+    assert langid.identify(docs, langid.learn(empty)).where("lang_pred != 'und'").count() == 0
+    bounded = langid.learn(docs, max_grams=40)
+    assert all(len(t.levels[0]["grams"]) <= 2 * 40 for t in bounded.trees.values())
+
+
+def test_op7(docs, rows, spark, empty):
+    import public_tokenizers as P
+    import tiktoken
+
+    codec = bpe.public_codec()
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks={t: i for i, t in enumerate(codec.tokens)}, special_tokens={})
+    extra = ["日本語🙂👩‍👩‍👧 x\r\n  y's", "<|endoftext|>", "  a", "1234567 ½Ⅷ", "é" * 3000]
+    df = docs.select("doc_id", "text").union(spark.createDataFrame([(500 + k, t) for k, t in enumerate(extra)], "doc_id long, text string"))
+    for r, full in zip(bpe.round_trip(df, codec).join(df.distinct(), "doc_id").collect(), range(10**6), strict=False):
+        ids = enc.encode_ordinary(r.text or "")
+        assert r.n_tokens == len(ids) and r.ids_sha256 == sha(np.array(ids, dtype="<u4").tobytes()) and r.decoded_sha256 == sha((r.text or "").encode())
+    encoded = bpe.encode(df, codec)
+    for r in encoded.join(df.distinct(), "doc_id").where("doc_id >= 500").collect():
+        covered = set()
+        for a, z in zip(r.starts, r.ends, strict=True):
+            covered |= set(range(a, z))
+        assert covered == set(range(len(r.text))) and r.ends[-1] == len(r.text)
+    back = {r.doc_id: r.text for r in bpe.decode(encoded, codec).collect()}
+    assert all(back[r.doc_id] == (r.text or "") for r in df.collect() if r.doc_id is not None and r.doc_id != 8)
+    assert bpe.round_trip(empty, codec).count() == 0
+
+
+def water_filled(sizes, weights, share=1.5, cap=2.0):
+    goal, left, open_ = {}, share * sum(sizes.values()), set(sizes)
+    while open_:
+        w = sum(weights[s] for s in open_)
+        over = [s for s in open_ if left * weights[s] / w > cap * sizes[s]]
+        if not over:
+            return goal | {s: left * weights[s] / w for s in open_}
+        for s in over:
+            goal[s] = cap * sizes[s]
+        left -= sum(goal[s] for s in over)
+        open_ -= set(over)
+    return goal
+
+
+def test_op8(docs, rows, spark, empty):
+    out = mixing.mix(docs).collect()
+    again = mixing.mix(docs.repartition(5)).collect()
+    assert sorted(map(str, out)) == sorted(map(str, again)) and len(out) == len(rows)
+    sizes = Counter()
+    for _, t, _, s, _ in rows:
+        sizes[s] += len((t or "").encode().split())
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    want = water_filled(sizes, {s: (3, 1, 2)[k % 3] for k, s in enumerate(order)})
+    taken, largest = Counter(), Counter()
+    for r in out:
+        assert r.source_size == sizes[r.source] and abs(r.target - want[r.source]) < 1e-6 and r.taken <= 2 * r.size
+        taken[r.source] += r.taken
+        largest[r.source] = max(largest[r.source], r.size)
+    assert all(abs(taken[s] - want[s]) <= largest[s] / 2 + 1 for s in sizes)
+    assert mixing.mix(empty).count() == 0
+
+
+def test_op8_quality_comes_first(spark):
+    df = spark.createDataFrame([(k, "w " * 10, "x" if k % 2 else "y") for k in range(400)], "doc_id long, text string, source string")
+    q = spark.createDataFrame([(k, 50.0 if k % 4 < 2 else 1.0) for k in range(400)], "doc_id long, weight double")
+    out = mixing.mix(df, q, share=0.25).collect()
+    good = sum(r.taken for r in out if r.doc_id % 4 < 2)
+    assert good > 3 * sum(r.taken for r in out if r.doc_id % 4 >= 2)
+
+
+def test_op9(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(300, 16)).astype(np.float32)
+    x[100:160] = x[0] + rng.normal(size=(60, 16)) * 0.15
+    x[200:210] = x[5]
+    rows = [(k, v.tolist()) for k, v in enumerate(x)] + [(1000, None), (1001, [0.0] * 16), (1002, [float("inf")] * 16), (1003, [None] * 16), (None, [1.0] * 16), (7, x[7].tolist()), (1004, [2.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("n", F.lit(0))
+    y = x.astype(np.float64)
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    link = y @ y.T >= 0.9
+    np.fill_diagonal(link, False)
+    low = np.arange(300)
+    for _ in range(300):
+        low = np.array([min([low[i], *low[link[i]]]) for i in range(300)])
+    out = embedding_dedup.near_duplicates(df).collect()
+    assert len(out) == len(rows)
+    for r in out:
+        if r.vec_id is not None and r.vec_id < 300:
+            assert (r.n_links, r.component_id, r.kept) == (link[r.vec_id].sum(), low[r.vec_id], low[r.vec_id] == r.vec_id)
+        else:
+            assert r.n_links == 0 and r.component_id == r.vec_id and r.kept
+    assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_op9_estimates_are_unbiased():
+    rng = np.random.default_rng(1)
+    u = rng.normal(size=(400, 64))
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    c = embedding_dedup.Codes(np.arange(400), np.ones(400), np.zeros((400, 1)), u)
+    est, error = c.estimates(c)
+    off = (est - u @ u.T)[~np.eye(400, dtype=bool)]
+    assert abs(off.mean()) < 0.01 and (np.abs(est - u @ u.T) <= embedding_dedup.BOUND * error[None, :]).mean() > 0.999
+
+
+def test_op10(docs, rows, empty):
+    seen, want = {}, {}
+    ordered = sorted({(i, t) for i, t, *_ in rows if i is not None})
+    for i, t in ordered:
+        w = (t or "").encode().split()
+        gone = [False] * len(w)
+        for k in range(len(w) - 19):
+            if seen.setdefault(tuple(w[k : k + 20]), (i, k)) < (i, k):
+                gone[k : k + 20] = [True] * 20
+        want[i] = (len(w), sum(gone), sha(b" ".join(x for x, g in zip(w, gone, strict=True) if not g)))
+    got = substring_dedup.dedup(docs).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        if r.doc_id is None:
+            assert r.n_removed == 0
+        else:
+            assert (r.n_words, r.n_removed, r.kept_sha256) == want[r.doc_id]
+    assert substring_dedup.dedup(empty).count() == 0
+
+
+def test_cover():
+    differences = {(a - b) % substring_dedup.PERIOD for a in substring_dedup.COVER for b in substring_dedup.COVER}
+    assert differences == set(range(substring_dedup.PERIOD))
+
+
+def test_components(spark):
+    rng = random.Random(8)
+    edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(k, k + 1) for k in range(300, 340)]
+    edges = [(a, b) for a, b in edges if a != b]
+    low = {x: x for e in edges for x in e}
+    for _ in range(len(low)):
+        for a, b in edges:
+            low[a] = low[b] = min(low[a], low[b])
+    df = spark.createDataFrame(edges, "a long, b long")
+    assert {r.node: r.component for r in components(Workspace(spark, "test"), df).collect()} == low
+    assert components(Workspace(spark, "test"), df.limit(0)).count() == 0
