@@ -22,9 +22,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
-    "op5_quality_classifier": quality.op5,
-    "op6_language_id": langid.op6,
-    "op7_byte_bpe": bpe.op7,
     "op1_minhash_dedup": minhash_dedup.ORACLE,
     "op8_source_mixing": mixing.ORACLE,
     "op9_embedding_dedup": embedding_dedup.ORACLE,
