@@ -268,6 +268,33 @@ def test_op6(spark, docs, rows, empty):
     assert all(len(t.levels[0]["grams"]) <= 2 * 40 for t in bounded.trees.values())
 
 
+def test_op6_counts_every_context(docs, rows):
+    taught = {x: [r[1].encode() for r in rows if r[2] == x and r[1]] for x in ("de", "en")}
+    want = {}
+    for r in rows[:8]:
+        if r[1] and any(c.isalpha() for c in r[1]):
+            bits = [ppm_bits(taught[x], r[1].encode()) for x in ("de", "en")]
+            want[r[1]] = (("de", "en")[int(np.argmin(bits))], 1 / sum(2 ** (min(bits) - b) for b in bits if b - min(bits) < 1000))
+    whole = langid.learn(docs)
+    parts = langid.learn(docs, part_costs=600)
+    assert isinstance(whole, langid.Frozen) and len(parts.ends) > 3
+    known = [set(t.levels[0]["grams"].tolist()) for t in (whole.trees[x] for x in ("de", "en"))]
+    assert known == [set(langid.grams(taught[x])[0].tolist()) for x in ("de", "en")]
+    for model in (whole, parts):
+        got = langid.identify(docs, model).join(docs.distinct().select(F.col("doc_id").alias("id"), "text"), F.col("doc_id").eqNullSafe(F.col("id"))).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            if r.text in want:
+                assert r.lang_pred == want[r.text][0] and abs(r.score - want[r.text][1]) < 1e-2
+
+
+def test_op6_cut_contexts_stay_whole_in_shorter_ones(docs, rows):
+    cut = langid.learn(docs, max_grams=40)
+    for x, t in cut.trees.items():
+        codes, n = np.unique(langid.grams([r[1].encode() for r in rows if r[2] == x and r[1]])[0] & 0xFFFFFF, return_counts=True)
+        assert t.levels[1]["grams"].tolist() == codes.tolist() and t.levels[1]["n"].tolist() == n.tolist()
+
+
 def test_op7(docs, rows, spark, empty):
     import public_tokenizers as P
     import tiktoken
