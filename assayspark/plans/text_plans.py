@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from assayspark.functions import chem
 from assayspark.functions import text as T
 from assayspark.operators import evidence as E
+from assayspark.operators import relational as R
 from assayspark.operators import search as S
 from assayspark.operators import sections as X
 
@@ -49,8 +49,7 @@ def result_micro_batches(t: Tables) -> DataFrame:
     from assayspark.streaming import logs
 
     found = S.keyword_search(t.documents.where("doc_id % 50 = 7"), QUERY)
-    place = F.row_number().over(W.orderBy(F.desc("hits"), "doc_id"))
-    return found.withColumn("place", place).select("doc_id", logs.batch_no(F.col("place")).alias("batch"))
+    return R.ranked(found, [F.desc("hits"), F.asc("doc_id")], "place").select("doc_id", logs.batch_no(F.col("place")).alias("batch"))
 
 
 @query("""

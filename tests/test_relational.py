@@ -21,6 +21,30 @@ def test_page_bounds_and_total(spark):
     assert R.page(df, [F.asc("id")], number=9, size=3).count() == 0
 
 
+def test_ranks_of_whole_tables_by_ranges(spark, sf_dir):
+    from assayspark.operators import search as S
+
+    orders, docs = (spark.read.parquet(f"{sf_dir}/{x}.parquet") for x in ("orders", "documents"))
+    found = S.keyword_search(docs, "the license of the that").select("doc_id", "hits")
+    labelled = docs.join(spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id", "left").select("doc_id", "quality")
+    status = {"P": 0, "O": 1, "F": 2}
+    cases = [
+        (orders, [R.status_rank("o_orderstatus", ["P", "O", "F"]), F.desc("o_orderdate"), F.asc("o_orderkey")],
+         lambda r: (status.get(r.o_orderstatus, 3), -r.o_orderdate.toordinal(), r.o_orderkey)),
+        (found, [F.desc("hits"), F.asc("doc_id")], lambda r: (-r.hits, r.doc_id)),
+        (labelled, R.client_order("quality", True, "doc_id"), lambda r: (r.quality is None, r.quality or 0, r.doc_id)),
+    ]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for df, order, key in cases:
+            out = R.ranked(df, order).withColumn("task", F.spark_partition_id()).collect()
+            assert [r.position for r in sorted(out, key=key)] == list(range(1, df.count() + 1))
+            assert len({r.task for r in out}) > 1  # no task holds all rows
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert R.ranked(orders.limit(0), [F.asc("o_orderkey")]).count() == 0
+
+
 def test_facets(spark):
     df = spark.createDataFrame([("a", None), ("a", "x"), ("b", "x")], "s string, t string")
     got = {(r.facet, r.value): r.n for r in R.facets(df, ["s", "t"]).collect()}
