@@ -22,14 +22,25 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest id. Rows without id stay."""
+    """One document of each group of near duplicates: the one with the smallest id. Rows without id stay.
+
+    Rows with one id and one text are one document, those with one id and several texts are several.
+    """
     docs = docs.select(COLUMNS)
-    found = minhash_dedup.near_duplicates(docs).where("kept AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("kept_id")).agg(F.count("*").alias("n"))
-    found = Workspace(spark, "pipeline-kept").save(found, "kept")
-    named = docs.join(found.hint("shuffle_hash"), docs.doc_id == found.kept_id, "left_semi")
+    ws = Workspace(spark, "pipeline-kept")
+    named = docs.where("doc_id IS NOT NULL").withColumn("digest", F.coalesce(F.sha2("text", 256), F.lit("")))
+    texts = named.groupBy("doc_id").agg(F.min("digest").alias("a"), F.max("digest").alias("z"))
+    if texts.where("a != z").isEmpty():
+        named = named.withColumn("key", F.col("doc_id")).drop("digest")
+    else:  # numbers in the order of the ids stand for the documents
+        keys = named.select("doc_id", "digest").distinct().orderBy("doc_id", "digest").withColumn("key", F.monotonically_increasing_id())
+        named = named.join(ws.save(keys, "keys").hint("shuffle_hash"), ["doc_id", "digest"]).drop("digest")
+    found = minhash_dedup.near_duplicates(named.select(F.col("key").alias("doc_id"), "text")).where("kept").groupBy(F.col("doc_id").alias("kept_key")).agg(F.count("*").alias("n"))
+    found = ws.save(found, "kept")
+    named = named.join(found.hint("shuffle_hash"), F.col("key") == F.col("kept_key"), "left_semi")
     if not found.where("n > 1").isEmpty():  # a row that stands twice is one document
-        named = named.dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id IS NULL"))
+        named = named.dropDuplicates(["key"])
+    return named.select(COLUMNS).unionByName(docs.where("doc_id IS NULL"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

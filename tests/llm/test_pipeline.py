@@ -74,3 +74,13 @@ def test_rows_without_id_and_empty_tables(spark):
         f(spark, docs, sf).collect()
         assert f(spark, docs.limit(0), sf).count() == 0
     assert P.drop_near_duplicates(spark, docs, sf).where("doc_id = 2").count() == 1
+
+
+def test_one_id_with_several_texts_is_several_documents(spark):
+    text = lambda k: " ".join(f"{k}w{i}" for i in range(40))
+    # 5 stands for three texts: one is close to document 3, one to document 7, one stands twice.
+    texts = [(3, text("a")), (5, text("a") + " more"), (5, text("b")), (7, text("b") + " more"), (5, text("c")), (5, text("c")), (5, None), (None, text("a"))]
+    docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    got = P.drop_near_duplicates(spark, docs, "").select("doc_id", "text").collect()
+    want = [(3, text("a")), (5, text("b")), (5, text("c")), (5, None), (None, text("a"))]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
