@@ -7,8 +7,15 @@ goes back to the documents. Pass 3 removes it.
 
 Rows between passes are packed: one row holds many anchors of one task for one bucket, as byte planes
 that compress well. A task first combines what it holds itself, so of a passage that a third of all
-documents share a bucket gets one entry from each batch of documents, not one from each document.
-Documents and packed rows meet in one shuffle by document bucket, so no join multiplies texts.
+documents share a bucket gets one entry from each task, not one from each document. Documents and packed
+rows meet in one shuffle by document bucket, so no join multiplies texts.
+
+The number of buckets follows the bytes of text, a bucket stands for ``BUCKET_BYTES`` of it, so what a
+task holds at once doesn't grow with the corpus. Each shuffle partition gets the same number of buckets and
+goes through them one after the other. Anchors that stand at very many places are told apart as hot.
+
+Documents are rows, not ids: rows that share an id but not their text are different documents. What goes
+back to a document carries the hash of its text beside the id.
 """
 
 from __future__ import annotations
@@ -17,16 +24,24 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Workspace, shuffle_partitions, small_batches
 
 #: Kinds of packed rows.
-POST, MARK = 0, 1
+POST, MARK, HOT = 0, 1, 3
+#: Bytes of text that a bucket stands for, about.
+BUCKET_BYTES = 32 << 20
+#: Anchors that a task combines before it deals them out.
+HELD = 1 << 20
+#: Places of an anchor from which it is hot, and the most anchors that can be, as a share of all bytes.
+HOT_PLACES, HOT_MOST = 20_000, 1 << 20
 #: Bytes of an anchor's hash that are kept besides its bucket. Two different anchors of a bucket that agree
 #: in them only cost a needless exact comparison; buckets grow in number with the data, not in size.
 KEPT_BYTES = 5
+_KEPT = np.uint64((1 << 8 * KEPT_BYTES) - 1)
 PACKED = "kind int, key int, data binary"
 NAMES = ["kind", "key", "data"]
 
@@ -37,14 +52,19 @@ def pack(*columns: np.ndarray) -> bytes:
     return head + b"".join(np.ascontiguousarray(c).view(np.uint8).reshape(len(c), c.itemsize).T.tobytes() for c in columns)
 
 
-def unpack(data: bytes, *kinds: str) -> list[np.ndarray]:
-    """The columns of :func:`pack` by their types."""
-    n, at, out = int(np.frombuffer(data[:8], dtype="<i8")[0]), 8, []
+def unpack_at(data: bytes, at: int, *kinds: str) -> tuple[list[np.ndarray], int]:
+    """The columns of :func:`pack` by their types from a place on, and where they end."""
+    n, at, out = int(np.frombuffer(data, dtype="<i8", count=1, offset=at)[0]), at + 8, []
     for kind in map(np.dtype, kinds):
         plane = np.frombuffer(data, dtype=np.uint8, count=n * kind.itemsize, offset=at).reshape(kind.itemsize, n)
         out.append(np.ascontiguousarray(plane.T).view(kind).reshape(n))
         at += n * kind.itemsize
-    return out
+    return out, at
+
+
+def unpack(data: bytes, *kinds: str) -> list[np.ndarray]:
+    """The columns of :func:`pack` by their types."""
+    return unpack_at(data, 0, *kinds)[0]
 
 
 def rows(found: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
@@ -53,10 +73,10 @@ def rows(found: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
 
 
 def dealt(kind: int, key: np.ndarray, *columns: np.ndarray) -> list[tuple[int, int, bytes]]:
-    """Packed rows of columns by key."""
+    """Packed rows of columns by key; marks in the order of their first column, which compresses."""
     if not len(key):
         return []
-    order = np.argsort(key, kind="stable")
+    order = np.lexsort((columns[0], key)) if kind == MARK else np.argsort(key, kind="stable")
     key, columns = key[order], [c[order] for c in columns]
     edges = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
     return [(kind, int(key[a]), pack(*(c[a:b] for c in columns))) for a, b in zip(edges[:-1], edges[1:], strict=True)]
@@ -69,20 +89,56 @@ def mix64(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def first_of(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The order of rows by columns (first column first), and where the first column starts anew in it."""
-    order = np.lexsort(columns[::-1])
-    key = columns[0][order]
-    return order, np.r_[True, key[1:] != key[:-1]] if len(key) else np.zeros(0, dtype=bool)
+class Plan:
+    """Buckets of one run: as many for each shuffle partition, each for a bounded number of bytes."""
+
+    def __init__(self, docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> None:
+        self.parts = shuffle_partitions(docs.sparkSession)
+        self.bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        self.buckets = self.parts * max(1, -(-self.bytes // (bucket_bytes * self.parts)))
+        # A place takes some bytes of text, so no more than about HOT_MOST anchors can have so many places.
+        self.hot_places = max(HOT_PLACES, self.bytes // (8 * HOT_MOST))
 
+    def bucket(self, h: np.ndarray) -> np.ndarray:
+        return (h % np.uint64(self.buckets)).astype(np.int64)
 
-class Plan:
-    """Buckets of one run."""
+    def rest(self, h: np.ndarray) -> np.ndarray:
+        """What of a hash is kept besides its bucket."""
+        return h // np.uint64(self.buckets) & _KEPT
+
+    def whole(self, bucket: np.ndarray | int, rest: np.ndarray) -> np.ndarray:
+        """Bucket and rest as one number."""
+        return rest * np.uint64(self.buckets) + np.asarray(bucket, dtype=np.uint64)
 
-    def __init__(self, docs: DataFrame) -> None:
-        parts = shuffle_partitions(docs.sparkSession)
-        self.buckets = parts
-        self.doc_buckets = parts
+    def of_doc(self, ids: np.ndarray) -> np.ndarray:
+        """The bucket of documents by their ids, as :meth:`doc_key` has it."""
+        return hash_long(ids).astype(np.int64) % self.buckets
+
+    def doc_key(self) -> Column:
+        """The bucket of a row; rows without id are spread by their text, as no mark is for them."""
+        h = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id")).otherwise(F.xxhash64("text"))
+        return F.pmod(h, F.lit(self.buckets)).cast("int")
+
+    def brought(self, rows_: DataFrame) -> DataFrame:
+        """Rows by their key's partition; a partition has as many keys as the next."""
+        return rows_.repartitionById(self.parts, F.pmod("key", F.lit(self.parts)))
+
+
+def hash_long(x: np.ndarray) -> np.ndarray:
+    """The built-in 64-bit xxhash of long values, for whole arrays."""
+    p1, p2, p3, p4, p5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    turn = lambda v, k: (v << np.uint64(k)) | (v >> np.uint64(64 - k))
+    with np.errstate(over="ignore"):
+        h = (np.uint64(42) + p5 + np.uint64(8)) ^ (turn(x.astype(np.int64).view(np.uint64) * p2, 31) * p1)
+        h = turn(h, 27) * p1 + p4
+        h = (h ^ (h >> np.uint64(33))) * p2
+        h = (h ^ (h >> np.uint64(29))) * p3
+    return h ^ (h >> np.uint64(32))
+
+
+def row_hash(text: bytes) -> int:
+    """Tells rows of one id apart."""
+    return xxhash.xxh3_64_intdigest(text)
 
 
 def encoded(batch: pa.RecordBatch) -> tuple[np.ndarray, list[bytes]]:
@@ -92,29 +148,39 @@ def encoded(batch: pa.RecordBatch) -> tuple[np.ndarray, list[bytes]]:
 
 
 def post(docs: DataFrame, plan: Plan, anchors: Callable[[bytes], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
-    """Pass 1, dealing: anchors (positions, hashes) of all documents, one for each value and batch.
+    """Pass 1, dealing: anchors (positions, hashes) of all documents, one for each value and task.
 
-    Anchors that a batch holds twice are hits already and go straight to their documents' buckets.
+    Anchors that a task holds twice are hits already and go straight to their documents' buckets.
     """
 
+    def combined(got: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        doc = np.repeat(np.array([i for i, _, _ in got], dtype=np.int64), [len(p) for _, p, _ in got])
+        pos = np.concatenate([p for _, p, _ in got]).astype(np.int32)
+        h = np.concatenate([x for _, _, x in got])
+        order = np.argsort(h, kind="stable")
+        starts = np.flatnonzero(np.r_[True, h[order][1:] != h[order][:-1]]) if len(h) else order
+        n = np.diff(np.r_[starts, len(h)])
+        twice = order[np.repeat(n > 1, n)]
+        often = np.zeros(len(h), dtype=np.uint8)
+        often[order[starts]] = np.ceil(np.log2(n)).astype(np.uint8) if len(n) else 0
+        one = np.sort(order[starts])
+        out = dealt(MARK, plan.of_doc(doc[twice]), doc[twice], pos[twice])
+        out += [(k, key, squeeze(data)) for k, key, data in dealt(POST, plan.bucket(h[one]), plan.rest(h[one]), doc[one], pos[one], often[one])]
+        return rows(out)
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got, size = [], 0
         for b in batches:
-            ids, texts = encoded(b)
-            got = [anchors(t) for t in texts]
-            if not got:
-                continue
-            doc = np.repeat(ids, [len(p) for p, _ in got])
-            pos = np.concatenate([p for p, _ in got]).astype(np.int32)
-            h = np.concatenate([x for _, x in got])
-            order, first = first_of(h)
-            again = np.zeros(len(h), dtype=bool)
-            again[order] = ~first
-            twice = np.zeros(len(h), dtype=bool)
-            twice[order] = ~(first & np.r_[first[1:], True]) if len(h) else False
-            out = dealt(MARK, doc[twice] % plan.doc_buckets, doc[twice], pos[twice])
-            one = ~again
-            out += dealt(POST, (h[one] % np.uint64(plan.buckets)).astype(np.int64), h[one] // np.uint64(plan.buckets) & np.uint64((1 << 8 * KEPT_BYTES) - 1), doc[one], pos[one])
-            yield rows([(k, key, squeeze(data)) if k == POST else (k, key, data) for k, key, data in out])
+            for i, t in zip(*encoded(b), strict=True):
+                at, h = anchors(t)
+                if len(at):
+                    got.append((i, at, h))
+                    size += len(at)
+                if size >= HELD:
+                    yield combined(got)
+                    got, size = [], 0
+        if got:
+            yield combined(got)
 
     return docs.mapInArrow(work, PACKED)
 
@@ -148,45 +214,51 @@ def by_bucket(batches: Iterator[pa.RecordBatch], kind: int) -> Iterator[tuple[in
         yield key, held
 
 
-def gather(posted: DataFrame, plan: Plan, reduce: Callable[[list[bytes]], list[tuple[int, int, bytes]]]) -> DataFrame:
+def gather(posted: DataFrame, plan: Plan, reduce: Callable[[int, list[bytes]], list[tuple[int, int, bytes]]]) -> DataFrame:
     """Bring packed rows of a bucket together and turn them into marks; marks pass through."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, size = [], 0
         for key, held in by_bucket(batches, POST):
-            out += held if key == -1 else reduce(held)
-            size += sum(len(x[2]) for x in out[-len(held) :])
+            new = held if key == -1 else reduce(key, held)
+            out += new
+            size += sum(len(x[2]) for x in new)
             if len(out) > 2000 or size > 8 << 20:
                 yield rows(out)
                 out, size = [], 0
         if out:
             yield rows(out)
 
-    return posted.repartition("key").sortWithinPartitions("kind", "key").mapInArrow(work, PACKED)
+    return plan.brought(posted).sortWithinPartitions("kind", "key").mapInArrow(work, PACKED)
 
 
-def repeated(plan: Plan) -> Callable[[list[bytes]], list[tuple[int, int, bytes]]]:
-    """Pass 1, meeting: anchors whose value came from two batches are hits."""
+def repeated(plan: Plan) -> Callable[[int, list[bytes]], list[tuple[int, int, bytes]]]:
+    """Pass 1, meeting: anchors whose value came from two tasks are hits; those of very many places are named hot."""
 
-    def reduce(held: list[bytes]) -> list[tuple[int, int, bytes]]:
-        parts = [unpack(widen(x), "<u8", "<i8", "<i4") for x in held]
-        h, doc, pos = (np.concatenate(c) for c in zip(*parts, strict=True))
-        order, first = first_of(h)
-        single = first & np.r_[first[1:], True]
-        keep = order[~single]
-        return dealt(MARK, doc[keep] % plan.doc_buckets, doc[keep], pos[keep])
+    def reduce(key: int, held: list[bytes]) -> list[tuple[int, int, bytes]]:
+        parts = [unpack(widen(x), "<u8", "<i8", "<i4", "u1") for x in held]
+        h, doc, pos, often = (np.concatenate(c) for c in zip(*parts, strict=True))
+        order = np.argsort(h, kind="stable")
+        starts = np.flatnonzero(np.r_[True, h[order][1:] != h[order][:-1]])
+        n = np.diff(np.r_[starts, len(h)])
+        keep = order[np.repeat(n > 1, n)]
+        hot = h[order[starts]][np.add.reduceat(np.exp2(often[order].astype(np.float64)), starts) >= plan.hot_places]
+        return dealt(MARK, plan.of_doc(doc[keep]), doc[keep], pos[keep]) + ([(HOT, 0, pack(plan.whole(key, hot)))] if len(hot) else [])
 
     return reduce
 
 
+def hot_anchors(hits: DataFrame) -> np.ndarray:
+    """Bucket and rest of the hot anchors of saved hits; their number is bounded (:class:`Plan`)."""
+    got = [unpack(bytes(r["data"]), "<u8")[0] for r in hits.where(F.col("kind") == HOT).select("data").collect()]
+    return np.unique(np.concatenate(got)) if got else np.zeros(0, dtype=np.uint64)
+
+
 def meet(docs: DataFrame, marks: DataFrame, plan: Plan) -> DataFrame:
     """Documents and the marks of their bucket in one partition, marks first."""
-    d = docs.select(
-        F.lit(2).alias("kind"), F.coalesce(F.pmod(F.col("doc_id"), F.lit(plan.doc_buckets)).cast("int"), F.lit(0)).alias("key"),
-        F.lit(None).cast("binary").alias("data"), "doc_id", "text",
-    )
-    m = marks.select("kind", "key", "data", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"))
-    return d.union(m).repartition("key").sortWithinPartitions("key", "kind")
+    d = docs.select(F.lit(2).alias("kind"), plan.doc_key().alias("key"), F.lit(None).cast("binary").alias("data"), "doc_id", "text")
+    m = marks.where(F.col("kind") == MARK).select("kind", "key", "data", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"))
+    return plan.brought(d.union(m)).sortWithinPartitions("key", "kind")
 
 
 def marked(batches: Iterator[pa.RecordBatch], *kinds: str) -> Iterator[list[tuple[int | None, str | None, list[np.ndarray]]]]:
@@ -220,10 +292,17 @@ def prepared(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
 
-def saved(docs: DataFrame, marks: DataFrame, name: str) -> DataFrame:
+def own_marks(text: bytes, who: np.ndarray, *columns: np.ndarray) -> list[np.ndarray]:
+    """Of an id's marks those for the row with this text."""
+    if not len(who):
+        return list(columns)
+    own = who == np.uint64(row_hash(text))
+    return [c[own] for c in columns]
+
+
+def saved(ws: Workspace, marks: DataFrame, name: str) -> DataFrame:
     """Write marks to the shared folder; what was shuffled to find them is dropped before texts move again."""
-    ws = Workspace(docs.sparkSession, name)
-    out = ws.save(marks, "marks")
+    out = ws.save(marks, name)
     del marks
     ws.release()
     return out

@@ -6,11 +6,13 @@ of the cover, so of any two equal windows, wherever they start, some pair of ali
 ``PERIOD - 1`` words in is in the cover on both sides: equal windows always share an anchor. Where anchors
 repeat, all windows that hold them are extended to full length and compared as such.
 
-Windows are compared by their full 64-bit hashes; anchors only say which windows to compare.
+Windows are compared by 128 bits of hash over 128-bit hashes of their words (at 1e13 windows two different
+ones agree with a chance of 1e-12); anchors only say which windows to compare.
 
 Defined cases: null text has no words; null doc_id takes no part and loses nothing; a row that stands
-twice with one doc_id is one document (nothing is removed from it on account of its copy); texts shorter
-than a window keep all; an empty table gives no rows; other columns are ignored.
+twice with one doc_id is one document (nothing is removed from it on account of its copy); rows of one
+doc_id with different texts are different documents, none before the other, and each is judged by its own
+text; texts shorter than a window keep all; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 from . import anchors as A
-from .common import table
+from .common import Workspace, table
 
 WINDOW = 20
 PERIOD = 13
@@ -36,8 +38,9 @@ MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
 def word_hashes(text: bytes) -> np.ndarray:
+    """Two 64-bit hashes of each word."""
     words = text.split()
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
+    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), dtype=np.uint64).reshape(-1, 2)
 
 
 def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
@@ -53,7 +56,7 @@ def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
 
 def cover_anchors(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Positions and hashes of the anchors of a text."""
-    h = window_hashes(word_hashes(text), ANCHOR)
+    h = window_hashes(word_hashes(text)[:, 0], ANCHOR)
     at = np.flatnonzero(np.isin(np.arange(len(h)) % PERIOD, COVER)) if len(h) else np.zeros(0, dtype=np.int64)
     return at, h[at]
 
@@ -63,65 +66,92 @@ def _windows(plan: A.Plan):  # noqa: ANN202
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for docs in A.marked(batches, "<i8", "<i4"):
-            ids, starts, hashes = [], [], []
+            ids, whos, rows, starts, first, second = [], [], [], [], [], []
             for doc, text, (hits,) in docs:
-                if not len(hits):
+                if not text or not len(hits):
                     continue
-                h = window_hashes(word_hashes(text.encode("utf-8", "surrogatepass")), WINDOW)
-                hit = np.zeros(len(h) + PERIOD + 1, dtype=np.int32)
-                np.add.at(hit, np.maximum(hits - (PERIOD - 1), 0), 1)
-                np.add.at(hit, np.minimum(hits + 1, len(hit) - 1), -1)
+                raw = text.encode("utf-8", "surrogatepass")
+                words = word_hashes(raw)
+                h = window_hashes(words[:, 0], WINDOW)
+                # Hits of an id may be of another row's text: they only say where to look.
+                hit = np.zeros(len(h) + 1, dtype=np.int32)
+                np.add.at(hit, np.clip(hits - (PERIOD - 1), 0, len(h)), 1)
+                np.add.at(hit, np.minimum(hits + 1, len(h)), -1)
                 at = np.flatnonzero(np.cumsum(hit)[: len(h)] > 0)
-                ids.append(np.full(len(at), doc))
+                if not len(at):
+                    continue
+                rows.append(np.full(len(at), len(ids)))
+                ids.append(doc)
+                whos.append(A.row_hash(raw))
                 starts.append(at.astype(np.int32))
-                hashes.append(h[at])
-            if not ids:
+                first.append(h[at])
+                second.append(window_hashes(words[:, 1], WINDOW)[at])
+            if not rows:
                 continue
-            doc, pos, h = np.concatenate(ids), np.concatenate(starts), np.concatenate(hashes)
-            covered, rest = _later(h, doc, pos)
-            out = A.dealt(A.MARK, doc[covered] % plan.doc_buckets, doc[covered], pos[covered])
-            out += A.dealt(A.POST, (h[rest] % np.uint64(plan.buckets)).astype(np.int64), h[rest], doc[rest], pos[rest])
+            ids, whos = np.array(ids, dtype=np.int64), np.array(whos, dtype=np.uint64)
+            row, pos, h, g = (np.concatenate(x) for x in (rows, starts, first, second))
+            covered, rest = _later(h, g, ids[row], whos[row], pos)
+            out = A.dealt(A.MARK, plan.of_doc(ids[row[covered]]), ids[row[covered]], whos[row[covered]], pos[covered])
+            bucket = plan.bucket(h[rest])
+            rest = rest[np.lexsort((pos[rest], row[rest], bucket))]
+            bucket = plan.bucket(h[rest])
+            edges = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True]) if len(rest) else []
+            for a, z in zip(edges[:-1], edges[1:], strict=True):
+                own = rest[a:z]
+                doc, who = np.unique(row[own], return_inverse=True)
+                out.append((A.POST, int(bucket[a]), A.pack(ids[doc], whos[doc]) + A.pack(h[own], g[own], who.astype(np.uint32), pos[own])))
             yield A.rows(out)
 
     return work
 
 
-def _later(h: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows that an earlier place with the same hash covers, and the first row of each hash."""
-    order, first = A.first_of(h, doc, pos)
-    at = order[first][np.cumsum(first) - 1] if len(order) else order
-    same = (doc[order] == doc[at]) & (pos[order] == pos[at])
-    return order[~same], order[first]
+def _later(h: np.ndarray, g: np.ndarray, doc: np.ndarray, who: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Windows that a smaller id or an earlier place of the same document has too, and those that nothing is before."""
+    order = np.lexsort((pos, who, doc, g, h))
+    h, g, doc, who = h[order], g[order], doc[order], who[order]
+    new = np.r_[True, (h[1:] != h[:-1]) | (g[1:] != g[:-1])] if len(h) else np.zeros(0, dtype=bool)
+    least = doc[new][np.cumsum(new) - 1] if len(h) else doc
+    own = new | np.r_[True, (doc[1:] != doc[:-1]) | (who[1:] != who[:-1])] if len(h) else new  # the first of its document
+    free = own & (doc == least)
+    return order[~free], order[free]
 
 
 def _settle(plan: A.Plan):  # noqa: ANN202
-    def reduce(held: list[bytes]) -> list[tuple[int, int, bytes]]:
-        h, doc, pos = (np.concatenate(c) for c in zip(*(A.unpack(x, "<u8", "<i8", "<i4") for x in held), strict=True))
-        covered = _later(h, doc, pos)[0]
-        return A.dealt(A.MARK, doc[covered] % plan.doc_buckets, doc[covered], pos[covered])
+    def reduce(_: int, held: list[bytes]) -> list[tuple[int, int, bytes]]:
+        parts = []
+        for x in held:
+            (ids, whos), at = A.unpack_at(x, 0, "<i8", "<u8")
+            (h, g, row, pos), _ = A.unpack_at(x, at, "<u8", "<u8", "<u4", "<i4")
+            parts.append((h, g, ids[row], whos[row], pos))
+        h, g, doc, who, pos = (np.concatenate(c) for c in zip(*parts, strict=True))
+        covered = _later(h, g, doc, who, pos)[0]
+        return A.dealt(A.MARK, plan.of_doc(doc[covered]), doc[covered], who[covered], pos[covered])
 
     return reduce
 
 
-def covered_windows(docs: DataFrame, plan: A.Plan) -> DataFrame:
+def covered_windows(docs: DataFrame, plan: A.Plan, ws: Workspace) -> DataFrame:
     """Packed marks: document and start of every window that also starts earlier."""
-    hits = A.gather(A.post(docs, plan, cover_anchors), plan, A.repeated(plan))
+    hits = A.saved(ws, A.gather(A.post(docs, plan, cover_anchors), plan, A.repeated(plan)), "hits")
     windows = A.meet(docs, hits, plan).mapInArrow(_windows(plan), A.PACKED)
-    return A.gather(windows, plan, _settle(plan))
+    marks = A.saved(ws, A.gather(windows, plan, _settle(plan)), "marks")
+    ws.drop("hits")
+    return marks
 
 
-def dedup(docs: DataFrame, *, texts: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, *, texts: bool = False, plan: A.Plan | None = None) -> DataFrame:
     """``doc_id``, ``n_words``, ``n_removed``, ``kept_sha256``; with ``texts`` also the kept words as ``text``."""
     docs = A.prepared(docs)
-    plan = A.Plan(docs)
-    marks = A.saved(docs, covered_windows(docs, plan), "substring")
+    plan = plan or A.Plan(docs)
+    marks = covered_windows(docs, plan, Workspace(docs.sparkSession, "substring"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in A.marked(batches, "<i8", "<i4"):
+        for group in A.marked(batches, "<i8", "<u8", "<i4"):
             out = []
-            for doc, text, (starts,) in group:
-                words = (text or "").encode("utf-8", "surrogatepass").split()
-                kept = words
+            for doc, text, found in group:
+                raw = (text or "").encode("utf-8", "surrogatepass")
+                words = raw.split()
+                (starts,), kept = A.own_marks(raw, *found), words
                 if len(starts):
                     edge = np.zeros(len(words) + 1, dtype=np.int64)
                     starts = np.unique(starts)

@@ -4,15 +4,21 @@ Suffixes of the whole corpus at once would be many times the corpus on disk, so
 be repeated are sorted. Pass 1 finds them without loss: of every 50-byte string the k-gram with the least
 hash (all of them, if tied) is an anchor, equal strings have equal anchors, and a string whose anchor
 occurs once occurs once. Around anchors that repeat, the stretch of strings that they stand for goes to
-the anchor's bucket; equal strings always meet in one bucket. Each bucket builds the suffix array of its
-distinct stretches (equal ones count once, for their smallest document) by the difference cover modulo 3: the suffixes at positions 1 and 2 modulo 3 are sorted by
-triples and named, the names are sorted by recursion until they are unique, the remaining suffixes are
-sorted by one byte and a name and merged in, and neighbours in the array are compared on their first 50
-bytes. All steps are whole-array operations; buckets grow in number, not in size, with the corpus.
-
-Defined cases: null text is the empty text; null doc_id takes no part and loses nothing; a row that stands
-twice with one doc_id is one document and covers nothing of itself; texts under 50 bytes keep all; an
-empty table gives no rows; other columns are ignored.
+the anchor's bucket; equal strings always meet in one bucket. The strings of hot anchors (a common line
+with many surroundings) are dealt out by more of what they hold: strings with the anchor at about the same
+place go by the bytes that all of those have, so no bucket gets all surroundings of a line.
+
+Every verdict comes from a suffix array. It is built over the distinct stretches of a bucket (each counts
+for its smallest document) by the difference cover modulo 3: the suffixes at positions 1 and 2 modulo 3
+are sorted by triples and named, the names are sorted by recursion until they are unique, the remaining
+suffixes are sorted by one byte and a name and merged in, and neighbours in the array are compared on their
+first 50 bytes. That gives the smallest document for every string, and each place of a stretch is judged
+by it. A task that reads documents does so for the stretches that several of its own documents have, and
+posts only what that leaves undecided. All steps are whole-array operations over portions of bounded size.
+
+Defined cases: null text is the empty text; null doc_id takes no part and loses nothing; rows that share a
+doc_id cover nothing of each other, whether their texts are equal or not, and each is judged by its own
+text; texts under 50 bytes keep all; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,10 +28,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 from . import anchors as A
-from .common import table
+from .common import Workspace, table
 
 #: Bytes of a string that must repeat.
 LENGTH = 50
@@ -34,6 +41,8 @@ GRAM = 20
 SPAN = LENGTH - GRAM + 1
 #: Bytes of stretches that are sorted together, about.
 SORTED = 1 << 20
+#: Neighbouring strings of a hot anchor that are dealt out together.
+PIECE = 6
 _BYTE = A.mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _POWERS = [pow(0xD6E8FEB86659FD93, 2**k, 1 << 64) for k in range(6)]
 
@@ -86,7 +95,7 @@ def _names(s: np.ndarray, at: np.ndarray) -> np.ndarray:
     base = int(s.max()) + 1
     if base**3 < 1 << 63:
         key = (a * base + b) * base + c
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         new = key[order][1:] != key[order][:-1]
     else:
         pair, order = b * base + c, np.lexsort((b * base + c, a))
@@ -111,7 +120,7 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
         ranked = np.empty(len(sample), dtype=np.int64)
         ranked[order] = np.arange(1, len(sample) + 1)
     else:
-        order, ranked = np.argsort(names, kind="stable"), names
+        order, ranked = np.argsort(names), names
     rank = np.zeros(n + 4, dtype=np.int64)
     rank[sample] = ranked
     ordered = sample[order]
@@ -119,7 +128,7 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
     r = len(sample) + 2
     rest = np.arange(0, n, 3)
     by_one = s[rest] * r + rank[rest + 1]
-    o = np.argsort(by_one, kind="stable")
+    o = np.argsort(by_one)
     rest, by_one = rest[o], by_one[o]
     # Against position 1 a byte and a rank decide, against position 2 two bytes and a rank.
     before = np.searchsorted(s[one] * r + rank[one + 1], by_one)
@@ -141,8 +150,11 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
     return out[out < n]
 
 
-def repeated_windows(raw: np.ndarray, start: np.ndarray, size: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """For stretches of ``raw`` (starts, sizes, documents): which positions start a string that a smaller document has."""
+def smallest_documents(raw: np.ndarray, start: np.ndarray, size: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """For stretches of ``raw`` (starts, sizes, documents): the smallest document of the string that starts at each position.
+
+    Where no whole string starts it is less than any document.
+    """
     owner = np.repeat(np.arange(len(start)), size)
     t = np.full(len(raw) + len(start), 1, dtype=np.int64)  # a 1 ends each stretch
     spot = np.arange(len(raw)) + owner
@@ -152,9 +164,9 @@ def repeated_windows(raw: np.ndarray, start: np.ndarray, size: np.ndarray, doc:
     left[spot] = np.repeat(start + size, size) - np.arange(len(raw))
     array = array[left[array] >= LENGTH]
     at = array - np.searchsorted(start + np.arange(len(start)), array, side="right") + 1  # back to positions in raw
-    covered = np.zeros(len(raw), dtype=bool)
-    if len(at) < 2:
-        return covered
+    least = np.full(len(raw), NONE)
+    if not len(at):
+        return least
     wide = np.r_[raw, np.zeros(8, dtype=np.uint8)]
     eight = np.zeros(len(raw), dtype=np.uint64)
     for k in range(8):
@@ -164,107 +176,157 @@ def repeated_windows(raw: np.ndarray, start: np.ndarray, size: np.ndarray, doc:
         part = eight[at + k]
         same &= part[1:] == part[:-1]
     first = np.flatnonzero(np.r_[True, ~same])
-    owners = doc[owner[at]]
-    least = np.repeat(np.minimum.reduceat(owners, first), np.diff(np.r_[first, len(at)]))
-    covered[at] = owners > least
-    return covered
-
-
-def _stretches(plan: A.Plan):  # noqa: ANN202
-    """Pass 2: the stretch of each hit, once for equal ones of a batch; its larger documents are covered there."""
+    least[at] = np.repeat(np.minimum.reduceat(doc[owner[at]], first), np.diff(np.r_[first, len(at)]))
+    return least
+
+
+#: Less than any document.
+NONE = np.iinfo(np.int64).min
+
+
+class Stretches:
+    """Distinct stretches and the places where they stand."""
+
+    def __init__(self, gram: np.ndarray, text: list[bytes], which: np.ndarray, doc: np.ndarray) -> None:
+        """``gram`` and ``text`` for each kind; ``which`` kind and ``doc`` for each place."""
+        self.gram, self.text, self.which, self.doc = gram, text, which, doc
+        self.size = np.array([len(t) for t in text], dtype=np.int64)
+        self.least = np.full(len(text), np.iinfo(np.int64).max)
+        np.minimum.at(self.least, which, doc)
+        most = np.full(len(text), NONE)
+        np.maximum.at(most, which, doc)
+        self.several = most > self.least
+
+    def judged(self, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """By the suffix arrays of ``kinds``: ``bound``, above which a document's place is covered as a whole (by kind), and
+        the runs that are covered in the place of a kind's smallest document (kind, start, size)."""
+        bound = np.full(len(self.text), np.iinfo(np.int64).max)
+        own, starts, sizes = [], [], []
+        kinds = kinds[np.argsort(self.gram[kinds], kind="stable")]
+        for some in _portions(self.gram[kinds], self.size[kinds]):
+            some = kinds[some]
+            size = self.size[some]
+            start = np.cumsum(size) - size
+            least = smallest_documents(np.frombuffer(b"".join([self.text[k] for k in some]), dtype=np.uint8), start, size, self.least[some])
+            bound[some] = np.maximum.reduceat(least, start)
+            covered = (least < np.repeat(self.least[some], size)) & (least > NONE)
+            # Neighbouring covered starts of a stretch are one run.
+            head, tail = covered.copy(), covered.copy()
+            head[1:] &= ~covered[:-1]
+            tail[:-1] &= ~covered[1:]
+            a, z = np.flatnonzero(head), np.flatnonzero(tail)
+            k = np.searchsorted(start, a, side="right") - 1
+            own.append(some[k])
+            starts.append(a - start[k])
+            sizes.append(z - a + LENGTH)
+        join = lambda x: np.concatenate(x) if x else np.zeros(0, dtype=np.int64)
+        return bound, join(own), join(starts), join(sizes)
+
+
+def _pieces(raw: bytes, h: np.ndarray, value: int, lo: int, hi: int) -> Iterator[tuple[int, int, int]]:
+    """A hot stretch in pieces (key, start, end): neighbouring strings that have the anchor at about the same place.
+
+    The key is a hash of the bytes around the anchor that all strings of such a piece have.
+    """
+    at = lo + np.flatnonzero(h[lo : hi - GRAM + 1] == value)
+    string = np.arange(lo, hi - LENGTH + 1)
+    gram = at[np.searchsorted(at, string)]  # the first in each string
+    part = (gram - string) // PIECE
+    cuts = np.flatnonzero(np.r_[True, (gram[1:] != gram[:-1]) | (part[1:] != part[:-1]), True])
+    for a, z in zip(cuts[:-1], cuts[1:], strict=True):
+        g, q = int(gram[a]), int(part[a])
+        common = raw[g - q * PIECE : g - q * PIECE - PIECE + 1 + LENGTH]
+        yield xxhash.xxh3_64_intdigest(common, q), int(string[a]), int(string[z - 1]) + LENGTH
+
+
+def _stretches(plan: A.Plan, hot: np.ndarray):  # noqa: ANN202
+    """Pass 2: the stretches of hits. What several documents of a batch have is judged there; one place of each is posted."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for docs in A.marked(batches, "<i8", "<i4"):
-            found: dict[tuple[int, bytes], list[tuple[int, int]]] = {}
+            kinds: dict[tuple[int, bytes], int] = {}
+            which, rows, places, ids, hashes = [], [], [], [], []
             for doc, text, (hits,) in docs:
-                if not len(hits):
+                if not text or not len(hits):
                     continue
                 raw = text.encode("utf-8", "surrogatepass")
+                hits = hits[hits <= len(raw) - GRAM]  # an id's hits may be of another row's text
+                if len(raw) < LENGTH or not len(hits):
+                    continue
                 h, least = least_grams(np.frombuffer(raw, dtype=np.uint8))
                 # Neighbouring strings with one least gram are one stretch.
                 starts = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
                 ends = np.r_[starts[1:], len(least)] - 1 + LENGTH
                 value = least[starts]
                 hit = np.isin(value, h[hits])
-                for v, lo, hi in zip(value[hit].tolist(), starts[hit].tolist(), ends[hit].tolist(), strict=True):
-                    found.setdefault((v, raw[lo:hi]), []).append((doc, lo))
-            marks: list[tuple[int, int, int]] = []
-            posts: dict[int, list[tuple[int, int, int, bytes]]] = {}
-            for (h, stretch), places in found.items():
-                least_doc = min(places)[0]
-                for doc, lo in places:
-                    if doc > least_doc:
-                        marks.append((doc, lo, len(stretch)))
-                    else:
-                        posts.setdefault(h % plan.buckets, []).append((doc, lo, h >> 32, stretch))
-            out = _marks(plan, marks)
-            for key, own in posts.items():
-                doc, lo, part, text = zip(*own, strict=True)
-                size = np.array([len(x) for x in text], dtype=np.int32)
-                out.append((A.POST, key, A.pack(np.array(doc, dtype=np.int64), np.array(lo, dtype=np.int32), np.array(part, dtype=np.uint32), size) + b"".join(text)))
+                value, starts, ends = value[hit], starts[hit], ends[hit]
+                split = np.isin(plan.whole(plan.bucket(value), plan.rest(value)), hot) if len(hot) else np.zeros(len(value), dtype=bool)
+                found = list(zip(value[~split].tolist(), starts[~split].tolist(), ends[~split].tolist(), strict=True))
+                for v, lo, hi in zip(value[split], starts[split].tolist(), ends[split].tolist(), strict=True):
+                    found += _pieces(raw, h, v, lo, hi)
+                ids.append(doc)
+                hashes.append(A.row_hash(raw))
+                rows += [len(ids) - 1] * len(found)
+                places += [lo for _, lo, _ in found]
+                which += [kinds.setdefault((v, raw[lo:hi]), len(kinds)) for v, lo, hi in found]
+            if not which:
+                continue
+            ids, hashes = np.array(ids, dtype=np.int64), np.array(hashes, dtype=np.uint64)
+            which, row, lo = np.array(which), np.array(rows), np.array(places, dtype=np.int32)
+            gram = np.fromiter((g for g, _ in kinds), dtype=np.uint64, count=len(kinds))
+            s = Stretches(gram, [t for _, t in kinds], which, ids[row])
+            bound = s.judged(np.flatnonzero(s.several))[0]
+            late = ids[row] > bound[which]
+            out = _marks(plan, ids[row[late]], hashes[row[late]], lo[late], s.size[which[late]])
+            rest = np.flatnonzero(~late)
+            rest = rest[np.argsort(plan.bucket(gram[which[rest]]), kind="stable")]
+            bucket = plan.bucket(gram[which[rest]])
+            edges = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True]) if len(rest) else []
+            for a, z in zip(edges[:-1], edges[1:], strict=True):
+                own = rest[a:z]
+                kind, at = np.unique(which[own], return_inverse=True)
+                doc, who = np.unique(row[own], return_inverse=True)
+                head = [A.pack(ids[doc], hashes[doc]), A.pack(who.astype(np.uint32), at.astype(np.uint32), lo[own]), A.pack((gram[kind] >> np.uint64(32)).astype(np.uint32), s.size[kind].astype(np.int32))]
+                out.append((A.POST, int(bucket[a]), b"".join([*head, *(s.text[k] for k in kind)])))
             if out:
                 yield A.rows(out)
 
     return work
 
 
-def _marks(plan: A.Plan, marks: list[tuple[int, int, int]]) -> list[tuple[int, int, bytes]]:
-    if not marks:
-        return []
-    doc, lo, size = (np.array(c) for c in zip(*marks, strict=True))
-    return A.dealt(A.MARK, doc % plan.doc_buckets, doc.astype(np.int64), lo.astype(np.int32), size.astype(np.int32))
+def _marks(plan: A.Plan, doc: np.ndarray, who: np.ndarray, lo: np.ndarray, size: np.ndarray) -> list[tuple[int, int, bytes]]:
+    return A.dealt(A.MARK, plan.of_doc(doc), doc, who, lo.astype(np.int32), size.astype(np.int32))
 
 
 def _settle(plan: A.Plan):  # noqa: ANN202
-    def reduce(held: list[bytes]) -> list[tuple[int, int, bytes]]:
-        parts, kinds, kind, which = [], {}, [], []
+    """Pass 2, meeting: all places of a bucket's stretches judged by suffix arrays over its distinct stretches."""
+
+    def reduce(_: int, held: list[bytes]) -> list[tuple[int, int, bytes]]:
+        kinds, parts = {}, []
         for x in held:
-            doc, lo, gram, size = A.unpack(x, "<i8", "<i4", "<u4", "<i4")
-            parts.append((doc, lo, size))
-            at = len(x) - int(size.sum())
+            at = 0
+            (ids, hashes), at = A.unpack_at(x, at, "<i8", "<u8")
+            (row, kind, lo), at = A.unpack_at(x, at, "<u4", "<u4", "<i4")
+            (gram, size), at = A.unpack_at(x, at, "<u4", "<i4")
+            names = []
             for g, n in zip(gram.tolist(), size.tolist(), strict=True):
-                text = x[at : at + n]
+                names.append(kinds.setdefault((g, x[at : at + n]), len(kinds)))
                 at += n
-                k = kinds.setdefault((g, text), len(kinds))
-                if k == len(kind):
-                    kind.append((g, text))
-                which.append(k)
-        doc, lo, size = (np.concatenate(c) for c in zip(*parts, strict=True))
-        which = np.array(which)
-        least = np.full(len(kind), np.iinfo(np.int64).max)
-        np.minimum.at(least, which, doc)
-        # Equal stretches need no sorting: those of larger documents are covered as a whole.
-        late = doc > least[which]
-        out = A.dealt(A.MARK, doc[late] % plan.doc_buckets, doc[late], lo[late], size[late])
-        # What is left is one stretch of each kind, and only grams with several kinds can hold more.
-        gram = np.array([g for g, _ in kind], dtype=np.int64)
+            parts.append((ids[row], hashes[row], lo, np.array(names)[kind]))
+        doc, who, lo, which = (np.concatenate(c) for c in zip(*parts, strict=True))
+        gram = np.fromiter((g for g, _ in kinds), dtype=np.int64, count=len(kinds))
+        s = Stretches(gram, [t for _, t in kinds], which, doc)
+        # A stretch that nobody else has, of a gram that no other stretch has, holds nothing that is repeated.
         _, at, often = np.unique(gram, return_inverse=True, return_counts=True)
-        todo = np.flatnonzero(often[at] > 1)
-        todo = todo[np.argsort(gram[todo], kind="stable")]
-        length = np.array([len(t) for _, t in kind], dtype=np.int64)
-        early, place = np.flatnonzero(~late), np.argsort(which[~late], kind="stable")
-        early = early[place]  # the places of each kind in its first document
-        for some in _portions(gram[todo], length[todo]):
-            some = todo[some]
-            k, a, n = settle(least[some], length[some], np.frombuffer(b"".join(kind[x][1] for x in some), dtype=np.uint8))
-            k = some[k]
-            first, last = np.searchsorted(which[early], k, side="left"), np.searchsorted(which[early], k, side="right")
-            own = early[np.concatenate([np.arange(x, y) for x, y in zip(first, last, strict=True)])] if len(k) else early[:0]
-            a, n = np.repeat(a, last - first), np.repeat(n, last - first)
-            out += A.dealt(A.MARK, doc[own] % plan.doc_buckets, doc[own], (lo[own] + a).astype(np.int32), n.astype(np.int32))
-        return out
-
-    def settle(doc: np.ndarray, size: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Covered runs: which stretch, where in it, how long."""
-        start = np.cumsum(size) - size
-        covered = repeated_windows(raw, start, size, doc)
-        # Neighbouring covered starts of a stretch are one run.
-        head, tail = covered.copy(), covered.copy()
-        head[1:] &= ~covered[:-1]
-        tail[:-1] &= ~covered[1:]
-        a, z = np.flatnonzero(head), np.flatnonzero(tail)
-        own = np.searchsorted(start, a, side="right") - 1
-        return own, a - start[own], z - a + LENGTH
+        bound, kind, start, size = s.judged(np.flatnonzero(s.several | (often[at] > 1)))
+        late = doc > bound[which]
+        out = _marks(plan, doc[late], who[late], lo[late], s.size[which[late]])
+        early = np.flatnonzero(~late & (doc == s.least[which]))
+        early = early[np.argsort(which[early], kind="stable")]  # the places of each kind in its smallest document
+        first, last = np.searchsorted(which[early], kind, side="left"), np.searchsorted(which[early], kind, side="right")
+        own = early[np.concatenate([np.arange(x, y) for x, y in zip(first, last, strict=True)])] if len(kind) else early[:0]
+        start, size = np.repeat(start, last - first), np.repeat(size, last - first)
+        return out + _marks(plan, doc[own], who[own], lo[own] + start, size)
 
     return reduce
 
@@ -279,24 +341,27 @@ def _portions(gram: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
     return np.split(np.arange(len(gram)), np.flatnonzero(portion[1:] != portion[:-1]) + 1)
 
 
-def covered_stretches(docs: DataFrame, plan: A.Plan) -> DataFrame:
+def covered_stretches(docs: DataFrame, plan: A.Plan, ws: Workspace) -> DataFrame:
     """Packed marks: document, start and size of what strings of smaller documents cover."""
-    hits = A.gather(A.post(docs, plan, least_anchors), plan, A.repeated(plan))
-    stretches = A.meet(docs, hits, plan).mapInArrow(_stretches(plan), A.PACKED)
-    return A.gather(stretches, plan, _settle(plan))
+    hits = A.saved(ws, A.gather(A.post(docs, plan, least_anchors), plan, A.repeated(plan)), "hits")
+    stretches = A.meet(docs, hits, plan).mapInArrow(_stretches(plan, A.hot_anchors(hits)), A.PACKED)
+    marks = A.saved(ws, A.gather(stretches, plan, _settle(plan)), "marks")
+    ws.drop("hits")
+    return marks
 
 
-def dedup(docs: DataFrame, *, texts: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, *, texts: bool = False, plan: A.Plan | None = None) -> DataFrame:
     """``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256``; with ``texts`` also what is left as binary ``kept``."""
     docs = A.prepared(docs)
-    plan = A.Plan(docs)
-    marks = A.saved(docs, covered_stretches(docs, plan), "suffix")
+    plan = plan or A.Plan(docs)
+    marks = covered_stretches(docs, plan, Workspace(docs.sparkSession, "suffix"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in A.marked(batches, "<i8", "<i4", "<i4"):
+        for group in A.marked(batches, "<i8", "<u8", "<i4", "<i4"):
             out = []
-            for doc, text, (starts, sizes) in group:
+            for doc, text, found in group:
                 raw = (text or "").encode("utf-8", "surrogatepass")
+                starts, sizes = A.own_marks(raw, *found)
                 kept, spans = raw, 0
                 if len(starts):
                     edge = np.zeros(len(raw) + 1, dtype=np.int64)
