@@ -110,6 +110,10 @@ class Plan:
         """Bucket and rest as one number."""
         return rest * np.uint64(self.buckets) + np.asarray(bucket, dtype=np.uint64)
 
+    def whole_of(self, h: np.ndarray) -> np.ndarray:
+        """What :meth:`whole` gives for hashes."""
+        return self.whole(self.bucket(h), self.rest(h))
+
     def of_doc(self, ids: np.ndarray) -> np.ndarray:
         """The bucket of documents by their ids, as :meth:`doc_key` has it."""
         return hash_long(ids).astype(np.int64) % self.buckets

@@ -40,7 +40,7 @@ LENGTH = 50
 GRAM = 20
 SPAN = LENGTH - GRAM + 1
 #: Bytes of stretches that are sorted together, about.
-SORTED = 1 << 20
+SORTED = 1 << 18
 #: Neighbouring strings of a hot anchor that are dealt out together.
 PIECE = 6
 _BYTE = A.mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -93,6 +93,11 @@ def _names(s: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Ranks (from 1, equal for equal triples) of the triples at positions."""
     a, b, c = s[at], s[at + 1], s[at + 2]
     base = int(s.max()) + 1
+    if base**3 < 4 * len(at):  # few triples: those that occur are numbered without sorting
+        key = (a * base + b) * base + c
+        there = np.zeros(base**3, dtype=bool)
+        there[key] = True
+        return np.cumsum(there, dtype=np.int32)[key]
     if base**3 < 1 << 63:
         key = (a * base + b) * base + c
         order = np.argsort(key)
@@ -111,7 +116,12 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
     if n < 3:
         return np.array(sorted(range(n), key=lambda i: t[i:].tolist()), dtype=np.int64)
     s = np.zeros(n + 4, dtype=np.int64)
-    s[:n] = t
+    if int(t.max()) < 1 << 16:  # values that don't occur are left out
+        there = np.zeros(int(t.max()) + 1, dtype=bool)
+        there[t] = True
+        s[:n] = np.cumsum(there, dtype=np.int32)[t]
+    else:
+        s[:n] = t
     # The names of positions 1 modulo 3 end in a triple that has a zero, so none runs on into those of 2.
     sample = np.r_[np.arange(1, n + (n % 3 == 1), 3), np.arange(2, n, 3)]
     names = _names(s, sample)
@@ -126,10 +136,13 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
     ordered = sample[order]
     one, two = ordered[ordered % 3 == 1], ordered[ordered % 3 == 2]
     r = len(sample) + 2
-    rest = np.arange(0, n, 3)
+    # One before each position 1 modulo 3, in the order of what follows, so only their own values are left to be sorted by.
+    rest = one - 1
+    if int(s.max()) < 1 << 16:
+        rest = rest[np.argsort(s[rest].astype(np.uint16), kind="stable")]
+    else:
+        rest = rest[np.argsort(s[rest] * r + rank[rest + 1])]
     by_one = s[rest] * r + rank[rest + 1]
-    o = np.argsort(by_one)
-    rest, by_one = rest[o], by_one[o]
     # Against position 1 a byte and a rank decide, against position 2 two bytes and a rank.
     before = np.searchsorted(s[one] * r + rank[one + 1], by_one)
     high = int(s.max()) + 1
@@ -228,7 +241,7 @@ def _pieces(raw: bytes, h: np.ndarray, value: int, lo: int, hi: int) -> Iterator
 
     The key is a hash of the bytes around the anchor that all strings of such a piece have.
     """
-    at = lo + np.flatnonzero(h[lo : hi - GRAM + 1] == value)
+    at = lo + np.flatnonzero(h[lo : hi - GRAM + 1] == np.uint64(value))
     string = np.arange(lo, hi - LENGTH + 1)
     gram = at[np.searchsorted(at, string)]  # the first in each string
     part = (gram - string) // PIECE
@@ -255,15 +268,15 @@ def _stretches(plan: A.Plan, hot: np.ndarray):  # noqa: ANN202
                     continue
                 h, least = least_grams(np.frombuffer(raw, dtype=np.uint8))
                 # Neighbouring strings with one least gram are one stretch.
-                starts = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
-                ends = np.r_[starts[1:], len(least)] - 1 + LENGTH
-                value = least[starts]
-                hit = np.isin(value, h[hits])
-                value, starts, ends = value[hit], starts[hit], ends[hit]
-                split = np.isin(plan.whole(plan.bucket(value), plan.rest(value)), hot) if len(hot) else np.zeros(len(value), dtype=bool)
-                found = list(zip(value[~split].tolist(), starts[~split].tolist(), ends[~split].tolist(), strict=True))
-                for v, lo, hi in zip(value[split], starts[split].tolist(), ends[split].tolist(), strict=True):
-                    found += _pieces(raw, h, v, lo, hi)
+                cuts = np.flatnonzero(least[1:] != least[:-1]) + 1
+                starts, value = [0, *cuts.tolist()], [int(least[0]), *least[cuts].tolist()]
+                ends = [*(x - 1 + LENGTH for x in starts[1:]), len(raw)]
+                known = set(h[hits].tolist())
+                found = [(v, lo, hi) for v, lo, hi in zip(value, starts, ends, strict=True) if v in known]
+                if len(hot):
+                    split = np.isin(plan.whole_of(np.array([v for v, _, _ in found], dtype=np.uint64)), hot).tolist()
+                    whole = [x for x, cut in zip(found, split, strict=True) if not cut]
+                    found = whole + [piece for x, cut in zip(found, split, strict=True) if cut for piece in _pieces(raw, h, *x)]
                 ids.append(doc)
                 hashes.append(A.row_hash(raw))
                 rows += [len(ids) - 1] * len(found)
