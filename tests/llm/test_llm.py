@@ -135,6 +135,45 @@ def test_op2(spark, factor):
     assert len(few) == 2
 
 
+@pytest.mark.parametrize("scale", [1e-20, 1e-8, 1.0, 1e8])
+def test_op2_is_exact_at_factor_one_whatever_the_scale(spark, scale):
+    rng = np.random.default_rng(9)
+    x = (rng.normal(size=(600, 6)) * scale * 10.0 ** rng.integers(-3, 1, size=(600, 1))).astype(np.float32)
+    x[300:340] = x[7]  # more ties than are kept beside the nearest
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>")
+    y = x.astype(np.float64)
+    got = {}
+    for r in nearest.search(df, df.where("vec_id % 20 = 0"), factor=1.0, shard=200).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    for q in range(0, 600, 20):
+        s = nearest.exact_scores(np.repeat(y[q : q + 1], 600, axis=0), y)
+        want = sorted((-s[k], k) for k in range(600) if k != q)[:20]
+        assert [(v, t) for _, v, t in sorted(got[q])] == [(k, -t) for t, k in want]
+
+
+def test_op2_one_vector_for_each_id(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.5, 0.0]), (2, [2.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 3.0]), (0, [1.0, 1.0]), (0, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    got = sorted(map(tuple, nearest.search(df, df.where("vec_id = 0")).collect()))
+    assert got == [(0, 1, 3, 3.0), (0, 2, 2, 2.0), (0, 3, 1, 0.5)]
+
+
+def test_op2_recall_on_the_embeddings_table(spark):
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = df.collect()
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], dtype=np.float64)
+    hits = n = 0
+    got = {}
+    for r in nearest.op2(spark, "/root/testdata/sf0.1").collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    for k in np.flatnonzero(ids % 20 == 0):
+        s = x @ x[k]
+        s[k] = -np.inf
+        hits += len(got[ids[k]] & set(ids[np.lexsort((ids, -s))[:20]].tolist()))
+        n += 20
+    assert hits / n >= 0.99
+
+
 RULES = [("assign", re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), 2, 8), ("access", re.compile("AKIA[A-Z0-9]+"), 0, 16), ("hex", re.compile("[0-9a-f]+"), 0, 32)]
 
 
