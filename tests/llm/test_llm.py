@@ -463,11 +463,34 @@ def test_op9(spark):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_op9_large_buckets_and_one_vector_for_each_id(spark, monkeypatch):
+    """Buckets in blocks give what brute force gives; a small block size makes many of them."""
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 40)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(500, 16))
+    x[:250] = x[0] + rng.normal(size=(250, 16)) * 0.2
+    rows = [(k, v.tolist()) for k, v in enumerate(x)] + [(499, (x[0] + 1e-3).tolist() if x[0][0] + 1e-3 < x[499][0] else x[499].tolist()), (3, None)]
+    least = {}
+    for i, v in rows:
+        if v:
+            least[i] = min(least.get(i, v), v)
+    y = np.array([least[k] for k in range(500)])
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    link = y @ y.T >= 0.9
+    np.fill_diagonal(link, False)
+    low = np.arange(500)
+    for _ in range(500):
+        low = np.array([min([low[i], *low[link[i]]]) for i in range(500)])
+    out = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)).collect()
+    assert len(out) == len(rows) and link.sum() > 10_000
+    assert all((r.n_links, r.component_id) == (link[r.vec_id].sum(), low[r.vec_id]) for r in out)
+
+
 def test_op9_estimates_are_unbiased():
     rng = np.random.default_rng(1)
     u = rng.normal(size=(400, 64))
     u /= np.linalg.norm(u, axis=1, keepdims=True)
-    c = embedding_dedup.Codes(np.arange(400), np.ones(400), np.zeros((400, 1)), u)
+    c = embedding_dedup.Codes(np.arange(400), np.ones(400), np.zeros((400, 1)), u, *embedding_dedup.encoded(u))
     est, error = c.estimates(c)
     off = (est - u @ u.T)[~np.eye(400, dtype=bool)]
     assert abs(off.mean()) < 0.01 and (np.abs(est - u @ u.T) <= embedding_dedup.BOUND * error[None, :]).mean() > 0.999
