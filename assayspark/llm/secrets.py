@@ -7,14 +7,19 @@ to the ledger, and joins the ledger's findings back to every document (path) tha
 Positions come from built-in functions: what lies between the matches (``split``) and the matches
 themselves (``regexp_extract_all``) give the offsets as running sums of lengths in code points.
 
+The ledger may be kept from one run to the next: the setting ``LEDGER`` of the session names its folder, and
+without it a run has a ledger of its own. Two scans at once, or a retried one, may append a blob twice; a
+pair of blob and rule version is read as one all the same.
+
 Defined cases: null text is the empty text; null doc_id is kept as a row; repeated rows and equal texts
-share one blob and get the same spans; a text without a finding has an empty span list and is in the
-ledger as scanned; an empty table gives no rows; other columns are ignored.
+share one blob and get the same spans; a doc_id with several texts (versions) is one row for each; a text
+without a finding has an empty span list and is in the ledger as scanned; an empty table gives no rows;
+columns of the table named ``blob`` or ``found`` give way to the operator's, others are kept as they are.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
@@ -35,6 +40,8 @@ PRESENT = {
     "access": r"AKIA[A-Z0-9]{12}",
     "hex": r"[0-9a-f]{32}",
 }
+#: Setting with the folder of a ledger that is kept between runs.
+LEDGER = "spark.assayspark.secrets.ledger"
 SPANS = "array<struct<start:int,ord:int,end:int>>"
 
 
@@ -70,9 +77,9 @@ def find(text: Column) -> Column:
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
-    """The ledger's ``blob``, ``rule_version``, ``spans``; empty where none was written yet."""
+    """The ledger's ``blob``, ``rule_version``, ``spans``, each pair once; empty where none was written yet."""
     try:
-        return spark.read.parquet(path)
+        return spark.read.parquet(path).dropDuplicates(["blob", "rule_version"])
     except AnalysisException as e:
         if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
@@ -93,17 +100,22 @@ def scan(docs: DataFrame, ledger: str) -> int:
     # A doc_id may stand on rows with different texts: the blob is matched too, then made unique.
     texts = ids.withColumn("blob", blob_id(F.col("text"))).join(unseen, ["id", "blob"], "left_semi")
     found = texts.select("blob", find(F.col("text")).alias("spans")).groupBy("blob").agg(F.first("spans").alias("spans"))
-    before = read_ledger(spark, ledger).count()
-    found.select("blob", F.lit(RULE_VERSION).alias("rule_version"), "spans").write.mode("append").parquet(ledger)
-    return spark.read.parquet(ledger).count() - before
+    new = Observation()
+    found.select("blob", F.lit(RULE_VERSION).alias("rule_version"), "spans").observe(new, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(ledger)
+    return new.get["n"]
+
+
+def ledger_path(spark: SparkSession, name: str) -> str:
+    """The folder of the session's ledger, or of one for this run."""
+    return spark.conf.get(LEDGER, None) or f"{Workspace(spark, name).root}/ledger"
 
 
 def findings(docs: DataFrame, ledger: str) -> DataFrame:
     """Join the ledger's findings back: every row of ``docs`` with its ``blob`` and ``found`` spans."""
-    spark = docs.sparkSession
-    hits = read_ledger(spark, ledger).where((F.col("rule_version") == RULE_VERSION) & (F.size("spans") > 0)).select(F.col("blob").alias("hit"), F.col("spans").alias("found"))
-    named = docs.withColumn("blob", blob_id(F.col("text")))
-    return named.join(hits, F.col("blob") == F.col("hit"), "left").drop("hit").withColumn("found", F.coalesce("found", F.array().cast(SPANS)))
+    hits = read_ledger(docs.sparkSession, ledger).where((F.col("rule_version") == RULE_VERSION) & (F.size("spans") > 0))
+    named = docs.select(F.struct(*[c for c in docs.columns if c not in ("blob", "found")]).alias("row"), blob_id(F.col("text")).alias("blob"))
+    joined = named.join(hits.select("blob", F.col("spans").alias("found")), "blob", "left")
+    return joined.select("row.*", "blob", F.coalesce("found", F.array().cast(SPANS)).alias("found"))
 
 
 def digest(found: Column) -> Column:
@@ -133,7 +145,7 @@ def _count(order: int) -> Column:
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    ledger = f"{Workspace(spark, 'secrets').root}/ledger"
+    ledger = ledger_path(spark, "secrets")
     scan(docs, ledger)
     out = findings(docs, ledger).withColumn("spans", digest(F.col("found")))
     return out.select("doc_id", *[_count(k) for k in range(len(RULES))], F.sha2("spans", 256).alias("base_sha256"), "spans")
