@@ -82,6 +82,17 @@ def tokenizer_json(tokens: list[bytes]) -> str:
                   "vocab": {n: i for i, n in enumerate(name)}, "merges": [[text(a), text(b)] for a, b in merges_of(tokens)]}})
 
 
+def byte_of_character() -> np.ndarray:
+    """The byte table reversed: the byte for the number of each of its characters."""
+    out = np.zeros(512, dtype=np.uint8)
+    for b, c in enumerate(byte_characters()):
+        out[ord(c)] = b
+    return out
+
+
+BYTE_OF = byte_of_character()
+
+
 class Codec:
     """Encoder and decoder of one vocabulary; picklable, the library's object is made in each worker."""
 
@@ -89,6 +100,8 @@ class Codec:
         self.tokens = read_ranks(path)
         self.pattern = pattern
         self.definition = tokenizer_json(self.tokens)
+        char = byte_characters()
+        self.names = ["".join(char[b] for b in t) for t in self.tokens]
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         """Ids of each text."""
@@ -106,8 +119,11 @@ class Codec:
             yield np.frombuffer(b"".join(map(known.__getitem__, parts)), dtype="<u4")
 
     def decode(self, ids: np.ndarray) -> bytes:
-        """The bytes of a list of ids."""
-        return b"".join(map(self.tokens.__getitem__, ids.tolist()))
+        """The bytes of a list of ids: the characters of their tokens, taken back through the byte table."""
+        if len(ids) and int(ids.min()) < 0:
+            raise IndexError("an id is out of the vocabulary")
+        text = "".join(map(self.names.__getitem__, ids.tolist()))
+        return BYTE_OF[np.frombuffer(text.encode("utf-16-le"), dtype="<u2")].tobytes()
 
     def offsets(self, text: str, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
         """Start and end of each token in characters, and the number of tokens that end inside one."""
