@@ -4,13 +4,14 @@ Every source gets a word budget. Whole epochs of a source come first; what is le
 weighted sample without replacement: documents sorted by exponential keys ``-ln(u) / quality`` (small
 keys first, ``u`` a hash of the id and the seed) up to the budget, by prefix sums.
 
-Prefix sums of a hot source are split: keys fall into ranges, ranges are summed before anything is
-shuffled, and a document's prefix is the sum of the ranges before its own plus the words before it in
-its range. No task ever holds a source.
-
-Defined cases: null text has size 0; null source is a source of its own, last in order; null doc_id is
-hashed as such; repeated rows get equal keys and are separate rows; missing or non-positive quality
-weights count as 1; an empty table gives no rows; other columns are ignored.
+Prefix sums of a hot source are split: documents are range-partitioned by key, so ranges hold about equally
+many whatever the weights are, ranges are summed, and a document's prefix is the sum of the ranges before
+its own plus the words before it in its range. No task ever holds a source.
+
+Defined cases: null text has size 0; null source is a source of its own, last in order; rows with null
+doc_id are hashed by their text; repeated rows get equal keys and are separate rows, the smaller first where
+sizes differ; missing or non-positive quality weights count as 1; an empty table gives no rows; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, Workspace, table
+from .common import WORD, Workspace, shuffle_partitions, table
 
 #: Source weights by position in code point order, repeating.
 SOURCE_WEIGHTS = (3, 1, 2)
@@ -27,8 +28,6 @@ SOURCE_WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 #: No source and no document is used more often.
 MAX_REPEATS = 2.0
-#: Key ranges of a source; a range of the largest source is what one task sorts.
-RANGES = 4096
 
 
 def word_count(text: Column) -> Column:
@@ -36,9 +35,10 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def uniform(doc_id: Column, seed: str) -> Column:
-    """A number in (0, 1) from 52 bits of the md5 of seed and id."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null"))).cast("binary"))
+def uniform(doc_id: Column, text: Column, seed: str) -> Column:
+    """A number in (0, 1) from 52 bits of the md5 of seed and id, or text where there is no id."""
+    own = F.concat(F.lit("null:"), F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), own)).cast("binary"))
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
 
 
@@ -79,7 +79,7 @@ def mix(
     cap: float = MAX_REPEATS,
     weights: tuple[int, ...] = SOURCE_WEIGHTS,
     seed: str = "mix-1",
-    ranges: int = RANGES,
+    ranges: int | None = None,
 ) -> DataFrame:
     """Decide how often the mix takes each document.
 
@@ -88,18 +88,16 @@ def mix(
     ``taken`` (words). A boundary document is taken whole if that brings its source nearer to the target.
     """
     ws = Workspace(docs.sparkSession, "mix")
-    base = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    base = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), uniform(F.col("doc_id"), F.col("text"), seed).alias("u"))
     if quality is not None:
         best = quality.groupBy("doc_id").agg(F.max("weight").cast("double").alias("weight"))
         base = base.join(best, "doc_id", "left")
     else:
         base = base.withColumn("weight", F.lit(1.0))
     q = F.when(F.col("weight") > 0, F.col("weight")).otherwise(F.lit(1.0))
-    base = base.withColumn("key", -F.log(uniform(F.col("doc_id"), seed)) / q)
-    # 1 - exp(-key) rises with the key and lies in [0, 1]: equal steps of it are the ranges.
-    base = base.select(
-        "doc_id", "source", "size", "key", F.least(F.lit(ranges - 1), F.floor((1 - F.exp(-F.col("key"))) * ranges)).cast("int").alias("range")
-    )
+    base = base.select("doc_id", "source", "size", (-F.log("u") / q).alias("key"))
+    # The saved table keeps each document's range, whatever a rerun would deal out.
+    base = base.repartitionByRange(ranges or shuffle_partitions(docs.sparkSession), "key", "doc_id", "size").withColumn("range", F.spark_partition_id())
     base = ws.save(base, "sizes")
     by_range = ws.save(base.groupBy("source", "range").agg(F.sum("size").alias("words")), "ranges")
     goal = targets(by_range.groupBy("source").agg(F.sum("words").alias("source_size")), share, cap, weights)
@@ -112,7 +110,7 @@ def mix(
         "r.source", "range", "words", "ahead", "source_size", "target", "full", "left"
     )
     same = F.col("d.source").eqNullSafe(F.col("s.source")) & (F.col("d.range") == F.col("s.range"))
-    within = W.partitionBy("d.source", "d.range").orderBy("d.key", "d.doc_id").rowsBetween(W.unboundedPreceding, -1)
+    within = W.partitionBy("d.source", "d.range").orderBy("d.key", "d.doc_id", "d.size").rowsBetween(W.unboundedPreceding, -1)
     out = base.alias("d").join(starts.alias("s"), same)
     # A range wholly inside or outside of the budget needs no order within it.
     out = out.withColumn("inner", F.coalesce(F.sum("d.size").over(within), F.lit(0)))
@@ -139,11 +137,11 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE = r"""
 WITH d AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+  SELECT doc_id, source, text, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
 q AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1.0::DOUBLE ELSE 0.25::DOUBLE END) AS weight FROM labels
       WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
 k AS (
-  SELECT d.*, -ln((('0x' || substr(md5('mix-1:' || coalesce(d.doc_id::VARCHAR, 'null')), 1, 13))::BIGINT::DOUBLE + 0.5)
+  SELECT d.*, -ln((('0x' || substr(md5('mix-1:' || coalesce(d.doc_id::VARCHAR, 'null:' || md5(coalesce(d.text, '')))), 1, 13))::BIGINT::DOUBLE + 0.5)
          / 4503599627370496.0::DOUBLE) / coalesce(q.weight, 1.0::DOUBLE) AS key
   FROM d LEFT JOIN q USING (doc_id)),
 s AS (
@@ -160,7 +158,7 @@ t AS (
 f AS (SELECT *, CASE WHEN ss > 0 THEN floor(target / ss) ELSE 0 END AS full_epochs FROM t),
 p AS (
   SELECT k.doc_id, k.size, f.ss, f.target, f.full_epochs, f.target - f.full_epochs * f.ss AS rest,
-         coalesce(sum(k.size) OVER (PARTITION BY k.source ORDER BY k.key, k.doc_id
+         coalesce(sum(k.size) OVER (PARTITION BY k.source ORDER BY k.key, k.doc_id, k.size
            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead
   FROM k JOIN f ON k.source IS NOT DISTINCT FROM f.source)
 SELECT doc_id, size, ss::BIGINT AS source_size, target,
