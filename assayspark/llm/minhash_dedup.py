@@ -13,7 +13,9 @@ document that most of its lists begin with. Then lists that still hold several c
 through in blocks, those with one main component together: documents outside of the main component
 against all others, collisions counted over whole signatures. Documents with a pair above the match
 threshold get their full sets and the blocks are gone through again; only confirmed links leave the task.
-Links within one component can't change it and need no look.
+Links within one component can't change it and need no look. Blocks grow with their list, so the copies of
+a list's members that are sent to blocks grow with its length to the power of a half more, up to a bound
+on what a task holds.
 
 Defined cases: null or empty text, or one without words: no shingles, linked with nothing; fewer than five
 words: the whole sequence is the one shingle; null doc_id: linked with nothing, component null, kept;
@@ -41,8 +43,9 @@ THRESHOLD = 75
 COORDINATES = 64
 #: Coordinates in which a pair must agree to be compared on its full sets.
 MATCHES = 35
-#: Documents of a block outside of a list's main component, and of a run of the list that they meet.
-BLOCK, RUN = 256, 4096
+#: Documents of a block outside of a list's main component, and of a run of the list that they meet: least and most,
+#: the most with full sets; and how many of a block are compared at once.
+LEAST, MOST, MOST_SETS, CHUNK = 512, 16384, 1024, 256
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _rng = np.random.default_rng(20240607)
 _A = (_rng.integers(0, 1 << 63, COORDINATES, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -170,11 +173,12 @@ def _members(prefix: DataFrame, comp: DataFrame) -> DataFrame:
     return g.join(lists.where(F.col("main_n") < F.col("all")).select("token", "main"), "token").select("main", "doc", "comp").distinct()
 
 
-def _blocks(members: DataFrame) -> DataFrame:
+def _blocks(members: DataFrame, most: int) -> DataFrame:
     """Rows of members dealt out by ``main``, ``block`` and ``run``: side 0 those outside of the main component, side 1 all."""
     outside = F.col("comp") != F.col("main")
     sizes = members.groupBy("main").agg(F.count("*").alias("all"), F.count_if(outside).alias("out")).where("out > 0")
-    sizes = sizes.select("main", F.ceil(F.col("out") / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("all") / RUN).cast("int").alias("runs"))
+    pieces = lambda n: F.ceil(F.col(n) / F.least(F.lit(float(most)), F.greatest(F.lit(float(LEAST)), F.sqrt(n) * 8))).cast("int")
+    sizes = sizes.select("main", pieces("out").alias("blocks"), pieces("all").alias("runs"))
     held = members.join(sizes, "main").withColumn("outside", outside)
     block, run = F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"), F.pmod(F.xxhash64(F.lit(1), "doc"), F.col("runs")).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -204,8 +208,8 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list]]:
                 held.append(part)
             elif held:
                 block = block or [sum(x, []) if isinstance(x[0], list) else np.concatenate(x) for x in zip(*held, strict=True)]
-                for k in range(0, hi - lo, BLOCK):
-                    yield key[0], block, [x[k : k + BLOCK] for x in part]
+                for k in range(0, hi - lo, CHUNK):
+                    yield key[0], block, [x[k : k + CHUNK] for x in part]
 
 
 def _close(one: list, other: list) -> tuple[np.ndarray, np.ndarray]:
@@ -230,7 +234,7 @@ def _needed(members: DataFrame) -> DataFrame:
                 docs = np.unique(np.r_[one[1][i], other[1][j]])
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(docs), main)), pa.array(docs)], names=["main", "doc"])
 
-    return _blocks(members).mapInArrow(work, "main long, doc long").distinct()
+    return _blocks(members, MOST).mapInArrow(work, "main long, doc long").distinct()
 
 
 def _linked(members: DataFrame) -> DataFrame:
@@ -254,7 +258,7 @@ def _linked(members: DataFrame) -> DataFrame:
             if left:
                 yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
-    return _blocks(members).mapInArrow(work, "a long, b long").distinct()
+    return _blocks(members, MOST_SETS).mapInArrow(work, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -187,21 +187,42 @@ def test_op3(spark, tmp_path):
         "token='short' passwd=longenough1", ("token=abcdefgh " * 300), "é" * 5 + "PassWord=a.b-c_d/e+f=",
     ]
     rows = [(k, t) for k, t in enumerate(texts)] + [(99, texts[3]), (99, texts[3]), (None, texts[7])]
-    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("blob", F.lit("x")).select("doc_id", "text")
+    df = spark.createDataFrame(rows, "doc_id long, text string").select("*", *[F.lit(f"own {c}").alias(c) for c in ("blob", "found", "hit", "spans", "row", "id")])
     ledger = str(tmp_path / "ledger")
     assert secrets.scan(df, ledger) == len({t or "" for _, t in rows})
     assert secrets.scan(df, ledger) == 0  # all blobs are known
-    assert secrets.scan(df.union(spark.createDataFrame([(5, "new")], df.schema)), ledger) == 1
-    out = secrets.findings(df, ledger).withColumn("spans", secrets.digest(F.col("found"))).withColumn("clean", secrets.redact(F.col("text"), F.col("found"))).collect()
+    assert secrets.scan(df.union(spark.createDataFrame([(5, "new", *df.columns[2:])], df.schema)), ledger) == 1
+    out = secrets.findings(df, ledger).withColumn("own", F.col("hit")).withColumn("spans", secrets.digest(F.col("found"))).withColumn("clean", secrets.redact(F.col("text"), F.col("found"))).collect()
     assert len(out) == len(rows)
     for r in out:
         assert r.spans == spans(r.text)
-        assert (r.clean == r.text) == (r.spans == "")
+        assert (r.clean == r.text) == (r.spans == "") and r.own == "own hit" and r.id == "own id"
         if r.clean is not None and r.spans:
             assert "[SECRET]" in r.clean
     assert secrets.scan(df.limit(0), str(tmp_path / "other")) == 0
 
 
+def test_op3_ledger_over_two_versions(spark, tmp_path):
+    """A kept ledger: the second version of a table scans only new blobs; a blob that was appended twice counts once."""
+    first = [(1, "token=abcdefgh"), (2, "clean text"), (3, "AKIA" + "X" * 16)]
+    second = [(1, "token=abcdefgh changed"), (2, "clean text"), (4, "token=abcdefgh"), (3, None)]
+    one, two = (spark.createDataFrame(rows, "doc_id long, text string") for rows in (first, second))
+    ledger = str(tmp_path / "kept")
+    assert secrets.scan(one, ledger) == 3 and secrets.scan(two, ledger) == 2
+    other = str(tmp_path / "other")
+    secrets.scan(one, other)
+    spark.read.parquet(other).write.mode("append").parquet(ledger)  # what a second scan at the same time would have appended
+    for df, rows in ((one, first), (two, second)):
+        got = secrets.findings(df, ledger).select("doc_id", secrets.digest(F.col("found")).alias("s")).collect()
+        assert sorted(map(tuple, got)) == sorted((i, spans(t)) for i, t in rows)
+    assert secrets.scan(one.union(two), ledger) == 0
+    spark.conf.set(secrets.LEDGER, ledger)
+    try:
+        assert secrets.ledger_path(spark, "x") == ledger
+    finally:
+        spark.conf.unset(secrets.LEDGER)
+
+
 def test_op3_counts(spark, sf_dir):
     for r in secrets.op3(spark, sf_dir).collect():
         kinds = Counter(x.split(":")[0] for x in r.spans.split(",") if x)
@@ -399,6 +420,15 @@ def test_op7(docs, rows, spark, empty):
     assert bpe.round_trip(empty, codec).count() == 0
 
 
+def test_op7_byte_table_is_reversed():
+    codec = bpe.public_codec()
+    assert [bpe.BYTE_OF[ord(c)] for c in bpe.byte_characters()] == list(range(256))
+    ids = np.arange(0, 50_000, 7)
+    assert codec.decode(ids) == b"".join(codec.tokens[i] for i in ids) and codec.decode(ids[:0]) == b""
+    with pytest.raises(IndexError):
+        codec.decode(np.array([-1]))
+
+
 def water_filled(sizes, weights, share=1.5, cap=2.0):
     goal, left, open_ = {}, share * sum(sizes.values()), set(sizes)
     while open_:
@@ -431,6 +461,28 @@ def test_op8(docs, rows, spark, empty):
     assert mixing.mix(empty).count() == 0
 
 
+def test_op8_ranges_are_even_for_any_weight(spark):
+    """Neither low weights nor rows without id crowd into one range."""
+    rows = [(k if k % 3 else None, f"w{k} x y", "a") for k in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    q = df.where("doc_id IS NOT NULL").select("doc_id", F.when(F.col("doc_id") % 2 == 0, 0.01).otherwise(3.0).alias("weight"))
+    seen = []
+    save = Workspace.save
+
+    def spy(self, table, name):
+        out = save(self, table, name)
+        if name == "sizes":
+            seen.extend(r["count"] for r in out.groupBy("range").count().collect())
+        return out
+
+    Workspace.save = spy
+    try:
+        assert mixing.mix(df, q, ranges=10).count() == 3000
+    finally:
+        Workspace.save = save
+    assert len(seen) == 10 and max(seen) < 600
+
+
 def test_op8_quality_comes_first(spark):
     df = spark.createDataFrame([(k, "w " * 10, "x" if k % 2 else "y") for k in range(400)], "doc_id long, text string, source string")
     q = spark.createDataFrame([(k, 50.0 if k % 4 < 2 else 1.0) for k in range(400)], "doc_id long, weight double")
