@@ -45,7 +45,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with what the secret scan finds replaced in their texts."""
-    ledger = f"{Workspace(spark, 'pipeline-secrets').root}/ledger"
+    ledger = secrets.ledger_path(spark, "pipeline-secrets")
     docs = docs.select(COLUMNS)
     secrets.scan(docs, ledger)
     found = secrets.findings(docs, ledger)
