@@ -33,6 +33,8 @@ PAGE_MARKER = r"<!--\s*PAGE\s+(\d+)\s*-->"
 NUMBER = r"[-+]?\d*\.?\d+(?:[eE][-+]?\d+)?"
 PAGES = r"(?i)pages?\s*(\d+)(?:\s*[-–]\s*(\d+))?"
 BLANK = " \t\n\r\x0b\x0c"
+#: A run of any white space.
+WHITE = r"[\s\x0b\x1c-\x1f\x85\p{Z}]+"
 
 
 def strip(c: Column) -> Column:
@@ -122,7 +124,12 @@ def reorganised_line(line: Column) -> Column:
         out = out.when(s.rlike(pattern), F.lit(heading))
     many = F.size(F.filter(F.split(s, r"\s+"), lambda x: x != "")) >= 2
     caps = s.rlike(CAPS_HEADING) & ~s.isin(*CAPS_BLOCKED) & many
-    return out.when(caps, F.concat(F.lit("## "), F.initcap(F.lower(s)))).otherwise(line)
+    return out.when(caps, F.concat(F.lit("## "), title_cased(s))).otherwise(line)
+
+
+def title_cased(c: Column) -> Column:
+    """Each run of letters with a capital first, so also after dashes and signs."""
+    return F.array_join(F.transform(F.regexp_extract_all(F.lower(c), F.lit(r"(\p{L}+|[^\p{L}]+)"), F.lit(1)), lambda x: F.initcap(x)), "")
 
 
 def reorganised(text: Column) -> Column:
@@ -131,16 +138,21 @@ def reorganised(text: Column) -> Column:
 
 
 def shingle_ratio(text: Column) -> Column:
-    """Distinct share of 8-character shingles at every fourth place of the text with blanks squeezed; null if under 200 long."""
-    body = strip(F.regexp_replace(text, r"[ \t\n\r]+", " "))
+    """Distinct share of 8-character shingles at every fourth place of the text with blanks squeezed; null if under 200 long.
+
+    The text is cut into pieces of four characters once; a shingle is a piece and the next.
+    """
+    body = F.btrim(F.regexp_replace(text, WHITE, " "))
 
     def ratio(b: Column) -> Column:
-        shingles = F.transform(F.sequence(F.lit(1), F.greatest(F.length(b) - 8, F.lit(1)), F.lit(4)), lambda i: F.substring(b, i, F.lit(8)))
+        n = F.ceil((b["n"] - 8) / 4).cast("int")
+        shingles = F.transform(F.slice(b["pieces"], 1, F.greatest(n, F.lit(0))), lambda x, i: F.concat(x, F.get(b["pieces"], i + 1)))
         both = F.transform(F.array(shingles), lambda s: F.size(F.array_distinct(s)) / F.size(s))
-        return F.when(F.length(b) >= 200, both[0])
+        return F.when(b["n"] >= 200, both[0])
 
-    # Bound by a lambda, the body is computed once and not for every shingle.
-    return F.transform(F.array(body), ratio)[0]
+    # Bound by a lambda, what a shingle is made of is computed once and not for every shingle.
+    parts = F.transform(F.array(body), lambda b: F.struct(F.length(b).alias("n"), F.regexp_extract_all(b, F.lit(r"((?s).{4})"), F.lit(1)).alias("pieces")))
+    return F.transform(parts, ratio)[0]
 
 
 def degenerate(text: Column, original: Column) -> Column:

@@ -26,15 +26,20 @@ def rejection(smiles: Column, valid: Column, canonical: Column, allowed: tuple[s
     )
 
 
-def merged(candidates: DataFrame, key: str = "canonical") -> DataFrame:
-    """One row for each key: detections by falling confidence (then order), sources and names in first-seen order.
+def merged(candidates: DataFrame, key: str = "canonical", limit: int = FULL_LIMIT) -> DataFrame:
+    """One row for each key: its first ``limit`` detections by falling confidence (then order), their number, sources and name as first seen.
 
-    ``candidates`` has the key, ``ord``, ``confidence``, ``source``, ``name``. Lists are per molecule.
+    ``candidates`` has the key, ``ord``, ``confidence``, ``source``, ``name``. Detections are ranked and cut before they
+    are listed, and sources are made distinct before they are, so a list is bounded by the limit or the number of sources.
     """
-    found = F.sort_array(F.collect_list(F.struct((-F.col("confidence")).alias("neg"), "ord", "source")))
-    seen = F.array_distinct(F.transform(F.sort_array(F.collect_list(F.struct("ord", "source"))), lambda x: x["source"]))
-    out = candidates.groupBy(key).agg(found.alias("_f"), seen.alias("sources"), F.min_by("name", "ord").alias("name"), F.count("*").alias("n_detections"))
-    return out.select(key, "name", "sources", "n_detections", F.transform("_f", lambda x: F.struct((-x["neg"]).alias("confidence"), x["ord"], x["source"])).alias("detections"))
+    first = candidates.groupBy(key, "source").agg(F.min("ord").alias("ord"), F.min_by("name", "ord").alias("name"), F.count("*").alias("n"))
+    seen = F.transform(F.sort_array(F.collect_list(F.struct("ord", "source"))), lambda x: x["source"])
+    heads = first.groupBy(key).agg(seen.alias("sources"), F.min_by("name", "ord").alias("name"), F.sum("n").alias("n_detections"))
+    place = F.row_number().over(W.partitionBy(key).orderBy(F.desc("confidence"), "ord", "source"))
+    top = candidates.withColumn("place", place).where(F.col("place") <= limit)
+    found = F.transform(F.sort_array(F.collect_list(F.struct("place", "confidence", "ord", "source"))), lambda x: F.struct(x["confidence"], x["ord"], x["source"]))
+    lists = top.groupBy(F.col(key).alias("_key")).agg(found.alias("detections"))
+    return heads.join(lists, F.col(key).eqNullSafe(F.col("_key"))).select(key, "name", "sources", "n_detections", "detections")
 
 
 def first_seen(df: DataFrame, value: str, order: str) -> DataFrame:
@@ -57,10 +62,10 @@ def with_evidence(molecules: DataFrame, evidence: DataFrame, limit: int = LIST_L
 
 
 def aliases(rows: DataFrame, key: str) -> DataFrame:
-    """Distinct non-empty labels of each key in first-seen order."""
+    """Distinct non-empty labels of each key in first-seen order; made distinct before they are listed."""
     kept = rows.where(F.coalesce("label", F.lit("")) != "")
-    seen = F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "page", "id", "label"))), lambda x: x["label"])
-    return kept.groupBy(key).agg(F.array_distinct(seen).alias("aliases"))
+    first = kept.groupBy(key, "label").agg(F.min(F.struct("doc_id", "page", "id")).alias("at"))
+    return first.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "label"))), lambda x: x["label"]).alias("aliases"))
 
 
 def prediction_group(bbox: Column, smiles: Column, pred_id: Column) -> Column:

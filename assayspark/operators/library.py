@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from assayspark.operators.relational import one_per_key
+from assayspark.scratch import kept
+
 
 def documents_of(documents: DataFrame, members: DataFrame, collection: object) -> DataFrame:
     """Documents of a collection, newest first."""
@@ -21,21 +25,25 @@ def with_counts(collections: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def tree(collections: DataFrame) -> DataFrame:
-    """All collections with ``depth`` and ``path``, whatever order they are listed in; a cycle is never reached."""
-    collections.createOrReplaceTempView("_collections")
-    return collections.sparkSession.sql("""
-        WITH RECURSIVE t (collection_id, name, parent_id, depth, path) AS (
-          SELECT collection_id, name, parent_id, 0, name FROM _collections WHERE parent_id IS NULL
-          UNION ALL
-          SELECT c.collection_id, c.name, c.parent_id, t.depth + 1, concat(t.path, '/', c.name)
-          FROM _collections c JOIN t ON c.parent_id = t.collection_id)
-        SELECT * FROM t""")
+    """All collections with ``depth`` and ``path``, whatever order they are listed in and however deep; a cycle is never reached.
+
+    A level is a join of the collections with the level above, written to the shared folder.
+    """
+    rows = kept(collections.select("collection_id", "name", "parent_id"), "collections")
+    level = kept(rows.where("parent_id IS NULL").select("*", F.lit(0).alias("depth"), F.col("name").alias("path")), "level")
+    levels = [level]
+    while not level.isEmpty():
+        up = level.select(F.col("collection_id").alias("_up"), F.col("depth").alias("_depth"), F.col("path").alias("_path"))
+        below = rows.join(up, F.col("parent_id") == F.col("_up"))
+        level = kept(below.select(*rows.columns, (F.col("_depth") + 1).alias("depth"), F.concat_ws("/", "_path", "name").alias("path")), "level")
+        levels.append(level)
+    return reduce(DataFrame.unionByName, levels)
 
 
 def delete_collection(collections: DataFrame, members: DataFrame, gone: object) -> tuple[DataFrame, DataFrame]:
     """Both tables without a collection; its children move to its parent."""
-    up = collections.where(F.col("collection_id") == F.lit(gone)).select(F.col("parent_id").alias("_up"))
-    moved = collections.where(F.col("collection_id") != F.lit(gone)).join(F.broadcast(up), F.col("parent_id") == F.lit(gone), "left")
+    up = collections.where(F.col("collection_id") == F.lit(gone)).agg(F.max("parent_id").alias("_up"))
+    moved = collections.where(F.col("collection_id") != F.lit(gone)).join(up, F.col("parent_id") == F.lit(gone), "left")
     parent = F.when(F.col("parent_id") == F.lit(gone), F.col("_up")).otherwise(F.col("parent_id")).alias("parent_id")
     kept = moved.select(*[parent if c == "parent_id" else F.col(c) for c in collections.columns])
     return kept, members.where(F.col("collection_id") != F.lit(gone))
@@ -52,7 +60,7 @@ def migrated(base: dict[str, DataFrame], legacy: dict[str, DataFrame], keys: dic
     out = dict(base)
     for name, key in keys.items():
         if name in legacy:
-            one = legacy[name].dropDuplicates(list(key))
+            one = one_per_key(legacy[name], list(key))
             out[name] = one if name not in base else base[name].unionByName(one.join(base[name].select(*key), list(key), "left_anti"), allowMissingColumns=True)
     return out
 

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from assayspark.scratch import kept
+
 #: Rows of a page: least, most, usual.
 PAGE_SIZES = (1, 10_000, 50)
 
@@ -65,7 +67,7 @@ def zero_filled(df: DataFrame, column: str, keys: Sequence[str]) -> DataFrame:
     """Counts of all the keys, 0 for those that don't occur; other values are left out."""
     counts = df.where(F.col(column).isin(list(keys))).groupBy(column).agg(F.count("*").alias("n"))
     every = df.sparkSession.createDataFrame([(k,) for k in keys], f"{column} string")
-    return F.broadcast(counts).join(every, column, "right").select(column, F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    return every.join(counts, column, "left").select(column, F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
 def page(df: DataFrame, order: Sequence[Column], number: int = 1, size: int = PAGE_SIZES[2]) -> DataFrame:
@@ -81,10 +83,8 @@ def ranked(df: DataFrame, order: Sequence[Column], name: str = "position") -> Da
     Ranges of the order are sorted each on its own; a place is that in its range after the rows of the ranges
     before, so no task holds all rows. Only the sizes of the ranges go to the driver.
     """
-    # The id counts the rows of a range from its number times 2^33; the checkpoint keeps ranges as they are counted.
-    # Only a local master may go without spark.checkpoint.dir.
-    rows, sc = df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()), df.sparkSession.sparkContext
-    rows = rows.localCheckpoint() if sc.master.startswith("local") and not sc.getCheckpointDir() else rows.checkpoint()
+    # The id counts the rows of a range from its number times 2^33; the saved table keeps ranges as they are counted.
+    rows = kept(df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()), "ranked")
     sizes = {r["_r"]: r["n"] for r in rows.groupBy(F.shiftright("_at", 33).alias("_r")).agg(F.count("*").alias("n")).collect()}
     starts = [0, *accumulate(sizes.get(k, 0) for k in range(max(sizes, default=0)))]
     start = F.element_at(F.array(*[F.lit(k).cast("long") for k in starts]), (F.shiftright("_at", 33) + 1).cast("int"))
@@ -105,14 +105,24 @@ def status_rank(column: str, order: Sequence[str]) -> Column:
     return out
 
 
+def one_per_key(new: DataFrame, keys: Sequence[str], order: str | None = None) -> DataFrame:
+    """One row for each key: the last by ``order``, and among equals the greatest by all columns, whatever the partitions are."""
+    rest = [c for c in new.columns if c not in keys]
+    first = [order] if order else []
+    if not rest:
+        return new.distinct()
+    best = F.max(F.struct(*first, *[c for c in rest if c not in first]))
+    return new.groupBy(*keys).agg(best.alias("_r")).select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest]).select(new.columns)
+
+
 def insert_or_ignore(base: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Base and those new rows, one for each key, whose key it lacks."""
-    return base.unionByName(new.dropDuplicates(list(keys)).join(base.select(*keys), list(keys), "left_anti").select(base.columns))
+    """Base and those new rows, one for each key (:func:`one_per_key`), whose key it lacks."""
+    return base.unionByName(one_per_key(new, keys).join(base.select(*keys), list(keys), "left_anti").select(base.columns))
 
 
 def upsert_keep_first(base: DataFrame, new: DataFrame, key: str, keep: Sequence[str]) -> DataFrame:
     """All keys of both; columns in ``keep`` stay as they were where they were set, the others take the new value."""
-    b, n = base.alias("b"), new.dropDuplicates([key]).alias("n")
+    b, n = base.alias("b"), one_per_key(new, [key]).alias("n")
     cols = [F.coalesce(f"b.{key}", f"n.{key}").alias(key)]
     for c in base.columns:
         if c != key:
@@ -120,23 +130,28 @@ def upsert_keep_first(base: DataFrame, new: DataFrame, key: str, keep: Sequence[
     return b.join(n, F.col(f"b.{key}") == F.col(f"n.{key}"), "full_outer").select(cols)
 
 
-def patch(base: DataFrame, changes: DataFrame, key: str) -> DataFrame:
-    """Rows with the non-null values of the changes; a patch can't set null."""
-    c = changes.select(F.col(key).alias("_key"), *[F.col(x).alias(f"_{x}") for x in changes.columns if x != key])
-    cols = [F.coalesce(f"_{x}", x).alias(x) if x != key and x in changes.columns else F.col(x) for x in base.columns]
+def patch(base: DataFrame, changes: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """Rows with the non-null values of the changes; a patch can't set null.
+
+    Of several changes of a key the last by ``order`` that sets a value counts for each column, without an order the greatest value.
+    """
+    last = lambda x: F.max_by(x, F.when(F.col(x).isNotNull(), F.struct(order, x))) if order else F.max(x)
+    c = changes.groupBy(F.col(key).alias("_key")).agg(*[last(x).alias(f"_{x}") for x in changes.columns if x not in (key, order)])
+    cols = [F.coalesce(f"_{x}", x).alias(x) if x not in (key, order) and x in changes.columns else F.col(x) for x in base.columns]
     return base.join(c, F.col(key) == F.col("_key"), "left").select(cols)
 
 
-def replace(base: DataFrame, new: DataFrame, key: str, defaults: Mapping[str, Any]) -> DataFrame:
-    """Whole rows replaced by key: columns that the new rows don't name go back to their defaults."""
+def replace(base: DataFrame, new: DataFrame, key: str, defaults: Mapping[str, Any], order: str | None = None) -> DataFrame:
+    """Whole rows replaced by key: columns that the new rows don't name go back to their defaults; one row for each key (:func:`one_per_key`)."""
     types = dict(base.dtypes)
+    new = one_per_key(new, [key], order)
     full = new.select(*[F.col(c) if c in new.columns else F.lit(defaults.get(c)).cast(types[c]).alias(c) for c in base.columns])
     return base.join(new.select(key), key, "left_anti").select(base.columns).unionByName(full)
 
 
 def enqueue(files: DataFrame, queue: DataFrame) -> DataFrame:
     """Files that aren't queued yet, once each."""
-    return files.dropDuplicates(["file_path"]).join(queue.select("file_path"), "file_path", "left_anti")
+    return one_per_key(files, ["file_path"]).join(queue.select("file_path"), "file_path", "left_anti")
 
 
 def new_by_digest(incoming: DataFrame, stored: DataFrame, order: str) -> DataFrame:

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayspark.functions import text as T
@@ -39,19 +40,28 @@ def ordered_by_source(results: DataFrame, k: int) -> DataFrame:
     return results.orderBy(F.desc("score"), rank, "id").limit(k)
 
 
+def sources_together(results: dict[str, DataFrame]) -> DataFrame:
+    """The results of all sources, each with its kind; nothing is dropped."""
+    parts = [df.withColumn("kind", F.lit(kind)) for kind, df in results.items()]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def tokens(text: Column) -> Column:
+    """Lower-case words of a text or a query: runs of letters and digits."""
+    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda x: x != "")
+
+
 def inverted_index(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     """``token``, key: lower-case words of the columns, once each."""
-    words = F.split(F.lower(F.concat_ws(" ", *columns)), r"[^\p{L}\p{N}]+")
-    return df.select(key, F.explode(F.array_distinct(F.filter(words, lambda x: x != ""))).alias("token"))
-
+    return df.select(key, F.explode(F.array_distinct(tokens(F.concat_ws(" ", *columns)))).alias("token"))
 
-def index_search(index: DataFrame, key: str, query: str) -> DataFrame:
-    """Keys that hold all words of the query; a query without a word finds nothing."""
-    import re
 
-    words = sorted({w for w in re.split(r"[^\w]+", query.lower()) if w})
-    found = index.where(F.col("token").isin(words)).groupBy(key).agg(F.count("*").alias("n"))
-    return found.where((F.col("n") == len(words)) & F.lit(bool(words))).select(key)
+def index_search(index: DataFrame, key: str, query: str, k: int | None = None) -> DataFrame:
+    """Keys that hold all words of the query, the first ``k`` by key; a query without a word finds nothing."""
+    words = F.array_distinct(tokens(F.lit(query)))
+    found = index.where(F.array_contains(words, F.col("token"))).groupBy(key).agg(F.count("*").alias("n"))
+    out = found.where((F.col("n") == F.size(words)) & (F.size(words) > 0)).select(key)
+    return out if k is None else out.orderBy(key).limit(k)
 
 
 def cache_lookup(cache: DataFrame, queries: DataFrame) -> DataFrame:

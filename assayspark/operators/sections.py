@@ -131,7 +131,10 @@ def packed_chunks(segments: DataFrame, budget: int = 6000) -> DataFrame:
 
 @F.pandas_udf(ArrayType(StringType()))
 def character_chunks(texts: pd.Series, size: pd.Series, overlap: pd.Series) -> pd.Series:
-    """Chunks of a size with overlap that end after a line, a full stop or a blank in their second half."""
+    """Chunks of a size with overlap that end after a line, a full stop or a blank in their second half.
+
+    The cutting ends where the next chunk would not start further on (an overlap as long as a chunk).
+    """
 
     def cut(text: str, size: int, overlap: int) -> list[str]:
         out, start = [], 0
@@ -145,7 +148,7 @@ def character_chunks(texts: pd.Series, size: pd.Series, overlap: pd.Series) -> p
                         break
             out.append(text[start:end].strip())
             nxt = max(0, end - overlap)
-            if nxt >= end or nxt >= len(text) or end == len(text) and nxt <= start:
+            if nxt >= end or nxt <= start or nxt >= len(text):
                 break
             start = nxt
         return [c for c in out if c]

@@ -148,20 +148,19 @@ def status_counts_zero_filled(t: Tables) -> DataFrame:
 
 @query("""
 SELECT doc_id, quality, row_number() OVER (ORDER BY quality ASC NULLS LAST, doc_id) AS up, row_number() OVER (ORDER BY quality DESC NULLS FIRST, doc_id) AS down
-FROM (SELECT d.doc_id, l.quality FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id WHERE d.source = 'src1')""")
+FROM (SELECT d.doc_id, l.quality FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)""")
 def null_order_sort(t: Tables) -> DataFrame:
-    rows = R.where_equal(t.documents, source="src1").join(t.labels, "doc_id", "left").select("doc_id", "quality")
+    rows = t.documents.join(t.labels, "doc_id", "left").select("doc_id", "quality")
     up = R.ranked(rows, R.client_order("quality", True, "doc_id"), "up")
     return R.ranked(up, R.client_order("quality", False, "doc_id"), "down")
 
 
 @query("""
 SELECT o_orderkey, row_number() OVER (ORDER BY CASE o_orderstatus WHEN 'P' THEN 0 WHEN 'O' THEN 1 WHEN 'F' THEN 2 ELSE 3 END, o_orderdate DESC, o_orderkey) AS position
-FROM orders WHERE o_custkey < 200""")
+FROM orders""")
 def queue_status_order(t: Tables) -> DataFrame:
-    rows = t.orders.where("o_custkey < 200")
     order = [R.status_rank("o_orderstatus", ["P", "O", "F"]), F.desc("o_orderdate"), F.asc("o_orderkey")]
-    return R.ranked(rows, order).select("o_orderkey", "position")
+    return R.ranked(t.orders, order).select("o_orderkey", "position")
 
 
 @query("""
@@ -218,14 +217,14 @@ def legacy_migration(t: Tables) -> DataFrame:
 
 
 @query("""
-WITH d AS (SELECT l_partkey, l_orderkey, l_linenumber FROM lineitem WHERE l_linenumber = 1)
+WITH d AS (SELECT l_partkey, l_orderkey, l_linenumber FROM lineitem)
 SELECT DISTINCT coalesce(nullif(CASE WHEN p.p_size % 2 = 0 THEN p.p_brand ELSE '' END, ''), p.p_name) AS canonical_smiles, d.l_partkey AS mol_id,
-       d.l_orderkey AS doc_id, 1 AS page, 'figure' AS kind FROM d LEFT JOIN part p ON p.p_partkey = d.l_partkey
+       d.l_orderkey AS doc_id, d.l_linenumber AS page, 'figure' AS kind FROM d LEFT JOIN part p ON p.p_partkey = d.l_partkey
 WHERE coalesce(nullif(CASE WHEN p.p_size % 2 = 0 THEN p.p_brand ELSE '' END, ''), p.p_name, '') <> ''""")
 def evidence_backfill(t: Tables) -> DataFrame:
     canonical = F.when(F.col("p_size") % 2 == 0, F.col("p_brand")).otherwise(F.lit(""))
     molecules = t.part.select(F.col("p_partkey").alias("mol_id"), canonical.alias("canonical_smiles"), F.col("p_name").alias("esmiles"))
-    detections = t.lineitem.where("l_linenumber = 1").select(F.col("l_partkey").alias("mol_id"), F.col("l_orderkey").alias("doc_id"), F.lit(1).alias("page"))
+    detections = t.lineitem.select(F.col("l_partkey").alias("mol_id"), F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("page"))
     none = t.spark.createDataFrame([], "canonical_smiles string, mol_id long, doc_id long, page int, kind string")
     tables = {"molecules": molecules, "molecule_detections": detections, "evidence": none}
     return L.backfilled_evidence(L.backfilled_evidence(tables))["evidence"]

@@ -58,13 +58,13 @@ def span_under_box(t: Tables) -> DataFrame:
 WITH n AS (
   SELECT a.page_id, a.box_id, b.box_id AS item_no, sqrt(pow((a.x0 + a.x1) / 2 - (b.x0 + (b.x1 - b.x0) / 2), 2) + pow((a.y0 + a.y1) / 2 - (b.y0 + (b.y1 - b.y0) / 2), 2)) AS far
   FROM {_A} a JOIN {_B} b ON a.page_id = b.page_id WHERE b.x0 < a.x1 + 0.05 AND b.x0 + (b.x1 - b.x0) > a.x0 - 0.05 AND b.y0 < a.y1 + 0.05 AND b.y0 + (b.y1 - b.y0) > a.y0 - 0.05)
-SELECT page_id, box_id, count(*) AS n_items, CASE WHEN length(string_agg('t' || item_no, ' ' ORDER BY far, item_no)) > 60
-  THEN substr(string_agg('t' || item_no, ' ' ORDER BY far, item_no), 1, 60) || '...' ELSE string_agg('t' || item_no, ' ' ORDER BY far, item_no) END AS roi_text
+SELECT page_id, box_id, count(*) AS n_items, CASE WHEN length(string_agg('t' || item_no, ' ' ORDER BY far, item_no)) > 500
+  THEN substr(string_agg('t' || item_no, ' ' ORDER BY far, item_no), 1, 500) || '...' ELSE string_agg('t' || item_no, ' ' ORDER BY far, item_no) END AS roi_text
 FROM n GROUP BY 1, 2""")
 def roi_text(t: Tables) -> DataFrame:
     b = F.col("box")
     items = _boxes(t, 4).select("page_id", F.col("box_id").alias("item_no"), b["x0"].alias("x"), b["y0"].alias("y"), (b["x1"] - b["x0"]).alias("w"), (b["y1"] - b["y0"]).alias("h"), F.concat(F.lit("t"), F.col("box_id")).alias("text"))
-    return M.roi_text(_boxes(t, 0).select("page_id", "box_id", "box"), items, 0.05, 60)
+    return M.roi_text(_boxes(t, 0).select("page_id", "box_id", "box"), items, 0.05)
 
 
 @query(f"""
@@ -77,18 +77,32 @@ def bbox_frame_convert(t: Tables) -> DataFrame:
     return _boxes(t, 0).select("page_id", "box_id", unit["y0"].alias("y0_unit"), unit["x0"].alias("x0_unit"), raw["x0"].alias("x0_pdf"), raw["y0"].alias("y0_pdf"))
 
 
-@query()
+@query(f"""
+WITH RECURSIVE p AS (
+  SELECT page_id, mol, idt, score, 1.0::DOUBLE / (1.0::DOUBLE + dx * 3 + dy * 2) AS fit FROM (
+    SELECT a.page_id, a.box_id AS mol, b.box_id AS idt, b.label::DOUBLE AS score, abs((a.x0 + a.x1) / 2 - (b.x0 + b.x1) / 2) AS dx, abs((a.y0 + a.y1) / 2 - (b.y0 + b.y1) / 2) AS dy
+    FROM {_A} a JOIN {_B} b ON a.page_id = b.page_id WHERE {_SHARED} = 0) WHERE dx <= 0.3 AND dy <= 0.3),
+k AS (SELECT page_id, idt, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, idt) AS k FROM (SELECT DISTINCT page_id, idt, score FROM p)),
+w AS (SELECT p.page_id, k.k, p.idt, list(struct_pack(neg := -fit, mol := mol) ORDER BY fit DESC, mol) AS wants FROM p JOIN k USING (page_id, idt) GROUP BY ALL),
+r AS (
+  SELECT page_id, 0::BIGINT AS k, []::BIGINT[] AS used, NULL::BIGINT AS idt, NULL::STRUCT(neg DOUBLE, mol BIGINT) AS pick FROM (SELECT DISTINCT page_id FROM w)
+  UNION ALL
+  SELECT page_id, k, CASE WHEN pick IS NULL THEN used ELSE list_append(used, pick.mol) END, idt, pick FROM (
+    SELECT r.page_id, w.k, r.used, w.idt, list_filter(w.wants, lambda x: NOT list_contains(r.used, x.mol))[1] AS pick FROM r JOIN w ON w.page_id = r.page_id AND w.k = r.k + 1))
+SELECT page_id, pick.mol AS mol, idt, -pick.neg AS fit FROM r WHERE pick IS NOT NULL""")
 def geometric_pairing(t: Tables) -> DataFrame:
-    """Greedy, so without a twin: tests hold the rules."""
     labels = _boxes(t, 4).withColumn("score", F.col("label").cast("double"))
     return M.paired_boxes(M.box_pairs(_boxes(t, 0), labels))
 
 
-@query()
+@query("""
+WITH c AS (SELECT o_custkey % 97 AS doc_id, o_orderkey AS cand_id, lower(o_orderpriority) AS v, row_number() OVER (PARTITION BY o_custkey % 97, o_orderpriority ORDER BY o_orderkey) AS n FROM orders),
+r AS (SELECT o_orderkey % 97 AS doc_id, o_orderkey AS rec_id, lower(o_orderpriority) AS v, row_number() OVER (PARTITION BY o_orderkey % 97, o_orderpriority ORDER BY o_orderkey) AS n FROM orders)
+SELECT doc_id, cand_id, rec_id FROM c JOIN r USING (doc_id, v, n)""")
 def activity_row_alignment(t: Tables) -> DataFrame:
-    """Greedy, so without a twin: tests hold the rules."""
+    """Every record stands in a table row of its own and has a label only: the n-th candidate of a label takes the n-th record."""
     c = t.orders.select((F.col("o_custkey") % 97).alias("doc_id"), F.col("o_orderkey").alias("cand_id"), F.col("o_orderpriority").alias("name"), F.lit("").alias("canonical"), F.lit("").alias("esmiles"))
-    r = t.orders.select((F.col("o_custkey") % 97).alias("doc_id"), F.col("o_orderkey").alias("rec_id"), F.lit(0).alias("table_idx"), F.col("o_orderkey").cast("int").alias("row_idx"), F.lower("o_orderpriority").alias("row_label"), F.lit(None).cast("string").alias("row_smiles"))
+    r = t.orders.select((F.col("o_orderkey") % 97).alias("doc_id"), F.col("o_orderkey").alias("rec_id"), F.lit(0).alias("table_idx"), F.col("o_orderkey").cast("int").alias("row_idx"), F.lower("o_orderpriority").alias("row_label"), F.lit(None).cast("string").alias("row_smiles"))
     return M.aligned_rows(c, r)
 
 
@@ -166,10 +180,10 @@ def ring_last_500(t: Tables) -> DataFrame:
 @query("""
 SELECT user_id AS doc_id, ts_ms, message FROM (
   SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts_ms DESC, message DESC) AS n
-  FROM (SELECT DISTINCT user_id, epoch_ms(ts) // 600000 AS ts_ms, event_type AS message FROM events)) WHERE n <= 10""")
+  FROM (SELECT DISTINCT user_id, epoch_us(ts) // 1000 AS ts_ms, event_type AS message FROM events)) WHERE n <= 200""")
 def merged_logs(t: Tables) -> DataFrame:
-    rows = t.events.select(F.col("user_id").alias("doc_id"), F.floor(F.unix_millis(F.col("ts").cast("timestamp")) / 600000).alias("ts_ms"), F.col("event_type").alias("message"))
-    return S.merged_logs(rows, 10)
+    rows = t.events.select(F.col("user_id").alias("doc_id"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"), F.col("event_type").alias("message"))
+    return S.merged_logs(rows, 200)
 
 
 @query("""

@@ -44,11 +44,11 @@ def kb_search_doc_filter(t: Tables) -> DataFrame:
 
 
 @query(f"""
-SELECT doc_id, ((row_number() OVER (ORDER BY hits DESC, doc_id) - 1) // 3)::INT AS batch FROM ({_SEARCH}) WHERE doc_id % 50 = 7""")
+SELECT doc_id, ((row_number() OVER (ORDER BY hits DESC, doc_id) - 1) // 3)::INT AS batch FROM ({_SEARCH})""")
 def result_micro_batches(t: Tables) -> DataFrame:
     from assayspark.streaming import logs
 
-    found = S.keyword_search(t.documents.where("doc_id % 50 = 7"), QUERY)
+    found = S.keyword_search(t.documents, QUERY)
     return R.ranked(found, [F.desc("hits"), F.asc("doc_id")], "place").select("doc_id", logs.batch_no(F.col("place")).alias("batch"))
 
 
@@ -83,7 +83,8 @@ WITH d AS (SELECT doc_id, trim(regexp_replace(text, '[ \\t\\n\\r]+', ' ', 'g'))
 s AS (SELECT doc_id, list_transform(range(1, (length(b) - 8 + 1)::BIGINT, 4), lambda i: b[i:i + 7]) AS s FROM d WHERE length(b) >= 200)
 SELECT doc_id, len(list_distinct(s))::DOUBLE / len(s) AS ratio, len(list_distinct(s))::DOUBLE / len(s) < 0.25 AS degenerate FROM s""")
 def degenerate_shingles(t: Tables) -> DataFrame:
-    d = t.documents.withColumn("ratio", T.shingle_ratio(F.col("text"))).where("ratio IS NOT NULL")
+    # A generator keeps the filter and both columns from computing the ratio again.
+    d = t.documents.select("doc_id", F.explode(F.array(T.shingle_ratio(F.col("text")))).alias("ratio")).where("ratio IS NOT NULL")
     return d.select("doc_id", "ratio", (F.col("ratio") < 0.25).alias("degenerate"))
 
 
@@ -103,14 +104,20 @@ def page_range_extract(t: Tables) -> DataFrame:
     return t.pages.select("page_id", r["start"].alias("start"), r["end"].alias("end"))
 
 
-@query("""
-WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), s AS (SELECT doc_id, trim(line) AS s FROM l)
-SELECT doc_id, count(*) AS n_promoted FROM s
-WHERE regexp_matches(s, '^[A-Z][A-Z \\t&\\-,]{3,59}$') AND len(list_filter(regexp_split_to_array(s, '[ \\t]+'), lambda x: x <> '')) >= 2
-   OR regexp_matches(s, '(?i)^#{0,3}[ \\t]*(abstract|background|summary|definitions?|examples?|claims?|references?)\\b') GROUP BY 1""")
+#: Lines of which some are headings: names in capitals with a dash or a sign, section names, plain names, blocked capitals.
+_HEADS = ("upper(p_name)", "upper(replace(p_name, ' ', '-')) || ' & ' || upper(p_type)", "'Claims of ' || p_name", "p_name", "'BACKGROUND OF THE DISCLOSURE'", "'# Summary'", "'  '", "'<!-- PAGE 3 -->'")
+_HEAD_SQL = "CASE p_partkey % 8 " + " ".join(f"WHEN {k} THEN {x}" for k, x in enumerate(_HEADS)) + " END"
+
+
+@query(f"""
+WITH l AS (SELECT p_partkey, {_HEAD_SQL} AS line FROM part), s AS (SELECT *, trim(line) AS s FROM l)
+SELECT p_partkey, CASE WHEN regexp_matches(line, '^[ ]*<!--[ ]*PAGE') THEN NULL WHEN s = '' THEN line
+  WHEN regexp_matches(s, '(?i)^#{{0,3}}[ ]*summary\\b') THEN '## Summary' WHEN regexp_matches(s, '(?i)^#{{0,3}}[ ]*background\\b') THEN '## Background'
+  WHEN regexp_matches(s, '(?i)^#{{0,3}}[ ]*claims?\\b') THEN '## Claims'
+  WHEN regexp_matches(s, '^[A-Z][A-Z &\\-,]{{3,59}}$') AND contains(s, ' ')
+    THEN '## ' || array_to_string(list_transform(regexp_extract_all(lower(s), '[a-z]+|[^a-z]+'), lambda x: upper(x[1]) || x[2:]), '') ELSE line END AS promoted FROM s""")
 def heading_promote(t: Tables) -> DataFrame:
-    rows = X.lines(t.documents).withColumn("out", T.reorganised_line(F.col("line")))
-    return rows.where(F.col("out").startswith("#") & (F.col("out") != F.col("line"))).groupBy("doc_id").agg(F.count("*").alias("n_promoted"))
+    return t.part.select("p_partkey", F.expr(_HEAD_SQL).alias("line")).select("p_partkey", T.reorganised_line(F.col("line")).alias("promoted"))
 
 
 @query("""
@@ -170,21 +177,60 @@ def aliases_first_seen(t: Tables) -> DataFrame:
     return E.aliases(rows, "conv_id").select("conv_id", F.array_join("aliases", ",").alias("roles"))
 
 
-@query()
+_TABLE_ROWS = """
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents),
+m AS (SELECT doc_id, line_no, CASE WHEN contains(line, ' | ') THEN '| ' || line || ' |' ELSE line END AS line FROM l),
+o AS (SELECT *, starts_with(trim(line), '|') AND ends_with(trim(line), '|') AS o FROM m),
+p AS (SELECT *, coalesce(lag(o) OVER (PARTITION BY doc_id ORDER BY line_no), false) AS before FROM o),
+r AS (SELECT *, sum(CASE WHEN o AND NOT before THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no) - 1 AS table_idx FROM p),
+k AS (SELECT doc_id, table_idx, line, row_number() OVER (PARTITION BY doc_id, table_idx ORDER BY line_no)::INT AS row_idx FROM r
+      WHERE o AND NOT regexp_matches(trim(line), '^\\|[-:| ]+\\|$'))
+SELECT doc_id, table_idx::BIGINT AS table_idx, row_idx, len(string_split(trim(trim(line), '|'), '|'))::INT AS n_cells FROM k"""
+
+
+@query(_TABLE_ROWS)
 def markdown_tables(t: Tables) -> DataFrame:
-    """Tables of documents whose bar-separated lines are made rows; markdown has no SQL twin, tests hold the rules."""
+    """Tables of documents whose bar-separated lines are made rows."""
+    return X.table_rows(_tables(t)).select("doc_id", "table_idx", "row_idx", F.size("cells").alias("n_cells"))
+
+
+def _tables(t: Tables) -> DataFrame:
     framed = F.array_join(F.transform(T.lines_of(F.col("text")), lambda x: F.when(x.contains(" | "), F.concat(F.lit("| "), x, F.lit(" |"))).otherwise(x)), "\n")
-    found = X.tables(t.documents.select("doc_id", framed.alias("text")))
-    return X.table_rows(found).select("doc_id", "table_idx", "row_idx", F.size("cells").alias("n_cells"))
+    return X.tables(t.documents.select("doc_id", framed.alias("text")))
+
 
+@query(f"SELECT doc_id, table_idx, n_tables FROM (SELECT DISTINCT doc_id, table_idx, max(table_idx + 1) OVER (PARTITION BY doc_id) AS n_tables FROM ({_TABLE_ROWS})) WHERE table_idx < 5")
+def first_tables_cap(t: Tables) -> DataFrame:
+    return R.top_per_group(_tables(t), "doc_id", [F.asc("table_idx")], 5).select("doc_id", "table_idx", F.col("total").alias("n_tables"))
 
-@query()
+
+@query("""
+WITH RECURSIVE l AS (
+  SELECT doc_id, line_no, (length(line) // 4)::BIGINT AS tokens FROM (
+    SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents)),
+r AS (SELECT doc_id, line_no, tokens, 0 AS chunk, tokens AS used FROM l WHERE line_no = 0
+  UNION ALL SELECT l.doc_id, l.line_no, l.tokens, CASE WHEN r.used > 0 AND r.used + l.tokens > 600 THEN r.chunk + 1 ELSE r.chunk END,
+    CASE WHEN r.used > 0 AND r.used + l.tokens > 600 THEN l.tokens ELSE r.used + l.tokens END
+  FROM r JOIN l ON l.doc_id = r.doc_id AND l.line_no = r.line_no + 1)
+SELECT doc_id, line_no::INT AS seg_no, tokens, chunk FROM r""")
 def packed_token_chunks(t: Tables) -> DataFrame:
     rows = X.lines(t.documents).select("doc_id", F.col("line_no").alias("seg_no"), T.tokens_estimate(F.col("line")).alias("tokens"))
     return X.packed_chunks(rows, 600)
 
 
-@query()
+#: The end of a chunk that starts after ``s`` characters, by the last of a mark in its second half.
+_MARK = "(s + 513 - strpos(reverse(text[s + 1:s + 512]), {0}))"
+_ENDS = "CASE WHEN s + 512 >= n THEN n " + " ".join(
+    f"WHEN strpos(text[s + 1:s + 512], {m}) > 0 AND {_MARK.format(m)} - 1 > s + 256 THEN {_MARK.format(m)}" for m in ("chr(10)", "'。'", "' '")
+) + " ELSE s + 512 END"
+
+
+@query(f"""
+WITH RECURSIVE r AS (
+  SELECT doc_id, text, length(text) AS n, 0::BIGINT AS s, ({_ENDS.replace("s + 512 >= n", "512 >= length(text)").replace("THEN n", "THEN length(text)")})::BIGINT AS e FROM (SELECT *, 0 AS s FROM documents) WHERE length(text) > 0
+  UNION ALL SELECT doc_id, text, n, s, ({_ENDS})::BIGINT FROM (SELECT doc_id, text, n, greatest(0, e - 128) AS s FROM r WHERE greatest(0, e - 128) > s AND greatest(0, e - 128) < n))
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1)::INT AS chunk_no, chunk
+FROM (SELECT doc_id, s, trim(text[s + 1:e], ' ' || chr(9) || chr(10) || chr(13)) AS chunk FROM r) WHERE chunk <> ''""")
 def character_chunks(t: Tables) -> DataFrame:
     c = X.character_chunks(F.col("text"), F.lit(512), F.lit(128))
     return t.documents.select("doc_id", F.posexplode(c).alias("chunk_no", "chunk"))

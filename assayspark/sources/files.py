@@ -113,7 +113,11 @@ def first_figures(figures: DataFrame) -> DataFrame:
 
 
 def publish(df: DataFrame, path: str, partition: str = "doc_id") -> None:
-    """Replace the partitions of the documents in ``df``, all or none of each: a re-ingest can't double anything."""
+    """Replace the partitions of the documents in ``df``: a re-ingest can't double anything.
+
+    What is computed is written aside first, so a failing plan changes nothing. The partitions are then replaced by a
+    dynamic overwrite with one file for each; if that is broken off, running it again mends it.
+    """
     spark = df.sparkSession
     stage = f"{path.rstrip('/')}__{uuid.uuid4().hex[:8]}"
     df.write.parquet(stage)
@@ -121,11 +125,12 @@ def publish(df: DataFrame, path: str, partition: str = "doc_id") -> None:
     where = jvm.org.apache.hadoop.fs.Path(stage)
     try:
         done = spark.read.schema(df.schema).parquet(stage)
-        done.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+        done.repartition(partition).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
     finally:
         where.getFileSystem(conf).delete(where, True)
 
 
 def write_texts(df: DataFrame, path: str, column: str, partition: str = "doc_id") -> None:
-    """One text file for each document."""
-    df.select(partition, column).repartition(partition).write.mode("overwrite").partitionBy(partition).text(path)
+    """One text file for each document; files of other documents stay."""
+    out = df.select(partition, column).repartition(partition).write.mode("overwrite")
+    out.option("partitionOverwriteMode", "dynamic").partitionBy(partition).text(path)

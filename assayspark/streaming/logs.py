@@ -60,12 +60,17 @@ def fresh(cache: DataFrame, now: Column, ttl: str = TTL) -> DataFrame:
 
 
 def ring_sink(stream: DataFrame, path: str, checkpoint: str, n: int = RING, order: str = "seq") -> StreamingQuery:
-    """Keep the last ``n`` rows of a stream as a table; each batch writes a version of its own, so repeats are harmless."""
+    """Keep the last ``n`` rows of a stream as a table; each batch writes a version of its own, so repeats are harmless.
+
+    The version before stays, as a repeated batch reads it; older ones are removed.
+    """
 
     def merge(batch: DataFrame, no: int) -> None:
         spark = batch.sparkSession
         before = spark.read.schema(batch.schema).parquet(f"{path}/v={no - 1}") if no else spark.createDataFrame([], batch.schema)
         ring(before.unionByName(batch).dropDuplicates([order]), n, order).write.mode("overwrite").parquet(f"{path}/v={no}")
+        old = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v={no - 2}")
+        old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
