@@ -7,6 +7,8 @@ from RDKit where it can be imported, and are null where it can't.
 from __future__ import annotations
 
 import importlib.util
+import json
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -25,6 +27,8 @@ WEIGHTS = {
     "P": 30.974, "S": 32.065, "Cl": 35.453, "Br": 79.904, "I": 126.904,
 }
 CANDIDATE = r"[A-Za-z0-9@+\-\[\]\(\)\\/#=%.]{3,}"
+#: Tokens of a condensed formula: residues, symbols, numbers and brackets.
+CONDENSED = r"R[0-9]*|[A-Z][a-z]+|[A-Z]|[0-9]+|\(|\)"
 HAS_RDKIT = importlib.util.find_spec("rdkit") is not None
 
 
@@ -128,3 +132,38 @@ def _kernel(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
 def described(smiles: Column) -> Column:
     """Validity, canonical form, descriptors and fingerprint bits; null without the toolkit."""
     return _kernel(smiles) if HAS_RDKIT else F.lit(None).cast(DESCRIPTORS)
+
+
+def _counted(parts: list[str]) -> list:
+    """Pairs of element (or nested list) and number from the tokens of a condensed formula."""
+    stack: list[list] = [[]]
+    for p in parts:
+        if p == "(":
+            stack.append([])
+        elif p == ")":
+            inner = stack.pop() if len(stack) > 1 else []
+            stack[-1].append([inner, 1])
+        elif p.isdigit():
+            if stack[-1]:
+                stack[-1][-1][1] = int(p)
+        else:
+            stack[-1].append([p, 1])
+    while len(stack) > 1:  # a bracket that isn't closed ends with the formula
+        inner = stack.pop()
+        stack[-1].append([inner, 1])
+    return stack[0]
+
+
+def condensed(formula_: Column, groups: tuple[str, ...] = ()) -> Column:
+    """A condensed formula as JSON pairs of element and number, brackets nested: ``C2H4O`` is [["C",2],["H",4],["O",1]].
+
+    Names in ``groups`` (abbreviations) are taken as they are, earlier ones first, before element symbols.
+    """
+    pattern = "|".join([*map(re.escape, groups), CONDENSED])
+
+    @F.pandas_udf(T.StringType())
+    def parsed(formulas: pd.Series) -> pd.Series:
+        token = re.compile(pattern)
+        return pd.Series([None if f is None else json.dumps(_counted(token.findall(f)), separators=(",", ":")) for f in formulas])
+
+    return parsed(formula_)

@@ -101,3 +101,53 @@ def persisted(candidates: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     detections = best.select(F.col("canonical").alias("mol_id"), "doc_id", "d.page", "d.confidence", "d.bbox")
     evidence = detections.select(F.col("mol_id").alias("canonical"), "mol_id", "doc_id", "page", F.lit("figure").alias("kind"), "confidence")
     return molecules, detections, evidence
+
+
+def occurrences(predictions: DataFrame, value: object) -> DataFrame:
+    """All predictions whose string or label is the value, in the order of document, page and id."""
+    hit = (F.col("mol_smiles") == F.lit(value)) | (F.col("label_text") == F.lit(value))
+    return predictions.where(hit).orderBy("doc_id", "page", "id")
+
+
+def gated(detections: DataFrame, threshold: float, model: float = 0.5) -> DataFrame:
+    """Detections that pass the model's gate and the caller's; a caller's gate below the model's changes nothing."""
+    return detections.where(F.col("confidence") >= max(model, threshold))
+
+
+def crop_url(doc_id: Column, path: Column, root: str) -> Column:
+    """The address of a crop by the last part of its path; null without document or crop."""
+    name = F.element_at(F.split(path, "/"), -1)
+    url = F.concat(F.lit("/api/v1/library/documents/"), doc_id.cast("string"), F.lit("/crop?rel_path="), name, F.lit(f"&library_root={root}"))
+    return F.when((F.coalesce(path, F.lit("")) != "") & (F.coalesce(doc_id.cast("string"), F.lit("")) != ""), url)
+
+
+def numbered_names(molecules: DataFrame) -> DataFrame:
+    """Molecules of a document with ``position`` by page and span (without span last on the page) and a name: their own, else by position."""
+    order = [F.col("page").asc(), F.coalesce("span_idx", F.lit(9999)).asc(), F.col("ord").asc()]
+    out = molecules.withColumn("position", F.row_number().over(W.partitionBy("doc_id").orderBy(*order)))
+    return out.withColumn("name", F.coalesce(F.nullif("name", F.lit("")), F.format_string("Mol_%03d", "position")))
+
+
+def page_counters(pages: DataFrame, labels: DataFrame, predictions: DataFrame) -> DataFrame:
+    """How many labels and predictions were written for each asked page, 0 where none were."""
+    key = ["doc_id", "page"]
+    n = lambda df, name: df.groupBy(*key).agg(F.count("*").alias(name))
+    out = pages.join(n(labels, "labels_written"), key, "left").join(n(predictions, "predictions_written"), key, "left")
+    return out.na.fill(0, ["labels_written", "predictions_written"])
+
+
+def page_view(pages: DataFrame, detections: DataFrame, labels: DataFrame, predictions: DataFrame) -> DataFrame:
+    """The structured view of each page: its text as a paragraph (none if blank), molecules, labels and predictions as lists.
+
+    Lists are what stands on one page.
+    """
+    key = ["doc_id", "page"]
+
+    def listed(df: DataFrame, name: str) -> DataFrame:
+        row = F.struct(*[c for c in df.columns if c not in key])
+        return df.groupBy(*key).agg(F.sort_array(F.collect_list(row)).alias(name))
+
+    out = pages.select(*key, F.when(F.trim("text") != "", F.array(F.struct(F.lit("paragraph").alias("kind"), F.col("text").alias("content")))).alias("structured_text"))
+    for df, name in ((detections, "molecules"), (labels, "labels"), (predictions, "predictions")):
+        out = out.join(listed(df, name), key, "left")
+    return out

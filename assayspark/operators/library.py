@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayspark.operators.relational import one_per_key
+from assayspark.operators.relational import one_per_key, ranked
 from assayspark.scratch import kept
 
 
@@ -98,3 +98,46 @@ def upgrade(tables: dict[str, DataFrame], version: int, steps: dict[int, Step])
         if v > version:
             tables, version = steps[v](tables), v
     return tables, version
+
+
+#: Tables that hold rows of one document, which a failed persist takes back; molecules are shared and stay.
+OF_DOCUMENT = ("molecule_detections", "evidence", "text_molecule_links")
+
+
+def compensated(tables: dict[str, DataFrame], doc_id: object) -> dict[str, DataFrame]:
+    """All tables without what a document wrote to those that are its own."""
+    return {name: t.where(~F.col("doc_id").eqNullSafe(F.lit(doc_id))) if name in OF_DOCUMENT else t for name, t in tables.items()}
+
+
+def cleared(detections: DataFrame, doc_id: object | None = None) -> tuple[DataFrame, DataFrame]:
+    """The detection cache without a document's rows (or without any), and a row with how many went as ``cleared``."""
+    gone = F.lit(True) if doc_id is None else F.col("doc_id").eqNullSafe(F.lit(doc_id))
+    return detections.where(~gone), detections.agg(F.count_if(gone).alias("cleared"))
+
+
+def collection_list(collections: DataFrame, members: DataFrame) -> DataFrame:
+    """Collections with their counts in the order of ``sort_order``, then name, then id."""
+    return ranked(with_counts(collections, members), [F.asc("sort_order"), F.asc("name"), F.asc("collection_id")])
+
+
+def migration_state(unified: bool, knowledge: bool, molecules: bool) -> str:
+    """What there is to be done, by which stores exist."""
+    if unified:
+        return "already_migrated"
+    return "needs_migration" if knowledge or molecules else "nothing_to_migrate"
+
+
+def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
+    """``name``, ``n``: what a migration would copy (a dry run), all tables in one job."""
+    return reduce(DataFrame.unionByName, [t.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n") for name, t in tables.items()])
+
+
+def missing_rows(base: dict[str, DataFrame], legacy: dict[str, DataFrame], merged: dict[str, DataFrame], keys: dict[str, Sequence[str]]) -> DataFrame:
+    """``name``, ``n``: keys of base or legacy that a merged table lacks; a migration is valid if every ``n`` is 0."""
+    lost = {}
+    for name, key in keys.items():
+        if name in legacy:
+            wanted = legacy[name].select(*key)
+            wanted = wanted.unionByName(base[name].select(*key)) if name in base else wanted
+            lost[name] = wanted.distinct().join(merged[name].select(*key), list(key), "left_anti")
+    return row_counts(lost)

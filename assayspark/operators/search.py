@@ -6,6 +6,7 @@ from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from assayspark.functions import text as T
@@ -80,3 +81,31 @@ def backlinks(notes: DataFrame, target: str, *, exact: bool = True) -> DataFrame
     """Notes whose links hold the target, as a whole or as a part of their text."""
     hit = F.array_contains("links", target) if exact else F.to_json("links").contains(target)
     return notes.where(hit)
+
+
+def cached_search(docs: DataFrame, queries: DataFrame, cache: DataFrame, *, k: int = 10, answers: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Several searches through the cache: results (``query_id``, ``place``, ``doc_id``, ``score``, ``from_cache``) and the cache afterwards.
+
+    ``queries``: query_id, query, doc_filter (null: none); ``cache``: query_hash, place, doc_id, score. What is cached for
+    the same words, number of results and filter is taken as it is; other queries are searched, the filter going into the
+    search, and what they find is stored. ``answers`` (query_id) puts a row without document at the head of new results. Documents are
+    scored for the distinct queries that miss, each as one column expression.
+    """
+    key = T.query_key(F.col("query"), F.lit(str(k)), F.coalesce(F.col("doc_filter").cast("string"), F.lit("")))
+    asked = queries.withColumn("query_hash", key)
+    columns = ["place", "doc_id", "score"]
+    hit = asked.join(cache, "query_hash").select("query_id", *columns, F.lit(True).alias("from_cache"))
+    missed = asked.join(cache.select("query_hash").distinct(), "query_hash", "left_anti")
+    parts = []
+    for r in missed.select("query_id", "query", "query_hash", "doc_filter").collect():  # a user's few queries, not data
+        own = keyword_search(docs, r["query"], k=k, only=None if r["doc_filter"] is None else [r["doc_filter"]])
+        place = F.row_number().over(W.orderBy(F.desc("score"), "doc_id"))  # of k rows
+        parts.append(own.select("doc_id", "score").withColumn("place", place).select(F.lit(r["query_id"]).cast("long").alias("query_id"), F.lit(r["query_hash"]).alias("query_hash"), *columns))
+    if not parts:
+        return hit, cache
+    new = reduce(DataFrame.unionByName, parts)
+    if answers is not None:
+        head = missed.join(answers.select("query_id"), "query_id").select("query_id", "query_hash", F.lit(0).alias("place"), F.lit(None).cast("long").alias("doc_id"), F.lit(1.0).alias("score"))
+        new = new.unionByName(head)
+    stored = cache.unionByName(new.select("query_hash", *columns).distinct())
+    return hit.unionByName(new.select("query_id", *columns, F.lit(False).alias("from_cache"))), stored

@@ -134,3 +134,14 @@ def write_texts(df: DataFrame, path: str, column: str, partition: str = "doc_id"
     """One text file for each document; files of other documents stay."""
     out = df.select(partition, column).repartition(partition).write.mode("overwrite")
     out.option("partitionOverwriteMode", "dynamic").partitionBy(partition).text(path)
+
+
+def uploads(incoming: DataFrame, stored: DataFrame, most: int = UPLOAD_BYTES) -> DataFrame:
+    """Incoming files (``name``, ``content``) with ``md5``, ``size`` and ``outcome``: too large, a duplicate of what is stored or of an
+    earlier name in the same upload, or accepted."""
+    files = incoming.withColumn("size", F.octet_length("content")).withColumn("md5", F.md5("content"))
+    first = files.where(F.col("size") <= most).groupBy("md5").agg(F.min("name").alias("_first"))
+    known = stored.select("md5").distinct().withColumn("_known", F.lit(True))
+    marked = files.join(first, "md5", "left").join(known, "md5", "left")
+    outcome = F.when(F.col("size") > most, "too_large").when(F.col("_known") | (F.col("name") != F.col("_first")), "duplicate").otherwise("accepted")
+    return marked.select("name", "md5", "size", outcome.alias("outcome"))

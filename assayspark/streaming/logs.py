@@ -78,3 +78,27 @@ def ring_sink(stream: DataFrame, path: str, checkpoint: str, n: int = RING, orde
 def heartbeat(spark: SparkSession, seconds: int = 30) -> DataFrame:
     """A row at each interval."""
     return spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 1).option("advanceMillisPerBatch", seconds * 1000).load()
+
+
+#: Empty polls in a row that a tail of an ended task outlasts, and how long a failed service is left alone.
+EMPTY_POLLS, COOL_DOWN = 5, "30 seconds"
+
+
+def tail_ends(polls: DataFrame) -> DataFrame:
+    """For each task the poll at which its tail ends: the first with more than EMPTY_POLLS empty ones up to it once the task isn't active.
+
+    ``polls``: task, poll (from 1), n_rows, active.
+    """
+    w = W.partitionBy("task").orderBy("poll")
+    last = F.coalesce(F.last(F.when(F.col("n_rows") > 0, F.col("poll")), ignorenulls=True).over(w), F.lit(0))
+    empty = polls.withColumn("empty", F.col("poll") - last)
+    return empty.where((F.col("empty") > EMPTY_POLLS) & ~F.col("active")).groupBy("task").agg(F.min("poll").alias("poll"))
+
+
+def cooling(failures: DataFrame, now: Column, wait: str = COOL_DOWN) -> DataFrame:
+    """Services whose last failure is less than the cool-down ago; a success since then clears it.
+
+    ``failures``: name, ts, ok.
+    """
+    last = failures.groupBy("name").agg(F.max_by("ok", "ts").alias("ok"), F.max("ts").alias("ts"))
+    return last.where(~F.col("ok") & (F.col("ts") > now - F.expr(f"interval {wait}"))).select("name", "ts")
