@@ -7,8 +7,11 @@ starts to fit single positives) the step goes back along it, as in non-negative
 class prior is estimated from the same scores: over all documents, the share of unlabelled text in the
 region where a first model puts the positives, over the share of the positives there, least over regions.
 
-Fitting uses a bounded sample (``MAX_POSITIVE`` labelled positives, ``MAX_UNLABELLED`` others, those with
-the smallest hashes). Means, spreads, the prior's counts and the scores cover all documents.
+The net's hidden layer is fitted on a bounded sample (``max_positive`` labelled positives, ``max_unlabelled``
+others, those with the smallest hashes). Its output layer is then fitted to all rows of the training part: in
+it the risk is convex, so a few Newton steps, each one pass that sums slopes and curvatures in the tasks,
+minimise it over every unlabelled text and every positive, as long as the second part stays above zero.
+Means, spreads, the prior's counts and the scores cover all documents.
 
 Defined cases: null text is the empty text and is scored; null doc_id is never in the training part and
 is reported as held out; repeated rows get equal scores; a label row without a document or with a null
@@ -27,8 +30,8 @@ from pyspark.sql import functions as F
 
 from .common import Workspace, crc_mod, small_batches, table
 
-MAX_POSITIVE = 6000
-MAX_UNLABELLED = 12000
+#: Rows that the hidden layer is fitted on.
+MAX_POSITIVE, MAX_UNLABELLED = 6000, 12000
 #: A text is good from this score on.
 THRESHOLD = 0.7
 #: Bins of a first model's score over which the prior's shares are taken.
@@ -220,11 +223,61 @@ def _sample(rows: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
     return _matrix(got.column("x")), np.array(got.column("half").to_pylist(), dtype=bool)
 
 
-def train(feats: DataFrame) -> Model:
+def _sums(part: DataFrame, model: Model, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float, float, float, float]:
+    """Over all rows, with output weights ``c`` (the last is the offset): the sums that the risk and its derivatives are made of.
+
+    Of positives: number, hidden values, softplus; of the others: number, slopes, curvatures, softplus.
+    """
+    size = len(c)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(4 + 2 * size + size * size)
+        for b in batches:
+            if not len(b):
+                continue
+            h = np.c_[model.net.raw(model.scaled(_matrix(b.column("x"))))[0], np.ones(len(b))]
+            good = np.array([g == 1 for g in b.column("good").to_pylist()], dtype=bool)
+            z = h @ c
+            s, soft, u = _sigmoid(z), np.logaddexp(0, z), ~good
+            curve = (h[u] * (s[u] * (1 - s[u]))[:, None]).T @ h[u]
+            total += np.r_[good.sum(), u.sum(), soft[good].sum(), soft[u].sum(), h[good].sum(axis=0), s[u] @ h[u], curve.ravel()]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], names=["at", "v"])
+
+    got = part.select("good", "x").mapInArrow(work, "at int, v double").groupBy("at").agg(F.sum("v").alias("v")).orderBy("at").collect()
+    t = np.array([r["v"] for r in got]) if got else np.zeros(4 + 2 * size + size * size)
+    return t[4 : 4 + size], t[4 + size : 4 + 2 * size], t[4 + 2 * size :].reshape(size, size), *t[:4]
+
+
+def fit_output(part: DataFrame, model: Model, prior: float, steps: int = 6, decay: float = 1e-2) -> None:
+    """Newton steps on the output layer over all rows; a step that would make the non-negative part negative is halved or left out."""
+    c = np.r_[model.net.c, model.net.d]
+    sums = _sums(part, model, c)
+    for _ in range(steps):
+        hp, slope, curve, n_p, n_u, soft_p, soft_u = sums
+        if not n_p or not n_u:
+            return
+        grad = slope / n_u - prior * hp / n_p + decay * c
+        step = np.linalg.solve(curve / n_u + decay * np.eye(len(c)), grad)
+        risk = lambda s, w: s[6] / s[4] - prior * (s[0] @ w) / s[3] + decay / 2 * (w @ w)
+        now, scale = risk(sums, c), 1.0
+        while scale > 0.1:
+            new = _sums(part, model, c - scale * step)
+            if new[6] / new[4] >= prior * new[5] / new[3] and risk(new, c - scale * step) <= now:
+                break
+            scale /= 2
+        else:
+            return
+        c, sums = c - scale * step, new
+        model.net.c, model.net.d = c[:-1], c[-1:]
+        if np.abs(scale * step).max() < 1e-3:
+            return
+
+
+def train(feats: DataFrame, *, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED) -> Model:
     """Fit on rows with ``doc_id``, ``held_out``, ``good`` (1 for trusted positives, else null) and features ``x``."""
     mean, spread = _moments(feats)
     part = feats.where(~F.col("held_out"))
-    (p, p_half), (u, u_half) = _sample(part.where("good = 1"), MAX_POSITIVE), _sample(part.where("good IS NULL"), MAX_UNLABELLED)
+    (p, p_half), (u, u_half) = _sample(part.where("good = 1"), max_positive), _sample(part.where("good IS NULL"), max_unlabelled)
     model = Model(mean, spread, None, 0.5)
     if not len(p) or not len(u):
         return model
@@ -244,7 +297,9 @@ def train(feats: DataFrame) -> Model:
 
     counts = part.where(_half() | F.lit(not own)).select("good", "x").mapInArrow(bins, "bin int, pos long, unl long").groupBy("bin").agg(F.sum("pos").alias("pos"), F.sum("unl").alias("unl")).orderBy("bin").collect()
     prior = prior_from(np.array([r["pos"] for r in counts]), np.array([r["unl"] for r in counts]))
-    return Model(mean, spread, fit_nnpu(p, u, prior), prior)
+    model = Model(mean, spread, fit_nnpu(p, u, prior), prior)
+    fit_output(part, model, prior)
+    return model
 
 
 def _marked(feats: DataFrame, labels: DataFrame) -> DataFrame:

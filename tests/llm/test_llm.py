@@ -604,3 +604,26 @@ def test_components(spark):
     df = spark.createDataFrame(edges, "a long, b long")
     assert {r.node: r.component for r in components(Workspace(spark, "test"), df).collect()} == low
     assert components(Workspace(spark, "test"), df.limit(0)).count() == 0
+
+
+def test_op5_output_layer_covers_all_rows(spark):
+    """The net's last layer minimises the risk over every row, whatever the sample of the hidden layer was."""
+    rng = np.random.default_rng(2)
+    x = np.zeros((900, quality.N_FEATURES), dtype=np.float32)
+    good = rng.random(900) < 0.7
+    x[:, :3] = rng.normal(size=(900, 3)) + np.where(good, 1.5, -1.5)[:, None]
+    marked = good & (rng.random(900) < 0.5)
+    rows = [(int(k), False, 1 if marked[k] else None, bytearray(x[k].tobytes())) for k in range(900)]
+    feats = spark.createDataFrame(rows, "doc_id long, held_out boolean, good int, x binary").repartition(3)
+    model = quality.train(feats, max_positive=100, max_unlabelled=150)
+    assert np.mean((model.score(x.astype(float)) >= 0.5) == good) > 0.93
+    c = np.r_[model.net.c, model.net.d]
+    before = c + np.r_[np.full(len(c) - 1, 0.3), -0.5]
+    model.net.c, model.net.d = before[:-1], before[-1:]
+    quality.fit_output(feats, model, model.prior)
+
+    def risk(w):
+        hp, _, _, n_p, n_u, soft_p, soft_u = quality._sums(feats, model, w)
+        return soft_u / n_u - model.prior * (hp @ w) / n_p + 0.005 * (w @ w)
+
+    assert risk(np.r_[model.net.c, model.net.d]) < risk(before)
