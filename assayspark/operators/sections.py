@@ -133,7 +133,8 @@ def packed_chunks(segments: DataFrame, budget: int = 6000) -> DataFrame:
 def character_chunks(texts: pd.Series, size: pd.Series, overlap: pd.Series) -> pd.Series:
     """Chunks of a size with overlap that end after a line, a full stop or a blank in their second half.
 
-    The cutting ends where the next chunk would not start further on (an overlap as long as a chunk).
+    The cutting ends where the next chunk would not start before the end of the last (no overlap) or not further on
+    than it (an overlap as long as a chunk).
     """
 
     def cut(text: str, size: int, overlap: int) -> list[str]:
