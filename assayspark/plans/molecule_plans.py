@@ -97,12 +97,12 @@ def geometric_pairing(t: Tables) -> DataFrame:
 
 @query("""
 WITH c AS (SELECT o_custkey % 97 AS doc_id, o_orderkey AS cand_id, lower(o_orderpriority) AS v, row_number() OVER (PARTITION BY o_custkey % 97, o_orderpriority ORDER BY o_orderkey) AS n FROM orders),
-r AS (SELECT o_orderkey % 97 AS doc_id, o_orderkey AS rec_id, lower(o_orderpriority) AS v, row_number() OVER (PARTITION BY o_orderkey % 97, o_orderpriority ORDER BY o_orderkey) AS n FROM orders)
+r AS (SELECT o_custkey % 97 AS doc_id, o_orderkey AS rec_id, lower(o_orderpriority) AS v, row_number() OVER (PARTITION BY o_custkey % 97, o_orderpriority ORDER BY o_orderkey) AS n FROM orders)
 SELECT doc_id, cand_id, rec_id FROM c JOIN r USING (doc_id, v, n)""")
 def activity_row_alignment(t: Tables) -> DataFrame:
     """Every record stands in a table row of its own and has a label only: the n-th candidate of a label takes the n-th record."""
     c = t.orders.select((F.col("o_custkey") % 97).alias("doc_id"), F.col("o_orderkey").alias("cand_id"), F.col("o_orderpriority").alias("name"), F.lit("").alias("canonical"), F.lit("").alias("esmiles"))
-    r = t.orders.select((F.col("o_orderkey") % 97).alias("doc_id"), F.col("o_orderkey").alias("rec_id"), F.lit(0).alias("table_idx"), F.col("o_orderkey").cast("int").alias("row_idx"), F.lower("o_orderpriority").alias("row_label"), F.lit(None).cast("string").alias("row_smiles"))
+    r = t.orders.select((F.col("o_custkey") % 97).alias("doc_id"), F.col("o_orderkey").alias("rec_id"), F.lit(0).alias("table_idx"), F.col("o_orderkey").cast("int").alias("row_idx"), F.lower("o_orderpriority").alias("row_label"), F.lit(None).cast("string").alias("row_smiles"))
     return M.aligned_rows(c, r)
 
 
