@@ -316,11 +316,18 @@ def _marked(feats: DataFrame, labels: DataFrame) -> DataFrame:
 def learn(docs: DataFrame, labels: DataFrame) -> Model:
     """Fit the classifier on ``docs``; the features of all documents are written to the shared folder meanwhile."""
     ws = Workspace(docs.sparkSession, "quality")
-    model = train(_marked(ws.save(_features_table(docs.select("doc_id", "text")), "features"), labels))
-    ws.drop("features")
+    model = train(_saved(ws, docs, labels))
+    ws.drop("marked")
     return model
 
 
+def _saved(ws: Workspace, docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Features with their marks as one table: passes over it need no join."""
+    marked = ws.save(_marked(ws.save(_features_table(docs.select("doc_id", "text")), "features"), labels), "marked")
+    ws.drop("features")
+    return marked
+
+
 def accepted(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of ``docs``, with all columns, whose text scores THRESHOLD or more."""
     small_batches(docs.sparkSession)
@@ -335,8 +342,8 @@ def accepted(docs: DataFrame, model: Model) -> DataFrame:
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id``, ``held_out``, ``score`` and ``predicted`` of every document."""
     ws = Workspace(docs.sparkSession, "quality")
-    feats = ws.save(_features_table(docs.select("doc_id", "text")), "features")
-    model = train(_marked(feats, labels))
+    feats = _saved(ws, docs, labels)
+    model = train(feats)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -344,7 +351,7 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
             score = model.score(_matrix(b.column("x")))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
-    scored = feats.mapInArrow(work, f"doc_id {kind}, score double, predicted int")
+    scored = feats.select("doc_id", "x").mapInArrow(work, f"doc_id {kind}, score double, predicted int")
     held = F.coalesce(crc_mod(F.col("doc_id"), 4) == 2, F.lit(True))
     return scored.select("doc_id", held.alias("held_out"), "score", "predicted")
 
