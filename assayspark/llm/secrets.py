@@ -19,6 +19,8 @@ columns of the table named ``blob`` or ``found`` give way to the operator's, oth
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
@@ -42,6 +44,8 @@ PRESENT = {
 }
 #: Setting with the folder of a ledger that is kept between runs.
 LEDGER = "spark.assayspark.secrets.ledger"
+#: Matches whose places are summed up together, and code points of a text's pieces.
+BLOCK, PIECE = 512, 1024
 SPANS = "array<struct<start:int,ord:int,end:int>>"
 
 
@@ -50,6 +54,29 @@ def blob_id(text: Column) -> Column:
     return F.sha2(F.coalesce(text, F.lit("")), 256)
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often it is named."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _before(values: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """For each of some numbers from 0 on what ``join`` (with 0 as its neutral element) makes of all before it.
+
+    Results are gathered block by block, as an array that grows by one element is copied each time.
+    """
+
+    def gather(some: Column) -> Column:
+        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(some, zero, lambda acc, x: F.struct(join(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")))
+
+    def shift(blocks: Column) -> Column:
+        ahead = gather(F.transform(blocks, lambda x: x["at"]))["out"]
+        return F.flatten(F.zip_with(blocks, ahead, lambda x, start: F.transform(x["out"], lambda v: join(start, v))))
+
+    last = F.greatest(F.floor((F.size(values) - 1) / BLOCK).cast("int"), F.lit(0))
+    return _once(F.transform(F.sequence(F.lit(0), last), lambda k: gather(F.slice(values, k * BLOCK + 1, BLOCK))), shift)
+
+
 def _spans(text: Column, order: int) -> Column:
     """Matches of one rule as structs of start, rule order and end, leftmost and non-overlapping."""
     kind, pattern, group, least = RULES[order]
@@ -57,16 +84,14 @@ def _spans(text: Column, order: int) -> Column:
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     # Failing matches still use up their text, so they are dropped only after all were placed.
     kept = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), lambda x: F.length(x) >= least)
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("found"))
     steps = F.arrays_zip(F.slice(gaps, 1, F.size(whole)).alias("gap"), F.transform(whole, lambda x: F.length(x)).alias("len"), kept.alias("ok"))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        end = start + x["len"]
-        one = F.array(F.struct(start.alias("start"), F.lit(order).alias("ord"), end.alias("end")))
-        return F.struct(end.alias("at"), F.when(x["ok"], F.concat(acc["found"], one)).otherwise(acc["found"]).alias("found"))
+    def place(steps: Column) -> Column:
+        ahead = _before(F.transform(steps, lambda x: x["gap"] + x["len"]), lambda a, b: a + b)
+        starts = F.zip_with(steps, ahead, lambda x, at: F.struct((at + x["gap"]).alias("start"), F.lit(order).alias("ord"), (at + x["gap"] + x["len"]).alias("end"), x["ok"].alias("ok")))
+        return F.transform(F.filter(starts, lambda x: x["ok"]), lambda x: F.struct(x["start"], x["ord"], x["end"]))
 
-    found = F.aggregate(steps, zero, step, lambda acc: acc["found"])
+    found = _once(steps, place).cast(SPANS)
     return F.when(text.rlike(PRESENT[kind]), found).otherwise(F.array().cast(SPANS))
 
 
@@ -126,15 +151,22 @@ def digest(found: Column) -> Column:
 
 def redact(text: Column, found: Column, mark: str = "[SECRET]") -> Column:
     """The text with each found stretch (overlapping spans as one) replaced by ``mark``; null stays null."""
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        new = x["start"] >= acc["at"]
-        gap = F.substring(text, acc["at"] + 1, F.when(new, x["start"] - acc["at"]).otherwise(0))
-        out = F.when(new, F.concat(acc["out"], gap, F.lit(mark))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), out.alias("out"))
 
-    done = F.aggregate(found, zero, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    def cut(pieces: Column, start: Column, end: Column) -> Column:
+        # A string is walked through from its start, so only the pieces that hold the stretch are.
+        first = F.floor(start / PIECE).cast("int")
+        own = F.slice(pieces, first + 1, F.floor(end / PIECE).cast("int") - first + 1)
+        return F.substring(F.array_join(own, ""), start - first * PIECE + 1, end - start)
+
+    def joined(both: Column) -> Column:
+        ends = F.transform(both["found"], lambda x: x["end"])
+        placed = F.zip_with(both["found"], _before(ends, lambda a, b: F.greatest(a, b)), lambda x, at: F.struct(at.alias("at"), x["start"].alias("start")))
+        new = F.filter(placed, lambda x: x["start"] >= x["at"])
+        kept = F.transform(new, lambda x: F.concat(cut(both["pieces"], x["at"], x["start"]), F.lit(mark)))
+        rest = cut(both["pieces"], F.array_max(ends), F.length(text))
+        return F.concat(F.array_join(kept, ""), rest)
+
+    done = _once(F.struct(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)).alias("pieces"), found.alias("found")), joined)
     return F.when(F.size(found) > 0, done).otherwise(text)
 
 
