@@ -267,3 +267,18 @@ SELECT name, ts FROM l WHERE last = 'error' AND ts > (SELECT max(ts) FROM events
 def cooling_services(t: Tables) -> DataFrame:
     now = t.events.agg(F.max("ts")).scalar()
     return logs.cooling(t.events.select(F.col("user_id").alias("name"), "ts", (F.col("event_type") != "error").alias("ok")), now, "1 day")
+
+
+@query("""
+WITH e AS (SELECT user_id AS run, event_id AS seq, event_type AS kind, CASE WHEN event_id % 7 = 0 THEN '' ELSE repeat(event_type, (event_id % 100)::INT) END AS content, event_id % 3 = 0 AS recoverable FROM events),
+f AS (SELECT *, min(CASE WHEN kind = 'error' THEN seq END) OVER (PARTITION BY run) AS stop FROM e), s AS (SELECT * FROM f WHERE stop IS NULL OR seq <= stop)
+SELECT run, seq, CASE kind WHEN 'view' THEN 'chunk' WHEN 'click' THEN 'tool_call' WHEN 'purchase' THEN 'tool_result' ELSE 'error' END AS type, CASE WHEN kind = 'click' THEN 'search' END AS tool,
+  CASE WHEN kind = 'purchase' THEN left(content, 500) WHEN kind = 'error' AND NOT recoverable THEN 'Internal error' ELSE content END AS content
+FROM s WHERE kind IN ('click', 'purchase', 'error') OR kind = 'view' AND content <> ''
+UNION ALL SELECT run, max(seq) + 1, 'done', NULL, NULL FROM s GROUP BY run""")
+def agent_event_stream(t: Tables) -> DataFrame:
+    """Users as runs of an agent, their events as what it emits; each run ends at its first error."""
+    kind = F.create_map(*[F.lit(x) for x in ("view", "on_chat_model_stream", "click", "on_tool_start", "purchase", "on_tool_end", "error", "error")])
+    content = F.when(F.col("event_id") % 7 == 0, "").otherwise(F.expr("repeat(event_type, cast(event_id % 100 as int))"))
+    rows = t.events.select(F.col("user_id").alias("run"), F.col("event_id").alias("seq"), kind[F.col("event_type")].alias("event"), F.lit("search").alias("name"), content.alias("content"), (F.col("event_id") % 3 == 0).alias("recoverable"))
+    return logs.with_done(rows)

@@ -1,0 +1,33 @@
+"""Settings as the driver reads them: nested dictionaries, shown without secrets and changed in parts."""
+
+from __future__ import annotations
+
+import re
+from typing import Any
+
+#: Which names hold secrets, and what stands for one.
+SECRET_NAME = re.compile(r"api_key|(?:^|_)(?:secret|token|password|key)$", re.IGNORECASE)
+HIDDEN = "***"
+
+
+def redacted(settings: Any, name: str = "") -> Any:
+    """The settings with each text under a secret's name hidden, at any depth."""
+    match settings:
+        case dict():
+            return {k: redacted(v, k) for k, v in settings.items()}
+        case list():
+            return [redacted(v) for v in settings]
+        case str() if SECRET_NAME.search(name):
+            return HIDDEN
+    return settings
+
+
+def changed(settings: dict[str, Any], change: dict[str, Any]) -> dict[str, Any]:
+    """New settings: dictionaries are merged at any depth, other values replaced, hidden ones kept as they were."""
+    out = dict(settings)
+    for k, v in change.items():
+        old = settings.get(k)
+        both = isinstance(old, dict) and isinstance(v, dict)
+        if both or v != HIDDEN or k not in settings:
+            out[k] = changed(old, v) if both else v
+    return out

@@ -102,3 +102,34 @@ def cooling(failures: DataFrame, now: Column, wait: str = COOL_DOWN) -> DataFram
     """
     last = failures.groupBy("name").agg(F.max_by("ok", "ts").alias("ok"), F.max("ts").alias("ts"))
     return last.where(~F.col("ok") & (F.col("ts") > now - F.expr(f"interval {wait}"))).select("name", "ts")
+
+
+#: What an agent's events are called for the reader, and how much of a tool's result is passed on.
+EVENT_TYPES = {"on_chat_model_stream": "chunk", "on_tool_start": "tool_call", "on_tool_end": "tool_result", "error": "error"}
+RESULT_CHARS = 500
+
+
+def typed_events(events: DataFrame) -> DataFrame:
+    """What a reader of an agent's run gets: text pieces that aren't empty, tool calls, results and errors; nothing for other events.
+
+    ``events``: run, seq, event, name, content, recoverable. Of errors that can't be recovered from only a
+    general word is passed on. Row by row, so streams may use it too.
+    """
+    kind = F.create_map(*[F.lit(x) for pair in EVENT_TYPES.items() for x in pair])[F.col("event")]
+    content = F.coalesce("content", F.lit(""))
+    shown = (
+        F.when(F.col("type") == "tool_result", F.substring(content, 1, RESULT_CHARS))
+        .when((F.col("type") == "error") & ~F.coalesce("recoverable", F.lit(False)), "Internal error")
+        .otherwise(content)
+    )
+    rows = events.withColumn("type", kind).where(F.col("type").isNotNull() & ((F.col("type") != "chunk") | (content != "")))
+    return rows.select("run", "seq", "type", F.when(F.col("type") == "tool_call", F.col("name")).alias("tool"), shown.alias("content"))
+
+
+def with_done(events: DataFrame) -> DataFrame:
+    """A run's typed events up to its first error, and the row that ends it; runs that show nothing end as well."""
+    error = F.min(F.when(F.col("event") == "error", F.col("seq"))).over(W.partitionBy("run"))
+    seen = events.withColumn("_error", error).where(F.col("_error").isNull() | (F.col("seq") <= F.col("_error"))).drop("_error")
+    last = seen.groupBy("run").agg((F.max("seq") + 1).alias("seq"))
+    none = F.lit(None).cast("string")
+    return typed_events(seen).unionByName(last.select("run", "seq", F.lit("done").alias("type"), none.alias("tool"), none.alias("content")))

@@ -16,7 +16,7 @@ from assayspark.operators import matching as M
 from assayspark.operators import relational as R
 from assayspark.operators import search as S
 from assayspark.operators import sections as X
-from assayspark.sources import files
+from assayspark.sources import files, settings
 from assayspark.streaming import logs
 
 
@@ -191,3 +191,20 @@ def test_small_columns(spark):
     want = [body[i : i + 8] for i in range(0, len(body) - 8, 4)]
     assert one(spark, T.shingle_ratio(F.lit(text))) == len(set(want)) / len(want) and one(spark, T.shingle_ratio(F.lit("x" * 199))) is None
     assert L.migration_state(True, True, False) == "already_migrated" and L.migration_state(False, False, True) == "needs_migration" and L.migration_state(False, False, False) == "nothing_to_migrate"
+
+
+def test_settings():
+    stored = {"llm": {"api_key": "abc", "model": "m", "limits": {"n": 1}}, "hf_key": "k", "monkey": "x", "token": 5, "list": [{"secret_token": "s"}]}
+    shown = settings.redacted(stored)
+    assert shown == {"llm": {"api_key": "***", "model": "m", "limits": {"n": 1}}, "hf_key": "***", "monkey": "x", "token": 5, "list": [{"secret_token": "***"}]}
+    assert settings.changed(stored, {k: v for k, v in shown.items() if k != "list"}) == stored  # what was shown can be sent back
+    new = settings.changed(stored, {"llm": {"limits": {"m": 2}, "model": "o"}, "hf_key": "z", "new": "***", "monkey": {"a": 1}})
+    assert new["llm"] == {"api_key": "abc", "model": "o", "limits": {"n": 1, "m": 2}} and (new["hf_key"], new["new"], new["monkey"]) == ("z", "***", {"a": 1})
+    assert stored["llm"]["limits"] == {"n": 1} and stored["monkey"] == "x"
+
+
+def test_agent_events(spark):
+    e = [("r", 1, "on_chat_model_stream", None, "", None), ("r", 2, "on_tool_start", "find", "q", None), ("r", 3, "on_tool_end", None, "x" * 600, None), ("r", 4, "error", None, "why", False), ("r", 5, "on_chat_model_stream", None, "late", None), ("s", 1, "on_chain_end", None, "z", None), ("t", 1, "error", None, "why", True)]
+    out = logs.with_done(spark.createDataFrame(e, "run string, seq long, event string, name string, content string, recoverable boolean"))
+    want = [("r", 2, "tool_call", "find", "q"), ("r", 3, "tool_result", None, "x" * 500), ("r", 4, "error", None, "Internal error"), ("r", 5, "done", None, None), ("s", 2, "done", None, None), ("t", 1, "error", None, "why"), ("t", 2, "done", None, None)]
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(want, key=str)
