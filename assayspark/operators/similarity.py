@@ -9,6 +9,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+#: Sets of one bit that a task takes as the one side of a join.
+HOT = 4096
+
+
 def tanimoto(a: Column, b: Column) -> Column:
     """Shared over joint bits; two empty sets are equal, null stays null."""
     joint = F.size(F.array_union(a, b))
@@ -22,25 +26,30 @@ def on_bits(vector: Column, threshold: float) -> Column:
 
 
 def similar_pairs(fps: DataFrame, threshold: float, id_col: str = "id", bits: str = "bits") -> DataFrame:
-    """``a``, ``b``, ``tanimoto`` of all pairs (a < b) that reach the threshold, exact.
+    """``a``, ``b``, ``tanimoto`` of all pairs (a < b) that reach the threshold, exact. Sets without bits are in no pair.
 
     Prefix filter instead of all pairs: with bits in the order of their rarity, sets that reach threshold
-    t share one of the first ``n - ceil(t n) + 1`` bits of both, and sizes differ by t at most. Bits that
-    few sets have come first, so common ones are hardly joined on. Empty sets only match each other.
+    t share one of the first ``n - ceil(t n) + 1`` bits of both, and sizes differ by t at most. A pair is
+    met at a shared bit only if what follows there in both sets can suffice, which holds at its rarest one
+    if the pair is similar. Bits that few sets have come first, so common ones are hardly joined on; sets of
+    a common bit are dealt out to several tasks.
     """
-    f = fps.select(F.col(id_col).alias("id"), F.array_sort(F.array_distinct(bits)).alias("bits"))
-    long = f.select("id", F.explode("bits").alias("bit"))
+    long = fps.select(F.col(id_col).alias("id"), F.explode(F.array_distinct(bits)).alias("bit"))
     often = long.groupBy("bit").agg(F.count("*").alias("n"))
-    w = W.partitionBy("id").orderBy("n", "bit")
-    size = F.count("*").over(W.partitionBy("id"))
-    marked = long.join(often, "bit").withColumn("place", F.row_number().over(w)).withColumn("size", size)
-    prefix = marked.where(F.col("place") <= F.col("size") - F.ceil(F.lit(threshold) * F.col("size") - 1e-9) + 1).select("id", "bit", "size")
-    p, q = prefix.alias("p"), prefix.alias("q")
-    near = (F.col("p.bit") == F.col("q.bit")) & (F.col("p.id") < F.col("q.id"))
+    sets = long.join(often, "bit").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", "bit"))).alias("order")).withColumn("size", F.size("order"))
+    first = F.slice("order", F.lit(1), (F.col("size") - F.ceil(F.lit(threshold) * F.col("size") - 1e-9) + 1).cast("int"))
+    prefix = sets.select("id", "size", F.posexplode(first).alias("place", "o"))
+    prefix = prefix.select("id", "size", F.col("o.bit").alias("bit"), (F.col("size") - F.col("place")).alias("left"), F.ceil(F.col("o.n") / HOT).cast("int").alias("parts"))
+    p = prefix.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).alias("p")
+    q = prefix.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("q")
+    same = (F.col("p.bit") == F.col("q.bit")) & (F.col("p.part") == F.col("q.part")) & (F.col("p.id") < F.col("q.id"))
     sized = (F.col("p.size") >= F.col("q.size") * threshold - 1e-9) & (F.col("q.size") >= F.col("p.size") * threshold - 1e-9)
-    pairs = p.join(q, near & sized).select(F.col("p.id").alias("a"), F.col("q.id").alias("b")).distinct()
-    full = pairs.join(f.select(F.col("id").alias("a"), F.col("bits").alias("x")), "a").join(f.select(F.col("id").alias("b"), F.col("bits").alias("y")), "b")
-    return full.withColumn("tanimoto", tanimoto(F.col("x"), F.col("y"))).where(F.col("tanimoto") >= threshold).select("a", "b", "tanimoto")
+    enough = F.least("p.left", "q.left") * (1 + threshold) >= (F.col("p.size") + F.col("q.size")) * threshold - 1e-9
+    pairs = p.join(q, same & sized & enough).select(F.col("p.id").alias("a"), F.col("q.id").alias("b")).distinct()
+    bare = sets.select("id", F.col("order.bit").alias("bits"))
+    full = pairs.join(bare.select(F.col("id").alias("a"), F.col("bits").alias("x")), "a").join(bare.select(F.col("id").alias("b"), F.col("bits").alias("y")), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    return full.select("a", "b", (shared / (F.size("x") + F.size("y") - shared)).alias("tanimoto")).where(F.col("tanimoto") >= threshold)
 
 
 def cliffs(pairs: DataFrame, activity: DataFrame, fold: float = 5.0) -> DataFrame:

@@ -208,3 +208,8 @@ def test_agent_events(spark):
     out = logs.with_done(spark.createDataFrame(e, "run string, seq long, event string, name string, content string, recoverable boolean"))
     want = [("r", 2, "tool_call", "find", "q"), ("r", 3, "tool_result", None, "x" * 500), ("r", 4, "error", None, "Internal error"), ("r", 5, "done", None, None), ("s", 2, "done", None, None), ("t", 1, "error", None, "why"), ("t", 2, "done", None, None)]
     assert sorted(map(tuple, out.collect()), key=str) == sorted(want, key=str)
+
+
+def test_safe_ids(spark):
+    ids = spark.createDataFrame([("doc_1.v2-a",), ("a..b",), ("../x",), ("a/b",), (".hid",), ("",), (None,)], "doc_id string")
+    assert [r.ok for r in ids.select(files.safe_id(F.col("doc_id")).alias("ok")).collect()] == [True] + [False] * 6
