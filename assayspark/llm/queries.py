@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, embedding_dedup, langid, minhash_dedup, mixing, nearest, quality, secrets, substring_dedup, suffix_dedup
+from . import bpe, embedding_dedup, langid, minhash_dedup, mixing, nearest, quality, secrets, substring_dedup, suffix_dedup, turn_repair
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": minhash_dedup.op1,
@@ -19,10 +19,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_source_mixing": mixing.op8,
     "op9_embedding_dedup": embedding_dedup.op9,
     "op10_substring_dedup": substring_dedup.op10,
+    "op11_turn_repair": turn_repair.op11,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_minhash_dedup": minhash_dedup.ORACLE,
     "op8_source_mixing": mixing.ORACLE,
     "op9_embedding_dedup": embedding_dedup.ORACLE,
+    "op11_turn_repair": turn_repair.ORACLE,
 }
