@@ -8,9 +8,12 @@ import shutil
 import tempfile
 import time
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A word of the training-data contracts: a run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -83,6 +86,45 @@ def small_batches(spark: SparkSession, records: int = 1000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
+def arrow_schema(schema: T.StructType) -> pa.Schema:
+    """The Arrow form of a Spark schema, as Python workers return it."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    return to_arrow_schema(schema)
+
+
+def arrow_batches(rows: Iterator[tuple], schema: pa.Schema, records: int = 1000, chars: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Tuples as Arrow batches of at most ``records`` rows, and of no more rows once their texts and bytes reach ``chars``."""
+    held: list[tuple] = []
+    size = 0
+
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+
+    for row in rows:
+        held.append(row)
+        size += sum(len(v) for v in row if isinstance(v, (str, bytes)))
+        if len(held) == records or size >= chars:
+            yield batch()
+            held, size = [], 0
+    if held:
+        yield batch()
+
+
+#: DuckDB has no CRC-32: its table by the bitwise rule, and its loop over the characters of an ASCII text.
+CRC_SQL = """crc_steps AS (
+  SELECT n, 0 AS k, n AS c FROM range(256) t(n)
+  UNION ALL
+  SELECT n, k + 1, CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END FROM crc_steps WHERE k < 8),
+crc_table AS (SELECT list(c ORDER BY n) AS crcs FROM crc_steps WHERE k = 8)"""
+
+
+def crc_of(text: str) -> str:
+    """SQL for the unsigned CRC-32 of a text of ASCII characters, beside ``crc_table``."""
+    step = "lambda a, b: xor(crcs[(xor(a, b) & 255) + 1], a >> 8)"
+    return f"xor(4294967295, list_reduce(list_transform(string_split({text}, ''), lambda x: ord(x)::BIGINT), {step}, 4294967295::BIGINT))"
+
+
 def crc_mod(doc_id: Column, n: int) -> Column:
     """crc32 of the decimal text of ``doc_id`` modulo ``n``; null stays null."""
     return F.crc32(doc_id.cast("string")) % F.lit(n)

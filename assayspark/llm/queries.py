@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, embedding_dedup, langid, minhash_dedup, mixing, nearest, quality, secrets, substring_dedup, suffix_dedup, turn_repair
+from . import bpe, chat_format, embedding_dedup, langid, minhash_dedup, mixing, nearest, prefix_trie, quality, secrets, substring_dedup, suffix_dedup, turn_repair
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": minhash_dedup.op1,
@@ -20,6 +20,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_embedding_dedup": embedding_dedup.op9,
     "op10_substring_dedup": substring_dedup.op10,
     "op11_turn_repair": turn_repair.op11,
+    "op12_prefix_trie": prefix_trie.op12,
+    "op13_chat_format": chat_format.op13,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -27,4 +29,6 @@ ORACLE_SQL: dict[str, str] = {
     "op8_source_mixing": mixing.ORACLE,
     "op9_embedding_dedup": embedding_dedup.ORACLE,
     "op11_turn_repair": turn_repair.ORACLE,
+    "op12_prefix_trie": prefix_trie.ORACLE,
+    "op13_chat_format": chat_format.ORACLE,
 }

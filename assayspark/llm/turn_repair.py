@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import Workspace, small_batches, table
+from .common import CRC_SQL, Workspace, arrow_batches, arrow_schema, crc_of, small_batches, table
 
 #: Places in a stretch, as a power of two, and rows that one recursive query takes at a time.
 STRETCH_BITS = 8
@@ -211,23 +211,6 @@ class _Fold:
 _PATH = "stretch long, entry string, audit string, cost long, gaps long, " + ", ".join(f"{c} long" for c in _SUMS)
 
 
-def _batched(rows: Iterator[tuple], schema: pa.Schema, n: int = 1000) -> Iterator[pa.RecordBatch]:
-    kept: list[tuple] = []
-    for row in rows:
-        kept.append(row)
-        if len(kept) == n:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*kept, strict=True), schema, strict=True)], schema=schema)
-            kept = []
-    if kept:
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*kept, strict=True), schema, strict=True)], schema=schema)
-
-
-def _arrow(schema: T.StructType) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    return to_arrow_schema(schema)
-
-
 def paths(ws: Workspace, rows: DataFrame) -> DataFrame:
     """The cheapest audits of placed rows: a row for each conversation (``stretch`` null) and one for each of its stretches."""
     spark, conv = rows.sparkSession, _conv_type(rows)
@@ -240,7 +223,7 @@ def paths(ws: Workspace, rows: DataFrame) -> DataFrame:
     counts = ", ".join(f"{c} long" for c in ("n", *_SUMS, "min_turn", "max_turn", "n_turns"))
     walked = marks.mapInArrow(_walk(pa.string()), f"conv_id {kind}, stretch long, {counts}, first_initial string, last_initial string, {lists}")
     out = spark.createDataFrame([], f"conv_id {kind}, {_PATH}").schema
-    shape = _arrow(out)
+    shape = arrow_schema(out)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def folded() -> Iterator[tuple]:
@@ -255,7 +238,7 @@ def paths(ws: Workspace, rows: DataFrame) -> DataFrame:
             if fold is not None:
                 yield from fold.rows(now)
 
-        yield from _batched(folded(), shape)
+        yield from arrow_batches(folded(), shape)
 
     return ws.save(walked.repartition("conv_id").sortWithinPartitions("conv_id", "stretch").mapInArrow(work, out), "paths")
 
@@ -269,7 +252,7 @@ def repaired(rows: DataFrame, path: DataFrame) -> DataFrame:
     turns = rows.select("conv_id", "stretch", "place", F.col("turn").cast("long").alias("turn"), "role", "text")
     both = pieces.unionByName(turns).repartition("conv_id").sortWithinPartitions("conv_id", "stretch", "place")
     out = rows.sparkSession.createDataFrame([], f"conv_id {_conv_type(rows).simpleString()}, {_TURN}").schema
-    shape = _arrow(out)
+    shape = arrow_schema(out)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def edited() -> Iterator[tuple]:
@@ -293,7 +276,7 @@ def repaired(rows: DataFrame, path: DataFrame) -> DataFrame:
                         yield conv, step, None, "I", role, ""
                         step += 1
 
-        yield from _batched(edited(), shape)
+        yield from arrow_batches(edited(), shape)
 
     return both.mapInArrow(work, out)
 
@@ -301,7 +284,7 @@ def repaired(rows: DataFrame, path: DataFrame) -> DataFrame:
 def digests(turns: DataFrame) -> DataFrame:
     """``conv_id`` and the digest of its repaired rows; ``turns`` come as ``repaired`` returns them, with no shuffle between."""
     out = turns.sparkSession.createDataFrame([], f"conv_id {_conv_type(turns).simpleString()}, repaired_sha256 string").schema
-    shape = _arrow(out)
+    shape = arrow_schema(out)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def hashed() -> Iterator[tuple]:
@@ -318,7 +301,7 @@ def digests(turns: DataFrame) -> DataFrame:
             if digest is not None:
                 yield now, digest.hexdigest()
 
-        yield from _batched(hashed(), shape)
+        yield from arrow_batches(hashed(), shape)
 
     return turns.mapInArrow(work, out)
 
@@ -347,20 +330,6 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _SQL_MOVES = ", ".join(f"('{s}', '{e}', '{n}', '{t}', {c}, '{x}')" for s, e, n, t, c, x in _moves())
 
-#: DuckDB has no CRC-32: its table by the bitwise rule, and its loop over the characters of an ASCII text.
-CRC_SQL = """crc_steps AS (
-  SELECT n, 0 AS k, n AS c FROM range(256) t(n)
-  UNION ALL
-  SELECT n, k + 1, CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END FROM crc_steps WHERE k < 8),
-crc_table AS (SELECT list(c ORDER BY n) AS crcs FROM crc_steps WHERE k = 8)"""
-
-
-def crc_of(text: str) -> str:
-    """SQL for the unsigned CRC-32 of a text of ASCII characters, beside ``crc_table``."""
-    step = "lambda a, b: xor(crcs[(xor(a, b) & 255) + 1], a >> 8)"
-    return f"xor(4294967295, list_reduce(list_transform(string_split({text}, ''), lambda x: ord(x)::BIGINT), {step}, 4294967295::BIGINT))"
-
-
 #: Walks whole conversations, one turn in each recursion, from the state before anything; the contract's rules in SQL.
 ORACLE = rf"""
 WITH RECURSIVE {CRC_SQL},
