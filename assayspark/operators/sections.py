@@ -77,6 +77,11 @@ def located(records: DataFrame, rows: DataFrame, key: str = "doc_id") -> DataFra
     return records.join(at, [key, "rec_id"]).select(*records.columns, F.col("_at.row_idx").alias("row_idx"), F.col("_at.col_idx").alias("col_idx"))
 
 
+def density_class(n_ocr: Column, n_pages: Column) -> Column:
+    """The class of a document by how many of its pages must be recognised."""
+    return F.when(n_ocr == 0, "text_only").when(n_ocr == n_pages, "image_only").otherwise("mixed")
+
+
 def density(pages: DataFrame, key: str = "doc_id") -> DataFrame:
     """Pages, characters and pages to be recognised of each document, and its class.
 
@@ -85,7 +90,7 @@ def density(pages: DataFrame, key: str = "doc_id") -> DataFrame:
     out = pages.groupBy(key).agg(
         F.count("*").alias("n_pages"), F.sum(F.col("needs_ocr").cast("long")).alias("n_ocr"), F.sum(F.length("text")).cast("long").alias("n_text")
     )
-    kind = F.when(F.col("n_ocr") == 0, "text_only").when(F.col("n_ocr") == F.col("n_pages"), "image_only").otherwise("mixed")
+    kind = density_class(F.col("n_ocr"), F.col("n_pages"))
     return out.select(key, "n_pages", "n_ocr", "n_text", (F.col("n_text") / F.col("n_pages")).alias("avg_text"), kind.alias("doc_kind"))
 
 
@@ -95,12 +100,15 @@ def page_needed(df: DataFrame, max_pages: int | None = None) -> DataFrame:
     return df if max_pages is None else df.where(F.col("page_num") <= max_pages)
 
 
+def page_markdown(page_num: Column, text: Column) -> Column:
+    """A page's rough markdown: its marker, then its lines with headings promoted."""
+    body = F.filter(F.transform(T.lines_of(text), T.rough_line), lambda x: x.isNotNull())
+    return F.array_join(F.concat(F.array(F.format_string("<!-- PAGE %d -->", page_num)), body, F.array(F.lit(""))), "\n")
+
+
 def rough_markdown(pages: DataFrame, key: str = "doc_id") -> DataFrame:
     """One markdown text for each document: page markers and promoted headings, pages in order."""
-    body = F.filter(F.transform(T.lines_of(F.col("text")), T.rough_line), lambda x: x.isNotNull())
-    marker = F.format_string("<!-- PAGE %d -->", F.col("page_num"))
-    one = F.array_join(F.concat(F.array(marker), body, F.array(F.lit(""))), "\n")
-    parts = pages.select(key, "page_num", one.alias("md"))
+    parts = pages.select(key, "page_num", page_markdown(F.col("page_num"), F.col("text")).alias("md"))
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("page_num", "md"))), lambda x: x["md"])
     return parts.groupBy(key).agg(F.array_join(ordered, "\n").alias("markdown"))
 
