@@ -7,7 +7,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from assayspark.functions import chem
+from assayspark.operators.matching import needle_hits
 from assayspark.operators.relational import top_per_group
+from assayspark.sources.library import Transaction
 
 LIST_LIMIT, FULL_LIMIT = 50, 100_000
 REASONS = ("low_quality_smiles", "invalid_smiles", "invalid_element", "canonicalization_failed")
@@ -81,10 +83,76 @@ def detection_tallies(rows: DataFrame, key: str) -> DataFrame:
 
 def text_links(blocks: DataFrame, molecules: DataFrame) -> DataFrame:
     """For each molecule the first block of its document that holds its name, or the first 12 characters of its string."""
-    joined = molecules.join(blocks, "doc_id")
-    by_name = (F.coalesce("name", F.lit("")) != "") & F.col("block").contains(F.col("name"))
-    by_text = (F.length("smiles") > 0) & F.col("block").contains(F.substring("smiles", 1, 12))
-    return joined.where(by_name | by_text).groupBy("doc_id", "mol_id").agg(F.min("block_idx").alias("block_idx"))
+    of = lambda c: molecules.select("doc_id", F.col("mol_id").alias("needle_no"), c.alias("needle"))
+    needles = of(F.col("name")).unionByName(of(F.substring("smiles", 1, 12)))
+    texts = blocks.select("doc_id", F.col("block_idx").alias("text_no"), F.col("block").alias("text"))
+    return needle_hits(texts, needles, "doc_id", first=True).select("doc_id", F.col("needle_no").alias("mol_id"), F.col("text_no").alias("block_idx"))
+
+
+BLOCK = r"(?s)```molecode\n(.*?)\n```"
+
+
+def code_blocks(docs: DataFrame) -> DataFrame:
+    """``doc_id``, ``block_idx`` from 0, ``block`` (its inside), ``char_start``, ``char_end`` (with its fences, from 0) of each structure block."""
+    parts = F.struct(F.regexp_extract_all("text", F.lit(BLOCK), F.lit(0)).alias("whole"), F.regexp_extract_all("text", F.lit(BLOCK), F.lit(1)).alias("inside"), F.split("text", BLOCK, -1).alias("between"))
+    chars = lambda a, n: F.aggregate(F.slice(a, F.lit(1), n), F.lit(0), lambda s, x: s + F.length(x))
+    found = docs.where(F.col("text").contains("```molecode")).select("doc_id", parts.alias("p"))
+    rows = found.select("doc_id", "p", F.posexplode("p.inside").alias("block_idx", "block"))
+    start = chars(F.col("p.between"), F.col("block_idx") + 1) + chars(F.col("p.whole"), F.col("block_idx"))
+    rows = rows.select("doc_id", "block_idx", "block", start.alias("char_start"), F.length(F.get("p.whole", F.col("block_idx"))).alias("n"))
+    return rows.select("doc_id", "block_idx", "block", "char_start", (F.col("char_start") + F.col("n")).alias("char_end"))
+
+
+def text_evidence(docs: DataFrame, molecules: DataFrame, around: int = 200) -> DataFrame:
+    """Where the text of its document shows each molecule that isn't rejected: ``doc_id``, ``mol_id``, ``esmiles``, ``name``, ``text_excerpt``, ``role``, ``code_text``, ``char_start``, ``char_end``.
+
+    ``docs``: doc_id, text; ``molecules``: doc_id, mol_id (the canonical string), esmiles, name, status. A molecule without a block has a note
+    in place of an excerpt, and no place.
+    """
+    name = F.coalesce(F.nullif("name", F.lit("")), F.concat(F.lit("Mol_"), F.substring("mol_id", 1, 8)))
+    m = molecules.where(F.coalesce("status", F.lit("")) != "rejected").select("doc_id", "mol_id", "esmiles", name.alias("name"))
+    blocks = code_blocks(docs)
+    links = text_links(blocks, m.select("doc_id", "mol_id", "name", F.col("mol_id").alias("smiles")).distinct())
+    placed = links.join(blocks.select("doc_id", "block_idx", "char_start", "char_end"), ["doc_id", "block_idx"]).join(docs.select("doc_id", "text"), "doc_id")
+    start = F.greatest(F.lit(0), F.col("char_start") - around)
+    shown = F.replace(F.substring(F.col("text"), start + 1, F.col("char_end") + around - start), F.lit("\n"), F.lit(" "))
+    code = F.substring(F.col("text"), F.col("char_start") + 1, F.col("char_end") - F.col("char_start"))
+    at = placed.select(F.col("doc_id").alias("_d"), F.col("mol_id").alias("_m"), F.substring(shown, 1, 500).alias("text_excerpt"), F.substring(code, 1, 1000).alias("code_text"), "char_start", "char_end")
+    out = m.join(at, (F.col("doc_id") == F.col("_d")) & (F.col("mol_id") == F.col("_m")), "left")
+    return out.select(
+        "doc_id", "mol_id", "esmiles", "name", F.coalesce("text_excerpt", F.lit("position unresolved")).alias("text_excerpt"), F.lit("mentioned").alias("role"),
+        F.coalesce("code_text", F.lit("")).alias("code_text"), F.coalesce("char_start", F.lit(0)).alias("char_start"), F.coalesce("char_end", F.lit(0)).alias("char_end"),
+    )
+
+
+MOLECULE = ["mol_id", "smiles", "esmiles", "name", "source_type", "status", "canonical_smiles"]
+
+
+def register_text_evidence(tx: Transaction, docs: DataFrame, molecules: DataFrame) -> None:
+    """Commit the links of a text, its molecules (what a known one has stays) and its evidence rows together, in the caller's transaction.
+
+    Links and text evidence of the documents take the place of their earlier ones, so a repeated run doubles nothing.
+    """
+    found = text_evidence(docs, molecules)
+    ids = docs.select("doc_id").distinct()
+    links = found.select("doc_id", "mol_id", "text_excerpt", "role", "code_text", "char_start", "char_end")
+    if tx.exists("text_molecule_links"):
+        tx.delete("text_molecule_links", ids)
+    links = tx.append("text_molecule_links", links)
+    new = found.groupBy("mol_id").agg(F.min_by(F.struct("esmiles", "name"), "doc_id").alias("m")).select(
+        "mol_id", F.col("mol_id").alias("smiles"), "m.esmiles", "m.name", F.lit("text").alias("source_type"), F.lit("pending").alias("status"), F.col("mol_id").alias("canonical_smiles")
+    )
+    if tx.exists("molecules"):
+        known = tx.read("molecules").select(MOLECULE)
+        # Of a known molecule only a missing canonical form is set.
+        bare = known.where("canonical_smiles IS NULL").join(new.select("mol_id"), "mol_id", "left_semi").withColumn("canonical_smiles", F.col("mol_id"))
+        tx.replace("molecules", new.join(known.select("mol_id"), "mol_id", "left_anti").unionByName(bare).select(MOLECULE), ["mol_id"])
+    else:
+        tx.append("molecules", new.select(MOLECULE))
+    rows = links.select(F.col("mol_id").alias("canonical_smiles"), "mol_id", "doc_id", F.lit(None).cast("int").alias("page"), F.col("text_excerpt").alias("context_text"), "code_text", "role", F.lit("text").alias("kind"))
+    if tx.exists("evidence"):
+        tx.delete("evidence", ids.withColumn("kind", F.lit("text")))
+    tx.append("evidence", rows)
 
 
 def excerpt(text: Column, at: Column, width: int = 200, most: int = 500) -> Column:
