@@ -50,8 +50,8 @@ def low_quality(smiles: Column) -> Column:
 def atoms(smiles: Column) -> Column:
     """Element symbols in and out of brackets, aromatic ones in capitals; wildcards as ``*``."""
     found = F.regexp_extract_all(smiles, F.lit(r"\[[0-9]*([A-Z][a-z]?|[a-z][a-z]?|\*)[^\]]*\]|(Cl|Br|[BCNOPSFI]|[bcnops]|\*)"), F.lit(0))
-    bare = F.transform(found, lambda x: F.regexp_extract(x, r"^\[?[0-9]*([A-Z][a-z]?|[a-z]|\*)", 1))
-    return F.transform(bare, lambda x: F.when(x.rlike("^[a-z]"), F.upper(x)).otherwise(x))
+    # Two small letters are one aromatic symbol within brackets only, and none is found outside of them.
+    return F.transform(found, lambda x: F.initcap(F.regexp_extract(x, r"^\[?[0-9]*([A-Z][a-z]?|[a-z][a-z]?|\*)", 1)))
 
 
 def foreign_elements(smiles: Column, allowed: tuple[str, ...] = ELEMENTS) -> Column:
@@ -90,14 +90,52 @@ def candidates(text: Column) -> Column:
     return F.array_distinct(F.filter(found, lambda x: x.rlike(r"[=#@\[\]()0-9]") & x.rlike("[CNOcno]")))
 
 
+#: A tag of the extended notation: atom, ring or circle, its index and its group, which may hold any text but its own end.
+TAG = r"(?s)<([arc])>([0-9]+):(.*?)</\1>"
+# Names that are written in one form only.
+GROUP_NAMES = {"OCH3": "OMe", "MeO": "OMe", "CO2H": "COOH", "Tos": "Ts"}
+GROUP_CASES = ("Boc", "Me", "Et", "Ph", "OMe", "Ts", "COOH", "CF3", "Ac", "Bn")
+
+
+def group_name(group: Column) -> Column:
+    """A group's name in the one form in which names are compared: numbers without brackets or carets, known names in their own case."""
+    out = F.regexp_replace(F.trim(group), r"^R(?:\[([^\]]*)\]|\^(.*))$", "R$1$2")
+    out = F.regexp_replace(out, r"^R\[([^\]]*)\](.*)$", "R$1$2")
+    known = F.create_map(*[F.lit(x) for name in GROUP_CASES for x in (name.lower(), name)], *[F.lit(x) for a, b in GROUP_NAMES.items() for x in (a.lower(), b) if a.lower() not in {n.lower() for n in GROUP_CASES}])
+    return F.coalesce(F.try_element_at(known, F.lower(out)), out)
+
+
 def layers(esmiles: Column) -> Column:
-    """An extended string parted into its plain part and its tags (``kind``, ``idx``, ``group``); an extension."""
-    plain = F.trim(F.element_at(F.split(esmiles, r"<sep>"), 1))
-    raw = F.regexp_extract_all(esmiles, F.lit(r"<([a-z])>([^<]*)</[a-z]>"), F.lit(0))
-    tag = lambda x: F.struct(
-        F.regexp_extract(x, r"<([a-z])>", 1).alias("kind"), F.regexp_extract(x, r">([0-9]+):", 1).try_cast("integer").alias("idx"),
-        F.regexp_extract(x, r">(?:[0-9]+:)?([^<]*)<", 1).alias("group"))
-    return F.struct(plain.alias("smiles"), F.transform(raw, tag).alias("tags"))
+    """An extended string parted into its plain part, its tags (``kind``, ``idx``, ``group``, ``name``) and what is wrong with it; an extension.
+
+    Tags stand after ``<sep>``; tags elsewhere are taken as well, as long as they are whole. ``error`` is null, or says that tags aren't
+    parted off (``separator``), that there is a separator without tags (``empty``), or text between tags (``rest``), where a
+    tag that isn't closed, nested in its own kind or without index ends up.
+    """
+    head = F.regexp_replace(F.regexp_extract(esmiles, r"(?s)^(.*?)(?:<sep>|$)", 1), TAG, "")
+    tail = F.when(F.contains(esmiles, F.lit("<sep>")), F.regexp_extract(esmiles, r"(?s)<sep>(.*)$", 1))
+    rest = F.trim(F.regexp_replace(F.coalesce(tail, F.lit("")), TAG, ""))
+    found = F.regexp_extract_all(esmiles, F.lit(TAG), F.lit(0))
+    part = lambda x, k: F.regexp_extract(x, TAG, k)
+    tag = lambda x: F.struct(part(x, 1).alias("kind"), part(x, 2).try_cast("integer").alias("idx"), part(x, 3).alias("group"), group_name(part(x, 3)).alias("name"))
+    error = F.when((rest != "") | head.rlike("[<>]"), "rest").when(tail.isNull() & (F.size(found) > 0), "separator").when(tail.isNotNull() & (F.size(found) == 0), "empty")
+    return F.when(esmiles.isNotNull(), F.struct(F.trim(head).alias("smiles"), F.transform(found, tag).alias("tags"), error.alias("error")))
+
+
+def fragments(smiles: Column) -> Column:
+    """The parts of a string that dots part, but those within brackets."""
+    return F.filter(F.split(smiles, r"\.(?![^\[]*\])", -1), lambda x: x != "")
+
+
+def atom_count(smiles: Column) -> Column:
+    """Atoms that are written, hydrogen ones within brackets of their own as well; wildcards count."""
+    return F.size(atoms(smiles))
+
+
+def main_fragment(smiles: Column) -> Column:
+    """The fragment with the most atoms, the first of several; null without any."""
+    sized = F.transform(fragments(smiles), lambda x, i: F.struct(atom_count(x).alias("n"), (-i).alias("i"), x.alias("x")))
+    return F.when(F.size(sized) > 0, F.array_max(sized)["x"])
 
 
 DESCRIPTORS = (

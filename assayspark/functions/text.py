@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -56,11 +58,20 @@ def occurrences(text: Column, term: str | Column) -> Column:
 
 def term_frequency(text: Column, query: str) -> Column:
     """Hits of the query's distinct lower-case terms as substrings of the lower-case text."""
-    low = F.lower(text)
-    total = F.lit(0).cast("long")
-    for term in sorted(set(query.lower().split())):
-        total = total + occurrences(low, term)
-    return total
+    return term_frequencies(text, [query])[0]
+
+
+def term_frequencies(text: Column, queries: Sequence[str]) -> Column:
+    """The hits of several queries, as an array; the text is brought to lower case once, and each distinct term counted once."""
+    terms = sorted({t for q in queries for t in q.lower().split()})
+
+    def totals(counts: Column) -> Column:
+        each = ([terms.index(t) for t in sorted(set(q.lower().split()))] for q in queries)
+        return F.array(*(sum((counts[k] for k in places), F.lit(0).cast("long")) for places in each))
+
+    # Bound by lambdas, so that neither the lower-case text nor a count is computed for every use.
+    counted = F.transform(F.array(F.lower(text)), lambda low: F.array(*(occurrences(low, t) for t in terms)) if terms else F.array().cast("array<bigint>"))
+    return F.transform(counted, totals)[0]
 
 
 def relevance(hits: Column, query: str) -> Column:

@@ -85,10 +85,17 @@ def ranked(df: DataFrame, order: Sequence[Column], name: str = "position") -> Da
     """
     # The id counts the rows of a range from its number times 2^33; the saved table keeps ranges as they are counted.
     rows = kept(df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()), "ranked")
-    sizes = {r["_r"]: r["n"] for r in rows.groupBy(F.shiftright("_at", 33).alias("_r")).agg(F.count("*").alias("n")).collect()}
-    starts = [0, *accumulate(sizes.get(k, 0) for k in range(max(sizes, default=0)))]
-    start = F.element_at(F.array(*[F.lit(k).cast("long") for k in starts]), (F.shiftright("_at", 33) + 1).cast("int"))
-    return rows.withColumn(name, start + F.col("_at").bitwiseAND((1 << 33) - 1) + 1).drop("_at")
+    sizes = rows.groupBy(F.shiftright("_at", 33).alias("_r")).agg(F.count("*").alias("_n")).collect()  # a row for each range
+    before = dict(zip((r["_r"] for r in sorted(sizes)), accumulate((r["_n"] for r in sorted(sizes)), initial=0), strict=False))
+    starts = df.sparkSession.createDataFrame(list(before.items()), "_r long, _start long")
+    placed = rows.withColumn("_r", F.shiftright("_at", 33)).join(F.broadcast(starts), "_r")  # no larger than the number of partitions
+    return placed.withColumn(name, F.col("_start") + F.col("_at").bitwiseAND((1 << 33) - 1) + 1).drop("_at", "_r", "_start")
+
+
+def text_order(column: str, ascending: bool, key: str, collation: str = "UNICODE") -> list[Column]:
+    """The order of a table's text column as a reader of a language expects it: letters before accents before case, null as in :func:`client_order`."""
+    c = F.collate(F.col(column), collation)
+    return [c.asc_nulls_last() if ascending else c.desc_nulls_first(), F.col(key).asc()]
 
 
 def client_order(column: str, ascending: bool, key: str) -> list[Column]:

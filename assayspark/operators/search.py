@@ -23,8 +23,8 @@ def keyword_search(docs: DataFrame, query: str, *, key: str = "doc_id", k: int |
     """
     if only is not None:
         docs = docs.where(F.col(key).isin(list(only)))
-    hits = T.term_frequency(F.col("text"), query)
-    out = docs.withColumn("hits", hits).where("hits > 0")
+    # A generator keeps the filter and the columns from counting again.
+    out = docs.select("*", F.explode(F.array(T.term_frequency(F.col("text"), query))).alias("hits")).where("hits > 0")
     pages = T.page_range(F.col("text"))
     out = out.select(
         key, T.hash_heading(F.col("text")).alias("title"), "hits", T.relevance(F.col("hits"), query).alias("score"),
@@ -87,23 +87,33 @@ def cached_search(docs: DataFrame, queries: DataFrame, cache: DataFrame, *, k: i
     """Several searches through the cache: results (``query_id``, ``place``, ``doc_id``, ``score``, ``from_cache``) and the cache afterwards.
 
     ``queries``: query_id, query, doc_filter (null: none); ``cache``: query_hash, place, doc_id, score. What is cached for
-    the same words, number of results and filter is taken as it is; other queries are searched, the filter going into the
-    search, and what they find is stored. ``answers`` (query_id) puts a row without document at the head of new results. Documents are
-    scored for the distinct queries that miss, each as one column expression.
+    the same words, number of results and filter is taken as it is. The other queries, equal ones once, are all scored in one pass
+    over the documents, a filter with them, and what they find is stored. ``answers`` (query_id) puts a row without document at the
+    head of new results. The queries, a few users' typed texts, go to the driver; documents don't.
     """
     key = T.query_key(F.col("query"), F.lit(str(k)), F.coalesce(F.col("doc_filter").cast("string"), F.lit("")))
     asked = queries.withColumn("query_hash", key)
     columns = ["place", "doc_id", "score"]
     hit = asked.join(cache, "query_hash").select("query_id", *columns, F.lit(True).alias("from_cache"))
     missed = asked.join(cache.select("query_hash").distinct(), "query_hash", "left_anti")
-    parts = []
-    for r in missed.select("query_id", "query", "query_hash", "doc_filter").collect():  # a user's few queries, not data
-        own = keyword_search(docs, r["query"], k=k, only=None if r["doc_filter"] is None else [r["doc_filter"]])
-        place = F.row_number().over(W.orderBy(F.desc("score"), "doc_id"))  # of k rows
-        parts.append(own.select("doc_id", "score").withColumn("place", place).select(F.lit(r["query_id"]).cast("long").alias("query_id"), F.lit(r["query_hash"]).alias("query_hash"), *columns))
-    if not parts:
+    distinct = missed.groupBy("query_hash").agg(F.min(F.struct("query", "doc_filter")).alias("q")).orderBy("query_hash").collect()
+    if not distinct:
         return hit, cache
-    new = reduce(DataFrame.unionByName, parts)
+    counts = T.term_frequencies(F.col("text"), [r["q"]["query"] for r in distinct])
+    filters = {r["q"]["doc_filter"] for r in distinct}
+    pool = docs if None in filters else docs.where(F.col("doc_id").isin(list(filters)))
+    scored = pool.select("doc_id", F.explode(F.array(counts)).alias("hits"))
+    wanted = []
+    for n, r in enumerate(distinct):
+        mine = F.col("hits")[n] > 0
+        if r["q"]["doc_filter"] is not None:
+            mine &= F.col("doc_id") == r["q"]["doc_filter"]
+        score = T.relevance(F.col("hits")[n], r["q"]["query"])
+        wanted.append(F.when(mine, F.struct(F.lit(r["query_hash"]).alias("query_hash"), score.alias("score"))))
+    found = scored.select("doc_id", F.explode(F.array_compact(F.array(*wanted))).alias("x")).select("doc_id", "x.query_hash", "x.score")
+    place = F.row_number().over(W.partitionBy("query_hash").orderBy(F.desc("score"), "doc_id"))
+    top = found.withColumn("place", place).where(F.col("place") <= k)
+    new = missed.select("query_id", "query_hash").join(top, "query_hash").select("query_id", "query_hash", *columns)
     if answers is not None:
         head = missed.join(answers.select("query_id"), "query_id").select("query_id", "query_hash", F.lit(0).alias("place"), F.lit(None).cast("long").alias("doc_id"), F.lit(1.0).alias("score"))
         new = new.unionByName(head)

@@ -67,14 +67,16 @@ def located(records: DataFrame, rows: DataFrame, key: str = "doc_id") -> DataFra
 
     ``records``: key, ``rec_id``, ``table_idx``, ``row_label``, ``row_smiles``, ``value_original``.
     """
-    r = records.join(rows, [key, "table_idx"], "left")
     head = F.try_element_at("cells", F.lit(1))
-    hit = (F.lower(F.trim(head)) == F.lower(F.trim("row_label"))) | (head == F.trim("row_smiles"))
+    keyed = rows.where(head.isNotNull()).select(key, "table_idx", "row_idx", "cells", F.explode(F.array(F.concat(F.lit("l"), F.lower(F.trim(head))), F.concat(F.lit("s"), head))).alias("_h"))
+    # A row is met by what it begins with, so a table's rows never meet all of its records.
+    by = F.array_compact(F.array(F.concat(F.lit("l"), F.lower(F.trim("row_label"))), F.concat(F.lit("s"), F.trim("row_smiles"))))
+    wanted = records.where(F.col("row_label").isNotNull()).select(key, "rec_id", "table_idx", "value_original", F.explode(by).alias("_h"))
     marks = F.transform("cells", lambda c: T.number_matches(c, F.col("value_original").cast("double")))
     col = F.array_position(marks, True)
-    best = F.min(F.when(F.col("row_label").isNotNull() & hit, F.struct("row_idx", F.when(col > 0, col - 1).cast("int").alias("col_idx"))))
-    at = r.groupBy(key, "rec_id").agg(best.alias("_at"))
-    return records.join(at, [key, "rec_id"]).select(*records.columns, F.col("_at.row_idx").alias("row_idx"), F.col("_at.col_idx").alias("col_idx"))
+    best = F.min(F.struct("row_idx", F.when(col > 0, col - 1).cast("int").alias("col_idx")))
+    at = wanted.join(keyed, [key, "table_idx", "_h"]).groupBy(key, "rec_id").agg(best.alias("_at"))
+    return records.join(at, [key, "rec_id"], "left").select(*records.columns, F.col("_at.row_idx").alias("row_idx"), F.col("_at.col_idx").alias("col_idx"))
 
 
 def density_class(n_ocr: Column, n_pages: Column) -> Column:

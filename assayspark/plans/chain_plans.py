@@ -58,8 +58,8 @@ def page_parse_view(t: Tables) -> DataFrame:
 
 
 @query("""
-WITH c AS (SELECT o_custkey % 97 AS doc_id, o_orderkey AS cand_id, lower(o_orderpriority) AS v, o_custkey % 7 + 1 AS page, row_number() OVER (PARTITION BY o_custkey % 97, o_orderpriority ORDER BY o_orderkey) AS n FROM orders),
-r AS (SELECT o_orderkey % 97 AS doc_id, o_orderkey AS rec_id, CASE WHEN o_orderstatus = 'F' THEN lower(o_orderpriority) ELSE 'none' END AS v, o_orderkey % 5 + 2 AS page, o_totalprice AS confidence FROM orders),
+WITH c AS (SELECT o_custkey // 10 AS doc_id, o_orderkey AS cand_id, lower(o_orderpriority) AS v, o_custkey % 7 + 1 AS page, row_number() OVER (PARTITION BY o_custkey // 10, o_orderpriority ORDER BY o_orderkey) AS n FROM orders),
+r AS (SELECT o_custkey // 10 AS doc_id, o_orderkey AS rec_id, CASE WHEN o_orderstatus = 'F' THEN lower(o_orderpriority) ELSE 'none' END AS v, o_orderkey % 5 + 2 AS page, o_totalprice AS confidence FROM orders),
 k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, v ORDER BY rec_id) AS n FROM r),
 a AS (SELECT c.doc_id, c.cand_id, k.rec_id FROM c JOIN k ON c.doc_id = k.doc_id AND c.v = k.v AND c.n = k.n),
 f AS (SELECT doc_id, page, min(cand_id) AS cand_id FROM c WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.doc_id = c.doc_id AND a.cand_id = c.cand_id) GROUP BY 1, 2),
@@ -68,26 +68,26 @@ SELECT doc_id, cand_id, rec_id, 'table_row' AS kind FROM a UNION ALL SELECT f.do
 def activity_linking(t: Tables) -> DataFrame:
     """Rows first, then the page: candidates that no table row names take their page's most confident record."""
     o = t.orders
-    c = o.select((F.col("o_custkey") % 97).alias("doc_id"), F.col("o_orderkey").alias("cand_id"), F.col("o_orderpriority").alias("name"), F.lit("").alias("canonical"), F.lit("").alias("esmiles"), (F.col("o_custkey") % 7 + 1).alias("page"))
+    c = o.select(F.floor(F.col("o_custkey") / 10).alias("doc_id"), F.col("o_orderkey").alias("cand_id"), F.col("o_orderpriority").alias("name"), F.lit("").alias("canonical"), F.lit("").alias("esmiles"), (F.col("o_custkey") % 7 + 1).alias("page"))
     label = F.when(F.col("o_orderstatus") == "F", F.lower("o_orderpriority")).otherwise("none")
-    r = o.select((F.col("o_orderkey") % 97).alias("doc_id"), F.col("o_orderkey").alias("rec_id"), F.lit(0).alias("table_idx"), F.col("o_orderkey").cast("int").alias("row_idx"), label.alias("row_label"), F.lit(None).cast("string").alias("row_smiles"), (F.col("o_orderkey") % 5 + 2).alias("page_num"), F.col("o_totalprice").alias("confidence"))
+    r = o.select(F.floor(F.col("o_custkey") / 10).alias("doc_id"), F.col("o_orderkey").alias("rec_id"), F.lit(0).alias("table_idx"), F.col("o_orderkey").cast("int").alias("row_idx"), label.alias("row_label"), F.lit(None).cast("string").alias("row_smiles"), (F.col("o_orderkey") % 5 + 2).alias("page_num"), F.col("o_totalprice").alias("confidence"))
     return M.linked_activities(c, r)
 
 
 @query("""
-WITH p AS (SELECT p_partkey, p_brand, p_size, p_retailprice, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS n FROM part)
-SELECT p_brand AS doc_id, p_partkey AS rec_id, (n + 1)::INT AS row_idx, 1 AS col_idx, CASE WHEN p_size % 2 = 0 THEN p_retailprice * 1000 ELSE p_retailprice END AS nm FROM p""")
+WITH p AS (SELECT p_partkey, p_partkey // 100 AS doc_id, p_size, p_retailprice, row_number() OVER (PARTITION BY p_partkey // 100 ORDER BY p_partkey) AS n FROM part)
+SELECT doc_id, p_partkey AS rec_id, (n + 1)::INT AS row_idx, 1 AS col_idx, CASE WHEN p_size % 2 = 0 THEN p_retailprice * 1000 ELSE p_retailprice END AS nm FROM p""")
 def activity_extraction(t: Tables) -> DataFrame:
-    """A table for each brand (name and value), found in its markdown; each record is located in it and brought to nanomolar."""
+    """A table for each hundred parts (name and value), found in its markdown; each record is located in it and brought to nanomolar."""
     line = F.concat(F.lit("| part "), F.col("p_partkey").cast("string"), F.lit(" | "), F.col("p_retailprice").cast("string"), F.lit(" |"))
     rows = F.transform(F.sort_array(F.collect_list(F.struct("p_partkey", line.alias("line")))), lambda x: x["line"])
     text = F.array_join(F.concat(F.array(F.lit("<!-- PAGE 2 -->"), F.lit("| name | value |"), F.lit("|---|---|")), rows), "\n")
-    docs = t.part.groupBy(F.col("p_brand").alias("doc_id")).agg(text.alias("text"))
+    docs = t.part.groupBy(F.floor(F.col("p_partkey") / 100).alias("doc_id")).agg(text.alias("text"))
     found = X.table_rows(X.tables(docs))
     unit = F.when(F.col("p_size") % 2 == 0, F.lit("uM")).otherwise(F.lit("nM"))
     from assayspark.functions import units as U
 
-    records = t.part.select(F.col("p_brand").alias("doc_id"), F.col("p_partkey").alias("rec_id"), F.lit(0).cast("long").alias("table_idx"), F.concat(F.lit("Part "), F.col("p_partkey").cast("string")).alias("row_label"), F.lit(None).cast("string").alias("row_smiles"), F.col("p_retailprice").alias("value_original"), U.to_nm(F.col("p_retailprice"), unit).alias("nm"))
+    records = t.part.select(F.floor(F.col("p_partkey") / 100).alias("doc_id"), F.col("p_partkey").alias("rec_id"), F.lit(0).cast("long").alias("table_idx"), F.concat(F.lit("Part "), F.col("p_partkey").cast("string")).alias("row_label"), F.lit(None).cast("string").alias("row_smiles"), F.col("p_retailprice").alias("value_original"), U.to_nm(F.col("p_retailprice"), unit).alias("nm"))
     return X.located(records, found).select("doc_id", "rec_id", "row_idx", "col_idx", "nm")
 
 

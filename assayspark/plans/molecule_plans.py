@@ -17,7 +17,7 @@ from assayspark.streaming import logs as S
 from .registry import Tables, query
 
 # Boxes from four components of a vector, in the unit square: corners are ordered and at least 0.02 apart.
-_BOX_SQL = """(SELECT vec_id, label, vec_id % 20 AS page_id, vec_id // 20 AS box_id,
+_BOX_SQL = """(SELECT vec_id, label, vec_id // 50 AS page_id, vec_id % 50 AS box_id,
   least(e[{0}], e[{1}])::DOUBLE + 0.5 AS x0, least(e[{2}], e[{3}])::DOUBLE + 0.5 AS y0,
   greatest(e[{0}], e[{1}])::DOUBLE + 0.52 AS x1, greatest(e[{2}], e[{3}])::DOUBLE + 0.52 AS y1
   FROM (SELECT vec_id, label, embedding AS e FROM embeddings))"""
@@ -29,7 +29,7 @@ _SHARED = f"(CASE WHEN {_W} > 0 AND {_H} > 0 THEN {_W} * {_H} ELSE 0 END)"
 def _boxes(t: Tables, k: int) -> DataFrame:
     e = lambda i: F.col("embedding")[k + i].cast("double")
     box = G.box(F.least(e(0), e(1)) + 0.5, F.least(e(2), e(3)) + 0.5, F.greatest(e(0), e(1)) + 0.52, F.greatest(e(2), e(3)) + 0.52)
-    return t.embeddings.select("vec_id", "label", (F.col("vec_id") % 20).alias("page_id"), F.floor(F.col("vec_id") / 20).alias("box_id"), box.alias("box"))
+    return t.embeddings.select("vec_id", "label", F.floor(F.col("vec_id") / 50).alias("page_id"), (F.col("vec_id") % 50).alias("box_id"), box.alias("box"))
 
 
 def _scaled(b: Column, k: float) -> Column:
@@ -96,13 +96,13 @@ def geometric_pairing(t: Tables) -> DataFrame:
 
 
 @query("""
-WITH c AS (SELECT o_custkey % 97 AS doc_id, o_orderkey AS cand_id, lower(o_orderpriority) AS v, row_number() OVER (PARTITION BY o_custkey % 97, o_orderpriority ORDER BY o_orderkey) AS n FROM orders),
-r AS (SELECT o_custkey % 97 AS doc_id, o_orderkey AS rec_id, lower(o_orderpriority) AS v, row_number() OVER (PARTITION BY o_custkey % 97, o_orderpriority ORDER BY o_orderkey) AS n FROM orders)
+WITH c AS (SELECT o_custkey // 10 AS doc_id, o_orderkey AS cand_id, lower(o_orderpriority) AS v, row_number() OVER (PARTITION BY o_custkey // 10, o_orderpriority ORDER BY o_orderkey) AS n FROM orders),
+r AS (SELECT o_custkey // 10 AS doc_id, o_orderkey AS rec_id, lower(o_orderpriority) AS v, row_number() OVER (PARTITION BY o_custkey // 10, o_orderpriority ORDER BY o_orderkey) AS n FROM orders)
 SELECT doc_id, cand_id, rec_id FROM c JOIN r USING (doc_id, v, n)""")
 def activity_row_alignment(t: Tables) -> DataFrame:
     """Every record stands in a table row of its own and has a label only: the n-th candidate of a label takes the n-th record."""
-    c = t.orders.select((F.col("o_custkey") % 97).alias("doc_id"), F.col("o_orderkey").alias("cand_id"), F.col("o_orderpriority").alias("name"), F.lit("").alias("canonical"), F.lit("").alias("esmiles"))
-    r = t.orders.select((F.col("o_custkey") % 97).alias("doc_id"), F.col("o_orderkey").alias("rec_id"), F.lit(0).alias("table_idx"), F.col("o_orderkey").cast("int").alias("row_idx"), F.lower("o_orderpriority").alias("row_label"), F.lit(None).cast("string").alias("row_smiles"))
+    c = t.orders.select(F.floor(F.col("o_custkey") / 10).alias("doc_id"), F.col("o_orderkey").alias("cand_id"), F.col("o_orderpriority").alias("name"), F.lit("").alias("canonical"), F.lit("").alias("esmiles"))
+    r = t.orders.select(F.floor(F.col("o_custkey") / 10).alias("doc_id"), F.col("o_orderkey").alias("rec_id"), F.lit(0).alias("table_idx"), F.col("o_orderkey").cast("int").alias("row_idx"), F.lower("o_orderpriority").alias("row_label"), F.lit(None).cast("string").alias("row_smiles"))
     return M.aligned_rows(c, r)
 
 
@@ -186,6 +186,16 @@ def merged_logs(t: Tables) -> DataFrame:
     return S.merged_logs(rows, 200)
 
 
+@query("""
+WITH l AS (SELECT DISTINCT user_id AS doc_id, epoch_us(ts) // 1000 AS ts_ms, event_type AS message FROM events),
+d AS (SELECT doc_id FROM l GROUP BY 1 ORDER BY min(ts_ms) DESC, doc_id DESC LIMIT 50)
+SELECT doc_id, ts_ms, message FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ts_ms DESC, message DESC) AS n FROM l WHERE doc_id IN (SELECT doc_id FROM d)) WHERE n <= 10""")
+def merged_logs_of_last(t: Tables) -> DataFrame:
+    """Logs kept for the 50 documents that came last, ten rows each: both limits cut."""
+    rows = t.events.select(F.col("user_id").alias("doc_id"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"), F.col("event_type").alias("message"))
+    return S.merged_logs_of_last(rows, 10, 50)
+
+
 @query("""
 WITH e AS (SELECT event_id, value, try_cast(nullif(regexp_extract('> ' || value || ' nM', '([-+]?[0-9]*\\.?[0-9]+(?:[eE][-+]?[0-9]+)?)', 1), '') AS DOUBLE) AS a,
            CASE WHEN event_id % 2 = 0 THEN value ELSE value + 100 END AS b FROM events)

@@ -82,3 +82,29 @@ def text_evidence(t: Tables) -> DataFrame:
     m = made.select("doc_id", string.alias("mol_id"), F.col("k").cast("string").alias("esmiles"), F.when(F.col("k") < 2, F.get("w", 13 * F.col("k") + 2)).alias("name"), F.lit("pending").alias("status"))
     out = E.text_evidence(docs, m)
     return out.select("doc_id", F.col("esmiles").cast("long").alias("k"), "name", "char_start", "char_end", "code_text", F.md5("text_excerpt").alias("excerpt_md5"))
+
+
+@query("""
+WITH s AS (SELECT p_partkey, p_size % 7 AS a, p_partkey % 9 AS b, p_partkey % 4 AS k FROM part),
+f AS (SELECT *, CASE k WHEN 0 THEN 'C[Se.]' ELSE 'c1cc[as]cc1' END AS x, repeat('C', a::INT) AS y, repeat('[NH4+]', b::INT) AS z FROM s)
+SELECT p_partkey, CASE WHEN b > greatest(CASE k WHEN 0 THEN 2 ELSE 6 END, a) THEN z WHEN a > CASE k WHEN 0 THEN 2 ELSE 6 END THEN y ELSE x END AS main,
+       (CASE k WHEN 0 THEN 2 ELSE 6 END + a + b)::INT AS n_atoms FROM f""")
+def main_fragments(t: Tables) -> DataFrame:
+    """Strings of three fragments, one of them with a dot within brackets."""
+    from assayspark.functions import chem
+
+    first = F.when(F.col("p_partkey") % 4 == 0, "C[Se.]").otherwise("c1cc[as]cc1")
+    text = F.concat_ws(".", first, F.expr("repeat('C', cast(p_size % 7 as int))"), F.expr("repeat('[NH4+]', cast(p_partkey % 9 as int))"))
+    made = t.part.select("p_partkey", text.alias("smiles"))
+    return made.select("p_partkey", chem.main_fragment(F.col("smiles")).alias("main"), chem.atom_count(F.col("smiles")).alias("n_atoms"))
+
+
+@query("""
+SELECT event_id, row_number() OVER (ORDER BY strip_accents(lower(name)) ASC NULLS LAST, name <> strip_accents(name) ASC, name <> lower(name) ASC, event_id) AS position
+FROM (SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'etude' WHEN 1 THEN 'Etude' WHEN 2 THEN 'étude' WHEN 3 THEN 'Zug' WHEN 4 THEN 'zebra' END AS name FROM events)""")
+def table_text_order(t: Tables) -> DataFrame:
+    """A table's order by a text column with accents and capitals, as a reader expects it; rows without text come last."""
+    from assayspark.operators import relational as R
+
+    name = F.get(F.array(*map(F.lit, ("etude", "Etude", "étude", "Zug", "zebra"))), (F.col("event_id") % 6).cast("int"))
+    return R.ranked(t.events.select("event_id", name.alias("name")), R.text_order("name", True, "event_id")).select("event_id", "position")

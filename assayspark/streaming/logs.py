@@ -48,6 +48,16 @@ def merged_logs(rows: DataFrame, n: int) -> DataFrame:
     return last_per_key(rows.dropDuplicates(["doc_id", "ts_ms", "message"]).withColumn("_o", F.struct("ts_ms", "message")), "doc_id", "_o", n).drop("_o")
 
 
+def merged_logs_of_last(rows: DataFrame, n: int, n_docs: int) -> DataFrame:
+    """:func:`merged_logs` of the ``n_docs`` documents whose first row came last; those that came before are let go, first come, first gone.
+
+    ``rows``: doc_id, ts_ms, message. Documents that came at one time go by id.
+    """
+    first = rows.groupBy("doc_id").agg(F.min("ts_ms").alias("came"))
+    last = first.orderBy(F.desc("came"), F.desc("doc_id")).limit(n_docs).select("doc_id")
+    return merged_logs(rows.join(last, "doc_id", "left_semi"), n)
+
+
 def batch_no(place: Column, size: int = 3) -> Column:
     """The micro-batch of a row by its place from 1."""
     return F.floor((place - 1) / size).cast("int")
