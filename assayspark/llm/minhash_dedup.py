@@ -19,8 +19,9 @@ on what a task holds.
 
 Defined cases: null or empty text, or one without words: no shingles, linked with nothing; fewer than five
 words: the whole sequence is the one shingle; null doc_id: linked with nothing, component null, kept;
-repeated rows: one class; ties: the smallest doc_id is kept; an empty table gives no rows; other columns
-are ignored.
+repeated rows: one class; rows with one doc_id and different texts: documents of their own, each judged by its
+text, with the smallest doc_id of what its text reaches as component; ties: the smallest doc_id is kept; an empty
+table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -114,16 +115,30 @@ def merged_lists(ws: Workspace, classes: DataFrame) -> DataFrame:
     return ws.save(prefix, "prefix")
 
 
-def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``doc``, ``n``, ``items``: the full sets of the documents in ``ids`` (one row for each)."""
+def _classes(ws: Workspace, signed: DataFrame) -> DataFrame:
+    """``set_id``, ``doc``, ``least``, ``n``, ``sig`` of each distinct set: its number and its smallest doc_id, which is the number too if no other set has it."""
+    usable = signed.where("doc_id IS NOT NULL AND set_id IS NOT NULL")
+    classes = ws.save(usable.groupBy("set_id").agg(F.min("doc_id").alias("least"), F.min("n").alias("n"), F.min("sig").alias("sig")), "classes")
+    if classes.groupBy("least").agg(F.count("*").alias("k")).where("k > 1").isEmpty():
+        return classes.select("set_id", F.col("least").alias("doc"), "least", "n", "sig")
+    # Numbers in the order of the ids, so that a smallest number stands for a smallest id.
+    numbers = classes.select("least", "set_id").orderBy("least", "set_id").withColumn("doc", F.monotonically_increasing_id())
+    return ws.save(classes.join(ws.save(numbers, "numbers").drop("least"), "set_id").select("set_id", "doc", "least", "n", "sig"), "numbered")
+
+
+def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``doc``, ``n``, ``items``: the full sets of the classes in ``wanted`` (``doc``, ``least``, ``set_id``), one row for each."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [shingles(t) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc"), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc", "n", "items"])
+            # A doc_id may stand on other texts as well.
+            own = [k for k, (s, i) in enumerate(zip(sets, b.column("set_id").to_pylist(), strict=True)) if xxhash.xxh3_128_digest(s.tobytes()) == i]
+            items = pa.array([sets[k].tobytes() for k in own], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("doc").take(pa.array(own, pa.int64())), pa.array([len(sets[k]) for k in own], pa.int64()), items], names=["doc", "n", "items"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").where("doc IS NOT NULL")
-    few = texts.join(ids.hint("shuffle_hash"), "doc", "left_semi")
+    texts = docs.select(F.col("doc_id").cast("long").alias("least"), "text").where("least IS NOT NULL")
+    few = texts.join(wanted.hint("shuffle_hash"), "least").select("doc", "set_id", "text")
     return few.mapInArrow(work, "doc long, n long, items binary").dropDuplicates(["doc"])
 
 
@@ -267,13 +282,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     small_batches(spark)
     ws = Workspace(spark, "minhash")
     signed = ws.save(_signed(docs), "signed")
-    usable = signed.where("doc_id IS NOT NULL AND set_id IS NOT NULL")
-    classes = ws.save(usable.groupBy("set_id").agg(F.min("doc_id").alias("doc"), F.min("n").alias("n"), F.min("sig").alias("sig")), "classes")
+    classes = _classes(ws, signed)
     prefix = merged_lists(ws, classes)
     pivots = ws.save(_pivots(prefix), "pivots")
     ws.drop("shared")
     ids = prefix.join(prefix.groupBy("token").agg(F.count("*").alias("n")).where("n > 1"), "token", "left_semi").select("doc").distinct()
-    sets = ws.save(_sets(docs, ids), "sets")
+    sets = ws.save(_sets(docs, classes.select("doc", "least", "set_id").join(ids, "doc", "left_semi")), "sets")
     links = ws.save(confirmed(pivots, sets), "links-1")
     comp = ws.save(components(ws, links, "cc-a"), "components-1")
     signs = classes.select(F.col("doc").alias("d"), "n", "sig")
@@ -285,7 +299,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = links.union(ws.save(_linked(full), "links-2"))
     ws.drop("sets", "pivots", "members", "needed")
     comp = components(ws, links, "cc-b")
-    named = classes.select("set_id", "doc").join(comp, F.col("doc") == F.col("node"), "left").select("set_id", F.coalesce("component", "doc").alias("component"))
+    linked = comp.join(classes.select(F.col("doc").alias("head"), "least"), F.col("component") == F.col("head")).select("node", F.col("least").alias("component"))
+    named = classes.join(linked, F.col("doc") == F.col("node"), "left").select("set_id", F.coalesce("component", "least").alias("component"))
     named = ws.save(named, "named")
     out = signed.alias("s").join(named.alias("c"), F.col("s.set_id") == F.col("c.set_id"), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))

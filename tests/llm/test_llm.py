@@ -107,6 +107,25 @@ def test_op1_large_group(spark):
     assert got == low
 
 
+@pytest.mark.parametrize("partitions", [1, 3])
+def test_op1_ids_on_several_texts(spark, partitions):
+    rng = random.Random(8)
+    text = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    w, other = text(60), text(60)
+    rows = [(1, w), (3, f"{w} more"), (3, other), (5, f"{other} more"), (5, w), (7, None), (7, other), (-2, text(60)), (3, other)]
+    base = [text(40) for _ in range(6)]
+    rows += [(rng.randrange(100, 120), f"{rng.choice(base)} {text(rng.randrange(0, 5))}") for _ in range(80)]
+    grams = [frozenset(tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)) if t else frozenset() for _, t in rows]
+    low = [i for i, _ in rows]
+    near = [[j for j in range(len(rows)) if a and 100 * len(a & grams[j]) >= 75 * len(a | grams[j])] for a in grams]
+    for _ in rows:
+        low = [min([low[k], *(low[j] for j in near[k])]) for k in range(len(rows))]
+    want = sorted((i, len(g), c, i == c) for (i, _), g, c in zip(rows, grams, low, strict=True))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(partitions)
+    assert sorted(map(tuple, minhash_dedup.near_duplicates(df).collect())) == want
+    assert want.count((3, 57, 1, False)) == 1 and want.count((3, 56, 3, True)) == 2
+
+
 @pytest.mark.parametrize("factor", [1.0, nearest.FACTOR])
 def test_op2(spark, factor):
     rng = np.random.default_rng(5)
