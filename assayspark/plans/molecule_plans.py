@@ -187,13 +187,13 @@ def merged_logs(t: Tables) -> DataFrame:
 
 
 @query("""
-WITH l AS (SELECT DISTINCT user_id AS doc_id, epoch_us(ts) // 1000 AS ts_ms, event_type AS message FROM events),
+WITH l AS (SELECT DISTINCT conv_id AS doc_id, turn + 10 * (conv_id % 97) AS ts_ms, role AS message FROM conversations),
 d AS (SELECT doc_id FROM l GROUP BY 1 ORDER BY min(ts_ms) DESC, doc_id DESC LIMIT 50)
-SELECT doc_id, ts_ms, message FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ts_ms DESC, message DESC) AS n FROM l WHERE doc_id IN (SELECT doc_id FROM d)) WHERE n <= 10""")
+SELECT doc_id, ts_ms, message FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ts_ms DESC, message DESC) AS n FROM l WHERE doc_id IN (SELECT doc_id FROM d)) WHERE n <= 3""")
 def merged_logs_of_last(t: Tables) -> DataFrame:
-    """Logs kept for the 50 documents that came last, ten rows each: both limits cut."""
-    rows = t.events.select(F.col("user_id").alias("doc_id"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"), F.col("event_type").alias("message"))
-    return S.merged_logs_of_last(rows, 10, 50)
+    """Turns as logs, kept for the 50 conversations that came last, three rows each: both limits cut."""
+    rows = t.conversations.select(F.col("conv_id").alias("doc_id"), (F.col("turn") + 10 * (F.col("conv_id") % 97)).alias("ts_ms"), F.col("role").alias("message"))
+    return S.merged_logs_of_last(rows, 3, 50)
 
 
 @query("""

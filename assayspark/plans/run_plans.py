@@ -42,41 +42,41 @@ def ingest_run(t: Tables) -> DataFrame:
 
 
 @query("""
-SELECT 'orders' AS name, o_orderkey AS id, CASE WHEN o_custkey % 5 = 0 THEN 'again' ELSE o_orderstatus END AS status FROM orders WHERE o_orderkey % 7 <> 0
-UNION ALL SELECT 'customers', c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 'again' ELSE 'new' END FROM customer""")
+SELECT 'texts' AS name, doc_id AS id, CASE WHEN n_chars % 5 = 0 THEN 'again' ELSE source END AS status FROM documents WHERE doc_id % 7 <> 0
+UNION ALL SELECT 'sizes', n_chars, CASE WHEN n_chars % 5 = 0 THEN 'again' ELSE 'new' END FROM (SELECT DISTINCT n_chars FROM documents)""")
 def library_commits(t: Tables) -> DataFrame:
     """Two tables through four transactions, one of which fails after its first table; then one table is compacted."""
     library = Library(t.spark, _own(t, "library"))
-    orders = t.orders.select("o_custkey", F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"))
-    customers = t.customer.select(F.col("c_custkey").alias("id"), F.lit("new").alias("status"))
+    texts = t.documents.select("n_chars", F.col("doc_id").alias("id"), F.col("source").alias("status"))
+    sizes = t.documents.select(F.col("n_chars").alias("id")).distinct().withColumn("status", F.lit("new"))
     with library.transaction() as tx:
-        tx.append("orders", orders)
-        tx.append("customers", customers)
-    with library.transaction() as tx:  # every fifth customer comes again, with all orders
-        tx.replace("orders", orders.where("o_custkey % 5 = 0").withColumn("status", F.lit("again")), ["o_custkey"])
-        tx.replace("customers", customers.where("id % 5 = 0").withColumn("status", F.lit("again")), ["id"])
+        tx.append("texts", texts)
+        tx.append("sizes", sizes)
+    with library.transaction() as tx:  # every fifth size comes again, with all its texts
+        tx.replace("texts", texts.where("n_chars % 5 = 0").withColumn("status", F.lit("again")), ["n_chars"])
+        tx.replace("sizes", sizes.where("id % 5 = 0").withColumn("status", F.lit("again")), ["id"])
     try:
         with library.transaction() as tx:
-            tx.delete("customers", customers.select("id"))
+            tx.delete("sizes", sizes.select("id"))
             raise InterruptedError
     except InterruptedError:
         pass
     with library.transaction() as tx:
-        tx.delete("orders", orders.where("id % 7 = 0").select("id"))
-    library.compact("customers")
-    one = lambda name: library.read(name).select(F.lit(name).alias("name"), "id", "status")
-    return one("orders").unionByName(one("customers"))
+        tx.delete("texts", texts.where("id % 7 = 0").select("id"))
+    library.compact("sizes")
+    one = lambda name: library.read(name).select(F.lit(name).alias("name"), F.col("id").cast("long").alias("id"), "status")
+    return one("texts").unionByName(one("sizes"))
 
 
 @query("""
-SELECT event_type, event_id AS seq, value FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) AS n FROM events) WHERE n <= 500""")
+SELECT source, doc_id AS seq, n_chars FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) AS n FROM documents) WHERE n <= 500""")
 def live_rings(t: Tables) -> DataFrame:
-    """The last 500 events of each type as a stream keeps them, read back from the changes that it told."""
+    """The last 500 documents of each source as a stream keeps them, read back from the changes that it told."""
     own = state.with_state_store(t.spark)
     out = _own(t, "rings")
-    source = f"{t.sf_dir}/events.parque[t]"  # a pattern, as a stream takes a single file by that only
-    rows = own.readStream.schema(t.events.schema).parquet(source).select("event_type", F.col("event_id").alias("seq"), "value")
+    source = f"{t.sf_dir}/documents.parque[t]"  # a pattern, as a stream takes a single file by that only
+    rows = own.readStream.schema(t.documents.schema).parquet(source).select("source", F.col("doc_id").alias("seq"), "n_chars")
     write = lambda batch, no: batch.write.mode("overwrite").parquet(f"{out}/changes/v={no}")
-    query = state.ring(rows, "event_type").writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
+    query = state.ring(rows, "source").writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return state.ring_content(t.spark.read.parquet(f"{out}/changes").drop("v"), "event_type")
+    return state.ring_content(t.spark.read.parquet(f"{out}/changes").drop("v"), "source")

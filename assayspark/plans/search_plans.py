@@ -7,8 +7,10 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from assayspark.functions import chem
 from assayspark.operators import evidence as E
 from assayspark.operators import fulltext as X
+from assayspark.operators import relational as R
 from assayspark.scratch import folder
 
 from .registry import Tables, query
@@ -25,22 +27,23 @@ def _spaced(column: str) -> str:
 
 
 @query(f"""
-WITH t AS (SELECT p_partkey, {_spaced("p_name")} AS a, {_spaced("p_type")} AS b FROM part)
-SELECT 'words' AS search, p_partkey FROM t WHERE contains(a, ' small ring ') OR contains(b, ' small ring ')
-UNION ALL SELECT 'prefix', p_partkey FROM t WHERE contains(a, ' red w') OR contains(b, ' red w')
-UNION ALL SELECT 'first', p_partkey FROM t WHERE starts_with(a, ' small ') OR starts_with(b, ' small ')
-UNION ALL SELECT 'column', p_partkey FROM t WHERE contains(b, ' small ')
-UNION ALL SELECT 'both', p_partkey FROM t WHERE contains(a, ' blue ') AND contains(b, ' economy ')
-UNION ALL SELECT 'either but not', p_partkey FROM t WHERE (contains(a, ' hot ') OR contains(a, ' cold ')) AND NOT contains(b, ' small ')""")
-def fulltext_parts(t: Tables) -> DataFrame:
-    """Searches of each kind over names and types, answered together."""
-    columns = ["p_name", "p_type"]
+WITH t AS (SELECT conv_id * 1000 + turn AS id, {_spaced("text")} AS a, {_spaced("role")} AS b FROM conversations)
+SELECT 'words' AS search, id FROM t WHERE contains(a, ' of the ') OR contains(b, ' of the ')
+UNION ALL SELECT 'prefix', id FROM t WHERE contains(a, ' us') OR contains(b, ' us')
+UNION ALL SELECT 'first', id FROM t WHERE starts_with(a, ' in ') OR starts_with(b, ' in ')
+UNION ALL SELECT 'column', id FROM t WHERE contains(b, ' system ')
+UNION ALL SELECT 'both', id FROM t WHERE contains(a, ' la ') AND contains(b, ' assistant ')
+UNION ALL SELECT 'either but not', id FROM t WHERE (contains(a, ' die ') OR contains(a, ' der ')) AND NOT contains(b, ' user ')""")
+def fulltext_columns(t: Tables) -> DataFrame:
+    """Searches of each kind over the texts and roles of turns, answered together."""
+    columns = ["text", "role"]
+    rows = t.conversations.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), *columns)
+    in_text, in_role = (lambda w, c=c: X.phrase(w, columns=[c]) for c in columns)
     wanted = {
-        "words": X.phrase("small Ring"), "prefix": X.phrase("red w", prefix=True), "first": X.phrase("small", first=True), "column": X.phrase("SMALL", columns=["p_type"]),
-        "both": X.phrase("blue", columns=["p_name"]) & X.phrase("economy", columns=["p_type"]),
-        "either but not": (X.phrase("hot", columns=["p_name"]) | X.phrase("cold", columns=["p_name"])) - X.phrase("small", columns=["p_type"]),
+        "words": X.phrase("Of THE"), "prefix": X.phrase("us", prefix=True), "first": X.phrase("in", first=True), "column": in_role("System"),
+        "both": in_text("là") & in_role("assistant"), "either but not": (in_text("die") | in_text("der")) - in_role("user"),
     }
-    return X.matches(_indexed(t, t.part, "p_partkey", columns), "p_partkey", wanted, columns)
+    return X.matches(_indexed(t, rows, "id", columns), "id", wanted, columns)
 
 
 @query(f"""
@@ -85,26 +88,21 @@ def text_evidence(t: Tables) -> DataFrame:
 
 
 @query("""
-WITH s AS (SELECT p_partkey, p_size % 7 AS a, p_partkey % 9 AS b, p_partkey % 4 AS k FROM part),
-f AS (SELECT *, CASE k WHEN 0 THEN 'C[Se.]' ELSE 'c1cc[as]cc1' END AS x, repeat('C', a::INT) AS y, repeat('[NH4+]', b::INT) AS z FROM s)
-SELECT p_partkey, CASE WHEN b > greatest(CASE k WHEN 0 THEN 2 ELSE 6 END, a) THEN z WHEN a > CASE k WHEN 0 THEN 2 ELSE 6 END THEN y ELSE x END AS main,
-       (CASE k WHEN 0 THEN 2 ELSE 6 END + a + b)::INT AS n_atoms FROM f""")
+WITH s AS (SELECT doc_id, n_chars % 7 AS a, doc_id % 9 AS b, doc_id % 4 AS k FROM documents),
+f AS (SELECT *, CASE k WHEN 0 THEN 2 ELSE 6 END AS n, CASE k WHEN 0 THEN 'C[Se.]' ELSE 'c1cc[as]cc1' END AS x, repeat('C', a::INT) AS y, repeat('[NH4+]', b::INT) AS z FROM s)
+SELECT doc_id, CASE WHEN b > greatest(n, a) THEN z WHEN a > n THEN y ELSE x END AS main, (n + a + b)::INT AS n_atoms FROM f""")
 def main_fragments(t: Tables) -> DataFrame:
     """Strings of three fragments, one of them with a dot within brackets."""
-    from assayspark.functions import chem
-
-    first = F.when(F.col("p_partkey") % 4 == 0, "C[Se.]").otherwise("c1cc[as]cc1")
-    text = F.concat_ws(".", first, F.expr("repeat('C', cast(p_size % 7 as int))"), F.expr("repeat('[NH4+]', cast(p_partkey % 9 as int))"))
-    made = t.part.select("p_partkey", text.alias("smiles"))
-    return made.select("p_partkey", chem.main_fragment(F.col("smiles")).alias("main"), chem.atom_count(F.col("smiles")).alias("n_atoms"))
+    first = F.when(F.col("doc_id") % 4 == 0, "C[Se.]").otherwise("c1cc[as]cc1")
+    text = F.concat_ws(".", first, F.expr("repeat('C', cast(n_chars % 7 as int))"), F.expr("repeat('[NH4+]', cast(doc_id % 9 as int))"))
+    made = t.documents.select("doc_id", text.alias("smiles"))
+    return made.select("doc_id", chem.main_fragment(F.col("smiles")).alias("main"), chem.atom_count(F.col("smiles")).alias("n_atoms"))
 
 
 @query("""
-SELECT event_id, row_number() OVER (ORDER BY strip_accents(lower(name)) ASC NULLS LAST, name <> strip_accents(name) ASC, name <> lower(name) ASC, event_id) AS position
-FROM (SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'etude' WHEN 1 THEN 'Etude' WHEN 2 THEN 'étude' WHEN 3 THEN 'Zug' WHEN 4 THEN 'zebra' END AS name FROM events)""")
+SELECT doc_id, row_number() OVER (ORDER BY strip_accents(lower(name)) ASC NULLS LAST, name <> strip_accents(name) ASC, name <> lower(name) ASC, doc_id) AS position
+FROM (SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'etude' WHEN 1 THEN 'Etude' WHEN 2 THEN 'étude' WHEN 3 THEN 'Zug' WHEN 4 THEN 'zebra' END AS name FROM documents)""")
 def table_text_order(t: Tables) -> DataFrame:
     """A table's order by a text column with accents and capitals, as a reader expects it; rows without text come last."""
-    from assayspark.operators import relational as R
-
-    name = F.get(F.array(*map(F.lit, ("etude", "Etude", "étude", "Zug", "zebra"))), (F.col("event_id") % 6).cast("int"))
-    return R.ranked(t.events.select("event_id", name.alias("name")), R.text_order("name", True, "event_id")).select("event_id", "position")
+    name = F.get(F.array(*map(F.lit, ("etude", "Etude", "étude", "Zug", "zebra"))), (F.col("doc_id") % 6).cast("int"))
+    return R.ranked(t.documents.select("doc_id", name.alias("name")), R.text_order("name", True, "doc_id")).select("doc_id", "position")
