@@ -125,7 +125,17 @@ def text_evidence(docs: DataFrame, molecules: DataFrame, around: int = 200) -> D
     )
 
 
-MOLECULE = ["mol_id", "smiles", "esmiles", "name", "source_type", "status", "canonical_smiles"]
+#: Columns of stored molecules and evidence, whoever writes them; a document's id keeps its own type.
+MOLECULE = {c: "string" for c in ("mol_id", "smiles", "esmiles", "name", "source_type", "status", "canonical_smiles")} | {"activity": "double", "activity_type": "string", "units": "string"}
+EVIDENCE = {
+    "canonical_smiles": "string", "mol_id": "string", "doc_id": None, "page": "int", "role": "string", "kind": "string", "confidence": "double", "source_type": "string",
+    "context_text": "string", "code_text": "string", "row_label": "string", "table_idx": "int", "row_idx": "int", "col_idx": "int",
+}
+
+
+def shaped(df: DataFrame, columns: dict[str, str | None]) -> DataFrame:
+    """The named columns in their types, null where ``df`` lacks one."""
+    return df.select(*((F.col(c) if k is None else F.col(c).cast(k) if c in df.columns else F.lit(None).cast(k)).alias(c) for c, k in columns.items()))
 
 
 def register_text_evidence(tx: Transaction, docs: DataFrame, molecules: DataFrame) -> None:
@@ -143,16 +153,16 @@ def register_text_evidence(tx: Transaction, docs: DataFrame, molecules: DataFram
         "mol_id", F.col("mol_id").alias("smiles"), "m.esmiles", "m.name", F.lit("text").alias("source_type"), F.lit("pending").alias("status"), F.col("mol_id").alias("canonical_smiles")
     )
     if tx.exists("molecules"):
-        known = tx.read("molecules").select(MOLECULE)
+        known = shaped(tx.read("molecules"), MOLECULE)
         # Of a known molecule only a missing canonical form is set.
         bare = known.where("canonical_smiles IS NULL").join(new.select("mol_id"), "mol_id", "left_semi").withColumn("canonical_smiles", F.col("mol_id"))
-        tx.replace("molecules", new.join(known.select("mol_id"), "mol_id", "left_anti").unionByName(bare).select(MOLECULE), ["mol_id"])
+        tx.replace("molecules", shaped(new.join(known.select("mol_id"), "mol_id", "left_anti"), MOLECULE).unionByName(bare), ["mol_id"])
     else:
-        tx.append("molecules", new.select(MOLECULE))
-    rows = links.select(F.col("mol_id").alias("canonical_smiles"), "mol_id", "doc_id", F.lit(None).cast("int").alias("page"), F.col("text_excerpt").alias("context_text"), "code_text", "role", F.lit("text").alias("kind"))
+        tx.append("molecules", shaped(new, MOLECULE))
+    rows = links.select(F.col("mol_id").alias("canonical_smiles"), "mol_id", "doc_id", F.col("text_excerpt").alias("context_text"), "code_text", "role", F.lit("text").alias("kind"), F.lit("text").alias("source_type"))
     if tx.exists("evidence"):
         tx.delete("evidence", ids.withColumn("kind", F.lit("text")))
-    tx.append("evidence", rows)
+    tx.append("evidence", shaped(rows, EVIDENCE))
 
 
 def excerpt(text: Column, at: Column, width: int = 200, most: int = 500) -> Column:

@@ -72,12 +72,12 @@ def test_text_evidence(docs, molecules):
 def test_registration_is_one_commit_that_can_be_repeated(spark, docs, molecules, tmp_path):
     lib = Library(spark, f"file://{tmp_path}/lib")
     with lib.transaction() as tx:
-        tx.append("molecules", spark.createDataFrame([("CCO", "OCC", "kept", "ethanol", "image", "confirmed", None)], ", ".join(f"{c} string" for c in E.MOLECULE)))
+        tx.append("molecules", spark.createDataFrame([("CCO", "OCC", "kept", "ethanol", "image", "confirmed", None, 1.5, "IC50", "nM")], ", ".join(f"{c} {k}" for c, k in E.MOLECULE.items())))
     for _ in range(2):
         lib.run(lambda tx: E.register_text_evidence(tx, docs, molecules))
         known = {r["mol_id"]: r for r in lib.read("molecules").collect()}
         assert len(known) == lib.read("molecules").count() == 4
-        assert (known["CCO"]["name"], known["CCO"]["status"], known["CCO"]["canonical_smiles"]) == ("ethanol", "confirmed", "CCO")
+        assert (known["CCO"]["name"], known["CCO"]["status"], known["CCO"]["canonical_smiles"], known["CCO"]["activity"]) == ("ethanol", "confirmed", "CCO", 1.5)
         assert lib.read("text_molecule_links").count() == lib.read("evidence").where("kind = 'text'").count() == 5
     before = lib.version()
     with pytest.raises(RuntimeError), lib.transaction() as tx:
