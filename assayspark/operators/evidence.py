@@ -52,11 +52,11 @@ def first_seen(df: DataFrame, value: str, order: str) -> DataFrame:
 def with_evidence(molecules: DataFrame, evidence: DataFrame, limit: int = LIST_LIMIT) -> DataFrame:
     """Molecules with their first pieces of evidence as a list and the number of all.
 
-    The evidence key is the canonical form, else the id. Evidence is ranked and cut before it is joined.
+    The evidence key is the canonical form, else the id. Evidence is ranked and cut before it is joined; addresses of crops go with it.
     """
     order = [F.asc("kind"), F.asc("doc_id"), F.asc("page"), F.asc("evidence_id")]
     top = top_per_group(evidence, "canonical", order, limit)
-    item = F.struct("place", "evidence_id", "kind", "doc_id", "page")
+    item = F.struct("place", "evidence_id", "kind", "doc_id", "page", *(c for c in ("crop_url",) if c in evidence.columns))
     lists = top.groupBy(F.col("canonical").alias("_c")).agg(F.sort_array(F.collect_list(item)).alias("evidence"), F.max("total").alias("evidence_total"))
     m = molecules.withColumn("_key", F.coalesce("canonical", "mol_id"))
     out = m.join(lists, F.col("_key") == F.col("_c"), "left").drop("_key", "_c")
@@ -70,6 +70,16 @@ def aliases(rows: DataFrame, key: str) -> DataFrame:
     return first.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "label"))), lambda x: x["label"]).alias("aliases"))
 
 
+def chain(predictions: DataFrame, smiles: object, label: object = None) -> DataFrame:
+    """One row on a molecule's predictions, by its string or a label: ``aliases``, the names that they give it in first-seen order, and ``n_occurrences``."""
+    hit = (F.col("mol_smiles") == F.lit(smiles)) | F.coalesce(F.col("label_text") == F.lit(label), F.lit(False))
+    found = predictions.where(F.coalesce(hit, F.lit(False)))
+    named = aliases(found.select(F.lit(0).alias("_m"), F.col("label_text").alias("label"), "doc_id", "page", "id"), "_m")
+    total = found.agg(F.count("*").alias("n_occurrences")).withColumn("_t", F.lit(0))
+    nothing = F.array().cast("array<string>")
+    return total.join(named, F.col("_t") == F.col("_m"), "left").select(F.coalesce("aliases", nothing).alias("aliases"), "n_occurrences")
+
+
 def prediction_group(bbox: Column, smiles: Column, pred_id: Column) -> Column:
     """The group of a prediction: its box, else its string, else itself."""
     return F.coalesce(F.concat(F.lit("bbox:"), bbox), F.concat(F.lit("smi:"), F.nullif(smiles, F.lit(""))), F.concat(F.lit("pred:"), pred_id.cast("string")))

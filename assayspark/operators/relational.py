@@ -15,6 +15,8 @@ from assayspark.scratch import kept
 
 #: Rows of a page: least, most, usual.
 PAGE_SIZES = (1, 10_000, 50)
+#: Rows that the client takes at once for its own filters and orders.
+CLIENT_ROWS = 10_000
 
 
 def where_equal(df: DataFrame, **values: Any) -> DataFrame:
