@@ -29,6 +29,7 @@ SECTIONS = (
     (r"(?i)^#{0,3}\s*claims?\b", "## Claims"),
     (r"(?i)^#{0,3}\s*references?\b", "## References"),
 )
+SECTION_STARTS = r"(?i)^#{0,3}\s*(abstract|摘要|cross|background|summary|brief|detailed|definition|example|claim|reference)"
 CAPS_HEADING = r"^[A-Z][A-Z\s&\-,]{3,59}$"
 CAPS_BLOCKED = ("WIPO", "PCT", "WO", "IPC", "EPO", "USPTO", "WO 2026/035726 A1", "BACKGROUND OF THE DISCLOSURE")
 PAGE_MARKER = r"<!--\s*PAGE\s+(\d+)\s*-->"
@@ -118,7 +119,7 @@ def _prefixed(lines: Column, k: int) -> Column:
 
 def is_heading(line: Column) -> Column:
     """A known heading before the line's first full stop."""
-    return strip(F.element_at(F.split(line, r"\.", -1), 1)).rlike(HEADING)
+    return strip(F.substring_index(line, ".", 1)).rlike(HEADING)
 
 
 def rough_line(line: Column) -> Column:
@@ -129,13 +130,20 @@ def rough_line(line: Column) -> Column:
 
 def reorganised_line(line: Column) -> Column:
     """A line after the rules: page markers null, section names mapped, capital headings promoted, others kept."""
-    s = strip(line)
-    out = F.when(line.rlike(rf"^\s*{PAGE_MARKER}"), None).when(s == "", line)
-    for pattern, heading in SECTIONS:
-        out = out.when(s.rlike(pattern), F.lit(heading))
-    many = F.size(F.filter(F.split(s, r"\s+"), lambda x: x != "")) >= 2
-    caps = s.rlike(CAPS_HEADING) & ~s.isin(*CAPS_BLOCKED) & many
-    return out.when(caps, F.concat(F.lit("## "), title_cased(s))).otherwise(line)
+
+
+    def by_rules(s: Column) -> Column:
+        named = F.lit(None).cast("string")
+        for pattern, heading in reversed(SECTIONS):
+            named = F.when(s.rlike(pattern), F.lit(heading)).otherwise(named)
+        many = F.size(F.filter(F.split(s, r"\s+"), lambda x: x != "")) >= 2
+        caps = s.rlike(CAPS_HEADING) & ~s.isin(*CAPS_BLOCKED) & many
+        # Most lines begin like no section, which one pattern tells.
+        plain = F.coalesce(F.when(s.rlike(SECTION_STARTS), named), F.when(caps, F.concat(F.lit("## "), title_cased(s))), line)
+        return F.when(s == "", line).otherwise(plain)
+
+    # Bound by a lambda, the stripped line is made once and not for every pattern.
+    return F.when(~line.rlike(rf"^\s*{PAGE_MARKER}"), F.transform(F.array(strip(line)), by_rules)[0])
 
 
 def title_cased(c: Column) -> Column:

@@ -28,9 +28,11 @@ from assayspark.sources.library import Library, Transaction
 
 STATE, LOG = "ingest_state", "ingest_log"
 #: What a stage's rows and a document's state begin with.
-HEAD = ["doc_id", "digest"]
+HEAD = ["doc_id", "digest", "attempt"]
 #: Text under which a page is taken for an image.
 NATIVE_CHARS = 50
+#: Ids that are few enough to be sent to every task (16 bytes each with what a hash table adds).
+FEW_IDS = 250_000
 
 
 @dataclass(frozen=True)
@@ -74,9 +76,10 @@ def _markdown(have: Callable[[str], DataFrame]) -> DataFrame:
 
 def _reorganize(have: Callable[[str], DataFrame]) -> DataFrame:
     """The rules' text; where it has lost too much, the rough one and a warning."""
-    both = have("markdown").withColumn("fine", T.reorganised(F.col("markdown")))
+    # Generators keep the text and the verdict from being computed for every use.
+    both = have("markdown").select(*HEAD, "markdown", F.explode(F.array(T.reorganised(F.col("markdown")))).alias("fine"))
     bad = F.coalesce(T.degenerate(F.col("fine"), F.col("markdown")) | T.collapsed(F.col("fine"), F.col("markdown")), F.lit(False))
-    both = both.withColumn("bad", bad)
+    both = both.select("*", F.explode(F.array(bad)).alias("bad"))
     return result(both, F.when(F.col("bad"), "LLM_REORGANIZE_FAILED"), F.when(F.col("bad"), "rough text kept"), text=F.when(F.col("bad"), F.col("markdown")).otherwise(F.col("fine")))
 
 
@@ -90,7 +93,7 @@ def _activity(have: Callable[[str], DataFrame]) -> DataFrame:
 
 
 def _index(have: Callable[[str], DataFrame]) -> DataFrame:
-    docs = have("reorganize").withColumn("words", F.array_distinct(tokens(F.col("text"))))
+    docs = have("reorganize").select(*HEAD, "text", F.explode(F.array(F.array_distinct(tokens(F.col("text"))))).alias("words"))
     none = F.size("words") == 0
     return result(docs, F.when(none, "OPENKB_INDEX_FAILED"), F.when(none, "nothing to index"), tokens=F.col("words"), title=T.title(F.col("text")))
 
@@ -125,9 +128,14 @@ class Report:
     stages: tuple[str, ...]
 
 
+def digest(text: Column) -> Column:
+    """Sixteen bytes of a text's SHA-256; null has one of its own."""
+    return F.unhex(F.substring(F.sha2(F.coalesce(text, F.lit("\0")), 256), 1, 32))
+
+
 def todo(library: Library, docs: DataFrame, n_stages: int) -> DataFrame:
     """Documents that need work: ``doc_id``, ``digest``, ``start`` (place of the first stage to run), ``attempt``, ``copies`` of the id."""
-    now = docs.where("doc_id IS NOT NULL").select("doc_id", F.sha2(F.coalesce(F.col("text"), F.lit("\0")), 256).alias("digest"))
+    now = docs.where("doc_id IS NOT NULL").select("doc_id", digest(F.col("text")).alias("digest"))
     now = now.groupBy("doc_id").agg(F.min("digest").alias("digest"), F.count("*").alias("copies"))  # an id that stands twice is one document
     manifest = library.manifest()
     if STATE not in manifest.tables:
@@ -162,9 +170,11 @@ def run(library: Library, docs: DataFrame, stages: Sequence[Stage] = STAGES) ->
         return reduce(lambda a, f: a.join(f, "doc_id", "left_anti"), failed, df)
 
     def source() -> DataFrame:
-        text = docs.where("doc_id IS NOT NULL").select("doc_id", "text").withColumn("digest", F.sha2(F.coalesce(F.col("text"), F.lit("\0")), 256))
+        text = docs.where("doc_id IS NOT NULL").select("doc_id", "text").withColumn("digest", digest(F.col("text")))
         if repeated or not whole:  # else every row is wanted, and no text has to move
-            text = text.join(tasks.where("start = 0").select("doc_id", "digest"), HEAD, "left_semi")
+            text = text.join(tasks.where("start = 0").select(*HEAD), HEAD[:2])
+        else:
+            text = text.withColumn("attempt", F.lit(1))
         return text.dropDuplicates(HEAD) if repeated else text
 
     def reader(place: int) -> Callable[[str], DataFrame]:
@@ -174,8 +184,8 @@ def run(library: Library, docs: DataFrame, stages: Sequence[Stage] = STAGES) ->
             parts = [alive(written[name])] if name in written else []
             again = [k for k in starts if places[name] < k <= place]
             if again:
-                ids = tasks.where(F.col("start").isin(again)).select("doc_id")
-                parts.append(alive(library.read(name, base).join(ids, "doc_id", "left_semi")))
+                ids = tasks.where(F.col("start").isin(again)).select("doc_id", "attempt")
+                parts.append(alive(library.read(name, base).drop("attempt").join(ids, "doc_id")))
             return reduce(DataFrame.unionByName, parts)
 
         return have
@@ -193,7 +203,7 @@ def run(library: Library, docs: DataFrame, stages: Sequence[Stage] = STAGES) ->
             events = rows.select(*HEAD, "code", "message", event.alias("event"))
             end = F.when(F.col("event") == "error", "failed").when(F.lit(place == len(stages) - 1), "done").otherwise("running")
             reached = F.when(F.col("event") == "error", place - 1).otherwise(place)
-            state = events.join(tasks.select("doc_id", "attempt"), "doc_id").select(*HEAD, end.alias("status"), F.lit(stage.name).alias("stage"), reached.alias("place"), "code", "attempt")
+            state = events.select(*HEAD, end.alias("status"), F.lit(stage.name).alias("stage"), reached.alias("place"), "code")
             tx.replace(STATE, state, ["doc_id"])
             tx.append(LOG, events.select(F.lit(run_id).alias("run"), "doc_id", F.lit(place).alias("place"), F.lit(stage.name).alias("stage"), "event", "code", "message"))
             told[:] = [rows, events]
@@ -204,6 +214,7 @@ def run(library: Library, docs: DataFrame, stages: Sequence[Stage] = STAGES) ->
         for r in events.groupBy("event").agg(F.count("*").alias("n")).collect():
             counts[r["event"]] += r["n"]
             if r["event"] == "error":
-                failed.append(events.where("event = 'error'").select("doc_id"))
+                ids = kept(events.where("event = 'error'").select("doc_id"), "ingest-failed")
+                failed.append(F.broadcast(ids) if r["n"] <= FEW_IDS else ids)  # counted, so texts needn't move to meet a few ids
     taken = sum(starts.values())
     return Report(taken, taken - counts["error"], counts["error"], counts["warning"], tuple(ran))
