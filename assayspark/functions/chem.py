@@ -1,15 +1,13 @@
-"""Lexical chemistry, and a kernel for what needs a toolkit.
+"""Lexical chemistry: what can be told from the letters of a string.
 
-Nothing here presents a lexical result as canonical. Canonical forms, fingerprints and descriptors come
-from RDKit where it can be imported, and are null where it can't.
+Nothing here presents a lexical result as canonical. Canonical forms, fingerprints and descriptors are a toolkit's
+results, and come as input columns.
 """
 
 from __future__ import annotations
 
-import importlib.util
 import json
 import re
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -29,7 +27,6 @@ WEIGHTS = {
 CANDIDATE = r"[A-Za-z0-9@+\-\[\]\(\)\\/#=%.]{3,}"
 #: Tokens of a condensed formula: residues, symbols, numbers and brackets.
 CONDENSED = r"R[0-9]*|[A-Z][a-z]+|[A-Z]|[0-9]+|\(|\)"
-HAS_RDKIT = importlib.util.find_spec("rdkit") is not None
 
 
 def tokens(smiles: Column) -> Column:
@@ -138,40 +135,6 @@ def main_fragment(smiles: Column) -> Column:
     return F.when(F.size(sized) > 0, F.array_max(sized)["x"])
 
 
-DESCRIPTORS = (
-    T.StructType().add("valid", "boolean").add("canonical", "string").add("weight", "double").add("logp", "double")
-    .add("hbd", "integer").add("hba", "integer").add("tpsa", "double").add("rotatable", "integer").add("aromatic_rings", "integer")
-    .add("formula", "string").add("bits", T.ArrayType(T.IntegerType()))
-)
-
-
-def _describe(smiles: str | None) -> dict:
-    """Toolkit results of one string; only called where the toolkit is there."""
-    from rdkit import Chem
-    from rdkit.Chem import AllChem, Crippen, Descriptors, rdMolDescriptors
-
-    mol = Chem.MolFromSmiles(smiles) if smiles else None
-    if mol is None:
-        return {"valid": False}
-    return {
-        "valid": True, "canonical": Chem.MolToSmiles(mol), "weight": round(Descriptors.MolWt(mol), 2), "logp": round(Crippen.MolLogP(mol), 2),
-        "hbd": rdMolDescriptors.CalcNumHBD(mol), "hba": rdMolDescriptors.CalcNumHBA(mol), "tpsa": round(rdMolDescriptors.CalcTPSA(mol), 2),
-        "rotatable": rdMolDescriptors.CalcNumRotatableBonds(mol), "aromatic_rings": rdMolDescriptors.CalcNumAromaticRings(mol),
-        "formula": rdMolDescriptors.CalcMolFormula(mol), "bits": list(AllChem.GetMorganFingerprintAsBitVect(mol, 2, nBits=2048).GetOnBits()),
-    }
-
-
-@F.pandas_udf(DESCRIPTORS)
-def _kernel(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    for s in batches:
-        yield pd.DataFrame([_describe(x) for x in s], columns=DESCRIPTORS.names)
-
-
-def described(smiles: Column) -> Column:
-    """Validity, canonical form, descriptors and fingerprint bits; null without the toolkit."""
-    return _kernel(smiles) if HAS_RDKIT else F.lit(None).cast(DESCRIPTORS)
-
-
 def _counted(parts: list[str]) -> list:
     """Pairs of element (or nested list) and number from the tokens of a condensed formula."""
     stack: list[list] = [[]]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -200,8 +200,27 @@ def ocr_chain(pages: DataFrame, backends: list[str]) -> Column:
     return F.coalesce(*[F.when(T.strip(F.col(b)) != "", F.col(b)) for b in backends], F.lit(""))
 
 
-def batches_of(frames: Iterator[pd.DataFrame], n: int) -> Iterator[pd.DataFrame]:
-    """Frames in pieces of at most ``n`` rows, for backends that take batches."""
-    for f in frames:
-        for k in range(0, len(f), n):
-            yield f.iloc[k : k + n]
+def recognised(pages: DataFrame, backends: Sequence[Callable[[list], list[str]]], image: str = "image", size: int = 8) -> DataFrame:
+    """Pages with ``text`` filled by recognition where it is blank: each backend in turn gets those still blank, at most ``size`` at once.
+
+    A backend that raises leaves its batch blank for the next one. Only pages without text are sent; null images never are.
+    """
+    at_text, at_image = pages.columns.index("text"), pages.columns.index(image)
+
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            texts = [t if isinstance(t, str) and t.strip(T.BLANK) else "" for t in f.iloc[:, at_text]]
+            images = list(f.iloc[:, at_image])
+            for backend in backends:
+                blank = [k for k, t in enumerate(texts) if not t and images[k] is not None]
+                for first in range(0, len(blank), size):
+                    some = blank[first : first + size]
+                    try:
+                        got = backend([images[k] for k in some])
+                    except Exception:  # noqa: BLE001  (a service that fails is no reason to lose the page)
+                        continue
+                    for k, t in zip(some, got, strict=True):
+                        texts[k] = t if t and t.strip(T.BLANK) else ""
+            yield f.assign(text=texts)
+
+    return pages.mapInPandas(work, pages.schema)

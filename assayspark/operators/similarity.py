@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from math import ceil
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -97,8 +95,3 @@ def min_max_scaled(df: DataFrame, group: str, value: str) -> DataFrame:
     ext = df.groupBy(F.col(group).alias("_g")).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
     span = F.when(F.col("_hi") > F.col("_lo"), F.col("_hi") - F.col("_lo")).otherwise(F.lit(1.0))
     return df.join(ext, F.col(group) == F.col("_g")).withColumn("scaled", (F.col(value) - F.col("_lo")) / span).drop("_g", "_lo", "_hi")
-
-
-def prefix_size(n: int, threshold: float) -> int:
-    """How many of a set's rarest members the prefix filter joins on."""
-    return n - ceil(threshold * n - 1e-9) + 1 if n else 0

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assayspark.functions import chem
+from assayspark.operators import crops
 from assayspark.operators import evidence as E
 from assayspark.operators import fulltext as X
 from assayspark.operators import relational as R
@@ -106,3 +107,12 @@ def table_text_order(t: Tables) -> DataFrame:
     """A table's order by a text column with accents and capitals, as a reader expects it; rows without text come last."""
     name = F.get(F.array(*map(F.lit, ("etude", "Etude", "étude", "Zug", "zebra"))), (F.col("doc_id") % 6).cast("int"))
     return R.ranked(t.documents.select("doc_id", name.alias("name")), R.text_order("name", True, "doc_id")).select("doc_id", "position")
+
+
+@query()
+def embedding_crops(t: Tables) -> DataFrame:
+    """Vectors as pictures of eight pixels a row, bright where a component is positive; SQL has no twin, tests compare with a flood fill."""
+    size = F.size("embedding")
+    whole = t.embeddings.where(F.col("embedding").isNotNull() & (size > 0) & (size % 8 == 0))
+    marks = F.array_join(F.transform("embedding", lambda x: F.when(x > 0, F.lit("FF")).otherwise("00")), "")
+    return crops.crop_boxes(whole.select(F.col("vec_id").alias("image_id"), F.lit(8).alias("width"), F.unhex(marks).alias("pixels")), reach=3.0, pad=1)
