@@ -209,19 +209,34 @@ class Stretches:
         most = np.full(len(text), NONE)
         np.maximum.at(most, which, doc)
         self.several = most > self.least
+        #: The second smallest document of a kind that several have; it stands for all but the smallest.
+        self.second = np.full(len(text), np.iinfo(np.int64).max)
+        later = doc > self.least[which]
+        np.minimum.at(self.second, which[later], doc[later])
 
     def judged(self, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """By the suffix arrays of ``kinds``: ``bound``, above which a document's place is covered as a whole (by kind), and
-        the runs that are covered in the place of a kind's smallest document (kind, start, size)."""
+        the runs that are covered in the place of a kind's smallest document (kind, start, size).
+
+        A kind that several documents have stands in the array twice, for its smallest document and for the next one: that
+        the second is covered by the first is what their suffixes' being neighbours tells, and nothing else does.
+        """
         bound = np.full(len(self.text), np.iinfo(np.int64).max)
         own, starts, sizes = [], [], []
         kinds = kinds[np.argsort(self.gram[kinds], kind="stable")]
-        for some in _portions(self.gram[kinds], self.size[kinds]):
+        for some in _portions(self.gram[kinds], self.size[kinds] * (1 + self.several[kinds])):
             some = kinds[some]
-            size = self.size[some]
+            twice = some[self.several[some]]
+            both = np.r_[some, twice]
+            size = self.size[both]
             start = np.cumsum(size) - size
-            least = smallest_documents(np.frombuffer(b"".join([self.text[k] for k in some]), dtype=np.uint8), start, size, self.least[some])
-            bound[some] = np.maximum.reduceat(least, start)
+            doc = np.r_[self.least[some], self.second[twice]]
+            least = smallest_documents(np.frombuffer(b"".join([self.text[k] for k in both]), dtype=np.uint8), start, size, doc)
+            whole = np.maximum.reduceat(least, start)
+            bound[some] = whole[: len(some)]
+            bound[twice] = np.where(whole[len(some) :] < self.second[twice], whole[len(some) :], np.iinfo(np.int64).max)
+            start, size = start[: len(some)], size[: len(some)]
+            least = least[: int(size.sum())]
             covered = (least < np.repeat(self.least[some], size)) & (least > NONE)
             # Neighbouring covered starts of a stretch are one run.
             head, tail = covered.copy(), covered.copy()

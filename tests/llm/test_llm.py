@@ -326,6 +326,18 @@ def test_op4_comes_from_the_suffix_array(monkeypatch):
     assert not len(s.judged(np.arange(4))[1])
 
 
+def test_op4_removes_nothing_without_neighbours(spark, docs, monkeypatch):
+    from pyspark import cloudpickle
+
+    assert suffix_dedup.dedup(docs).where("n_removed > 0").count()
+    monkeypatch.setattr(suffix_dedup, "smallest_documents", lambda raw, start, size, doc: np.repeat(doc, size))
+    cloudpickle.register_pickle_by_value(suffix_dedup)  # workers get the changed module
+    try:
+        assert suffix_dedup.dedup(docs).where("n_removed > 0").count() == 0
+    finally:
+        cloudpickle.unregister_pickle_by_value(suffix_dedup)
+
+
 def test_suffix_array():
     rng = random.Random(2)
     for _ in range(200):
