@@ -7,6 +7,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from assayspark.scratch import kept
+from assayspark.sources.library import Library, Transaction
+
 # What a library scan takes and skips.
 EXTENSIONS = ("pdf", "md", "txt", "sdf", "mol", "mol2", "pdb", "smi")
 SKIPPED = (
@@ -145,3 +148,22 @@ def uploads(incoming: DataFrame, stored: DataFrame, most: int = UPLOAD_BYTES) ->
     marked = files.join(first, "md5", "left").join(known, "md5", "left")
     outcome = F.when(F.col("size") > most, "too_large").when(F.col("_known") | (F.col("name") != F.col("_first")), "duplicate").otherwise("accepted")
     return marked.select("name", "md5", "size", outcome.alias("outcome"))
+
+
+def upload(library: Library, incoming: DataFrame, most: int = UPLOAD_BYTES) -> DataFrame:
+    """Commit incoming files (``name``, ``content``): what is accepted goes with its contents to table ``files`` and as a queued row to ``documents``, both or none.
+
+    Returns the outcomes of :func:`uploads`. Of two uploads of one content at once the second is run anew on the first's state, and finds a duplicate.
+    """
+    told: list[DataFrame] = []
+
+    def change(tx: Transaction) -> None:
+        known = tx.read("documents").select("md5") if tx.exists("documents") else incoming.sparkSession.createDataFrame([], "md5 string")
+        outcome = kept(uploads(incoming, known, most), "upload")
+        new = incoming.select("name", "content").join(outcome.where("outcome = 'accepted'"), "name")
+        stored = tx.append("files", new.select("name", "md5", "size", "content"))
+        tx.append("documents", stored.select("name", "md5", "size", F.lit("queued").alias("status")))
+        told[:] = [outcome]
+
+    library.run(change)
+    return told[0]
