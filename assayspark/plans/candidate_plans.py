@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,7 +9,7 @@ from pyspark.sql import functions as F
 from assayspark.operators import candidates as C
 from assayspark.operators import evidence as E
 from assayspark.operators import relational as R
-from assayspark.scratch import folder
+from assayspark.scratch import own_path
 from assayspark.sources.library import Library
 
 from .registry import Tables, query
@@ -51,7 +49,7 @@ SELECT doc_id, key AS mol_id, 'figure' AS kind, page::INT AS page, top AS confid
 UNION ALL SELECT a.doc_id, mol_id, kind, a.page::INT, c.confidence FROM a JOIN c ON c.doc_id = a.doc_id AND c.page = a.page""")
 def persisted_candidates(t: Tables) -> DataFrame:
     """The candidates committed with a record for each turn, of which every fourth names its molecule; what is stored as evidence."""
-    library = Library(t.spark, f"{folder(t.spark)}/assayspark/molecules-{uuid.uuid4().hex[:12]}")
+    library = Library(t.spark, own_path(t.spark, "molecules"))
     c = _candidates(t)
     label = F.when(F.col("ord") % 4 == 1, F.upper("name"))
     null = lambda kind: F.lit(None).cast(kind)

@@ -2,24 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assayspark.operators import ingest
-from assayspark.scratch import folder
+from assayspark.scratch import own_path
 from assayspark.sources.library import Library
 from assayspark.streaming import state
 
 from .registry import Tables, query
 
 
-def _own(t: Tables, name: str) -> str:
-    """A folder of this run's own in the shared folder."""
-    return f"{folder(t.spark)}/assayspark/{name}-{uuid.uuid4().hex[:12]}"
-
-
 _TRIM = "trim({}, ' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12))"
 _PAGES = "string_split(replace(text, chr(10), chr(12)), chr(12))"
 
@@ -32,7 +25,7 @@ SELECT doc_id, CASE WHEN bad THEN 'failed' ELSE 'done' END AS status, CASE WHEN
        CASE WHEN bad THEN NULL WHEN n_ocr = 0 THEN 'text_only' WHEN n_ocr = n_pages THEN 'image_only' ELSE 'mixed' END AS doc_kind FROM p""")
 def ingest_run(t: Tables) -> DataFrame:
     """All documents, a page for each line. Every 13th has lost its text; a second run finds half of these mended, and takes no other."""
-    library = Library(t.spark, _own(t, "ingest"))
+    library = Library(t.spark, own_path(t.spark, "ingest"))
     docs = t.documents.select("doc_id", F.replace("text", F.lit("\n"), F.lit("\f")).alias("text"))
     ingest.run(library, docs.withColumn("text", F.when(F.col("doc_id") % 13 != 5, F.col("text"))))
     ingest.run(library, docs.withColumn("text", F.when(F.col("doc_id") % 26 != 18, F.col("text"))))
@@ -46,7 +39,7 @@ SELECT 'texts' AS name, doc_id AS id, CASE WHEN n_chars % 5 = 0 THEN 'again' ELS
 UNION ALL SELECT 'sizes', n_chars, CASE WHEN n_chars % 5 = 0 THEN 'again' ELSE 'new' END FROM (SELECT DISTINCT n_chars FROM documents)""")
 def library_commits(t: Tables) -> DataFrame:
     """Two tables through four transactions, one of which fails after its first table; then one table is compacted."""
-    library = Library(t.spark, _own(t, "library"))
+    library = Library(t.spark, own_path(t.spark, "library"))
     texts = t.documents.select("n_chars", F.col("doc_id").alias("id"), F.col("source").alias("status"))
     sizes = t.documents.select(F.col("n_chars").alias("id")).distinct().withColumn("status", F.lit("new"))
     with library.transaction() as tx:
@@ -73,7 +66,7 @@ SELECT source, doc_id AS seq, n_chars FROM (SELECT *, row_number() OVER (PARTITI
 def live_rings(t: Tables) -> DataFrame:
     """The last 500 documents of each source as a stream keeps them, read back from the changes that it told."""
     own = state.with_state_store(t.spark)
-    out = _own(t, "rings")
+    out = own_path(t.spark, "rings")
     source = f"{t.sf_dir}/documents.parque[t]"  # a pattern, as a stream takes a single file by that only
     rows = own.readStream.schema(t.documents.schema).parquet(source).select("source", F.col("doc_id").alias("seq"), "n_chars")
     write = lambda batch, no: batch.write.mode("overwrite").parquet(f"{out}/changes/v={no}")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,13 +10,13 @@ from assayspark.operators import crops
 from assayspark.operators import evidence as E
 from assayspark.operators import fulltext as X
 from assayspark.operators import relational as R
-from assayspark.scratch import folder
+from assayspark.scratch import own_path
 
 from .registry import Tables, query
 
 
 def _indexed(t: Tables, df: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    path = f"{folder(t.spark)}/assayspark/index-{uuid.uuid4().hex[:12]}"
+    path = own_path(t.spark, "index")
     X.write_index(X.positional_index(df, key, columns), key, path)
     return X.open_index(t.spark, path)
 

@@ -26,8 +26,19 @@ def folder(spark: SparkSession) -> str:
     return f"file://{own}"
 
 
+def own_path(spark: SparkSession, name: str) -> str:
+    """A new path of this application's in the shared folder."""
+    return f"{folder(spark)}/assayspark/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+
+
 def kept(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back: it is computed once and survives lost executors."""
-    path = f"{folder(df.sparkSession)}/assayspark/{name}-{uuid.uuid4().hex[:12]}"
+    path = own_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove all that this application has kept; frames that read it can't be used any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder(spark)}/assayspark/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

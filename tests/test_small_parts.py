@@ -137,3 +137,16 @@ def test_crop_boxes(spark):
     got = {r[0]: tuple(r)[1:] for r in crops.crop_boxes(spark.createDataFrame(rows, "image_id long, width int, pixels binary")).collect()}
     nothing = (None,) * 4
     assert got == {1: (4, 32, 22, 49, 39), 2: (1, 0, 0, 14, 14), 3: (2, *nothing), 4: (0, *nothing), 5: (0, *nothing), 6: (0, *nothing), 7: (0, *nothing), 8: (0, *nothing), 9: (1, 0, 0, 1, 1), 10: (0, *nothing)}
+
+
+def test_what_an_application_has_kept_can_be_cleared(spark):
+    import os
+
+    from assayspark import scratch
+
+    df = scratch.kept(spark.range(3).toDF("k"), "some")
+    assert df.count() == 3
+    folder = os.path.dirname(scratch.own_path(spark, "x")).removeprefix("file://")
+    assert any(n.startswith("some-") for n in os.listdir(folder))
+    scratch.clear(spark)
+    assert not os.path.exists(folder)
