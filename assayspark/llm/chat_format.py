@@ -9,8 +9,9 @@ inside texts and roles get a word joiner after their first character, and so do
 already, so texts without joiners change only where they could be taken for control strings, and ``unescape``
 gives back every text. The loss mask covers the texts of turns of the role ``assistant``, without their marks.
 
-Conversations are cut into records of at most ``PIECE_TURNS`` turns, and each is read back as a stream of its
-records, so no task holds a conversation.
+Conversations are cut into records of at most ``PIECE_TURNS`` turns and read back as streams of their records, so no
+task holds a conversation, however long. The table is shuffled once, by conversation: a digest of a whole conversation
+has to be taken in order, by one task, and all steps before it go along with it.
 
 Defined cases: a null role or text is empty; rows without conv_id are one conversation; rows of one turn (or of none,
 which come first) go by role and text; repeated rows are turns of their own; extra columns are left out. A record
@@ -32,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Workspace, arrow_batches, arrow_schema, small_batches, table
+from .common import arrow_batches, arrow_schema, small_batches, table
 
 PIECE_TURNS = 16
 
@@ -259,8 +260,11 @@ def parsed(text: str) -> Iterator[tuple[str, str]]:
         at = end + len(END)
 
 
-def read_back(pieces: DataFrame) -> DataFrame:
-    """One row for each conversation of formatted pieces (``conv_id``, ``piece``), from the formatted text and the mask alone."""
+def read_back(pieces: DataFrame, *, ordered: bool = False) -> DataFrame:
+    """One row for each conversation of formatted pieces (``conv_id``, ``piece``), from the formatted text and the mask alone.
+
+    ``ordered`` says that each conversation's pieces already come together and in order, as :func:`records_of` gives them.
+    """
     kind = pieces.schema["conv_id"].dataType.simpleString()
     out = pieces.sparkSession.createDataFrame([], f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long").schema
     shape = arrow_schema(out)
@@ -288,21 +292,42 @@ def read_back(pieces: DataFrame) -> DataFrame:
         yield from arrow_batches(told(), shape)
 
     light = pieces.select("conv_id", "piece", "formatted", F.col("loss.start").alias("starts"), F.col("loss.end").alias("ends"))
-    return light.repartition("conv_id").sortWithinPartitions("conv_id", "piece").mapInArrow(work, out)
+    light = light if ordered else light.repartition("conv_id").sortWithinPartitions("conv_id", "piece")
+    return light.mapInArrow(work, out)
 
 
 # ---- the conversations table as records -----------------------------------------------------------------------------
 
 
-def records_of(ws: Workspace, rows: DataFrame) -> DataFrame:
-    """``conv_id``, ``piece`` and ``raw``: turns in records of the layouts that can hold them, chosen by a hash among these."""
+def _pieces(rows: DataFrame) -> DataFrame:
+    """``conv_id``, ``piece`` from 0 and ``t``, at most PIECE_TURNS turns in order; a conversation's pieces come together and in order."""
     rows = rows.select("conv_id", "turn", *(F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("role", "text")))
-    order = ["conv_id", F.col("turn").asc_nulls_first(), "role", "text"]
-    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id())
-    placed = ws.save(placed.select("conv_id", "place", "role", "text"), "placed")
-    bits = PIECE_TURNS.bit_length() - 1
-    # Places of one conversation in one run of 16 are one record, of whatever length the run leaves it.
-    pieces = placed.groupBy("conv_id", F.shiftright("place", bits).alias("piece")).agg(F.sort_array(F.collect_list(F.struct("place", "role", "text"))).alias("t"))
+    rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", F.col("turn").asc_nulls_first(), "role", "text")
+    out = rows.sparkSession.createDataFrame([], f"conv_id {rows.schema['conv_id'].dataType.simpleString()}, piece long, t {_TURNS}").schema
+    shape = arrow_schema(out)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def cut() -> Iterator[tuple]:
+            now, piece, held = object(), 0, []
+            for b in batches:
+                for conv, role, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    if held and (conv != now or len(held) == PIECE_TURNS):
+                        yield now, piece, held
+                        piece, held = piece + 1, []
+                    if conv != now:
+                        now, piece = conv, 0
+                    held.append({"role": role, "text": text})
+            if held:
+                yield now, piece, held
+
+        yield from arrow_batches(cut(), shape, 200)
+
+    return rows.select("conv_id", "role", "text").mapInArrow(work, out)
+
+
+def records_of(rows: DataFrame) -> DataFrame:
+    """``conv_id``, ``piece`` and ``raw``: turns in records of the layouts that can hold them, chosen by a hash among these."""
+    pieces = _pieces(rows)
     roles = F.array_join(F.transform("t", lambda x: F.when(x["role"].isin("system", "user", "assistant"), F.substring(x["role"], 1, 1)).otherwise("-")), "")
     pick = F.pmod(F.xxhash64("conv_id", "piece"), F.lit(60))
     said = lambda k: F.get("t", k)["text"]
@@ -341,7 +366,7 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     talks = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     more = spark.createDataFrame([(-7, 0, "user", MARKS), (-7, 1, "assistant", MARKS)], "conv_id long, turn long, role string, text string")
-    return read_back(formatted(canonical(records_of(Workspace(spark, "op13"), talks.unionByName(more)))))
+    return read_back(formatted(canonical(records_of(talks.unionByName(more)))), ordered=True)
 
 
 #: The digests straight from the rows; the template's length by its marks and the escaped texts.

@@ -93,6 +93,15 @@ def arrow_schema(schema: T.StructType) -> pa.Schema:
     return to_arrow_schema(schema)
 
 
+def _weight(value: object) -> int:
+    """Characters or bytes of the texts in a value."""
+    if isinstance(value, (str, bytes)):
+        return len(value)
+    if isinstance(value, dict):
+        return sum(map(_weight, value.values()))
+    return sum(map(_weight, value)) if isinstance(value, list) else 0
+
+
 def arrow_batches(rows: Iterator[tuple], schema: pa.Schema, records: int = 1000, chars: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Tuples as Arrow batches of at most ``records`` rows, and of no more rows once their texts and bytes reach ``chars``."""
     held: list[tuple] = []
@@ -103,7 +112,7 @@ def arrow_batches(rows: Iterator[tuple], schema: pa.Schema, records: int = 1000,
 
     for row in rows:
         held.append(row)
-        size += sum(len(v) for v in row if isinstance(v, (str, bytes)))
+        size += sum(map(_weight, row))
         if len(held) == records or size >= chars:
             yield batch()
             held, size = [], 0

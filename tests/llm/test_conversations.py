@@ -249,10 +249,11 @@ def test_op12_empty_table(spark, empty):
 
 
 def test_op13_reads_back_every_conversation(spark, talks, rows):
-    records = chat_format.records_of(Workspace(spark, "t13"), talks)
+    records = chat_format.records_of(talks)
     known = chat_format.canonical(records)
     assert {r[0] for r in known.select("layout").distinct().collect()} >= {"messages", "from_value", "parts", "row"}
-    got = {r["conv_id"]: r for r in chat_format.read_back(chat_format.formatted(known)).collect()}
+    got = {r["conv_id"]: r for r in chat_format.read_back(chat_format.formatted(known), ordered=True).collect()}
+    assert sorted(map(tuple, got.values()), key=repr) == sorted(map(tuple, chat_format.read_back(chat_format.formatted(known)).collect()), key=repr)
     groups = by_conversation(rows)
     assert set(got) == set(groups)
     for conv, turns in groups.items():
@@ -265,7 +266,7 @@ def test_op13_reads_back_every_conversation(spark, talks, rows):
 def test_op13_every_layout_of_the_records(spark):
     texts = ["Ask.\n\nMore.", "\n\nx", "x\n\n", "plain", ""]
     rows = [(c, t, r, texts[(c + t) % 5]) for c in range(120) for t, r in enumerate((["user", "assistant"], ["system", "user", "assistant"], ["user", "assistant"] * 2)[c % 3])]
-    known = chat_format.canonical(chat_format.records_of(Workspace(spark, "t13"), spark.createDataFrame(rows, TALKS))).cache()
+    known = chat_format.canonical(chat_format.records_of(spark.createDataFrame(rows, TALKS))).cache()
     assert {r[0] for r in known.select("layout").distinct().collect()} == {x.name for x in chat_format.LAYOUTS if x.name != "row"} | ({"row"} if known.where("layout = 'row'").count() else set())
     got = {}
     for r in sorted(known.collect(), key=lambda r: (r["conv_id"], r["piece"])):
@@ -327,5 +328,5 @@ def test_op13_template_and_mask(spark):
 
 
 def test_op13_empty_table(spark, empty):
-    records = chat_format.records_of(Workspace(spark, "t13"), empty)
+    records = chat_format.records_of(empty)
     assert chat_format.read_back(chat_format.formatted(chat_format.canonical(records))).collect() == []
