@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,6 +13,7 @@ from pyspark.sql import functions as F
 from assayspark.functions import chem
 from assayspark.operators.matching import needle_hits
 from assayspark.operators.relational import top_per_group
+from assayspark.scratch import kept
 from assayspark.sources.library import Transaction
 
 LIST_LIMIT, FULL_LIMIT = 50, 100_000
@@ -100,17 +105,35 @@ def text_links(blocks: DataFrame, molecules: DataFrame) -> DataFrame:
 
 
 BLOCK = r"(?s)```molecode\n(.*?)\n```"
+#: Blocks that a task hands on at a time.
+BLOCKS_HELD = 2000
 
 
 def code_blocks(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``block_idx`` from 0, ``block`` (its inside), ``char_start``, ``char_end`` (with its fences, from 0) of each structure block."""
-    parts = F.struct(F.regexp_extract_all("text", F.lit(BLOCK), F.lit(0)).alias("whole"), F.regexp_extract_all("text", F.lit(BLOCK), F.lit(1)).alias("inside"), F.split("text", BLOCK, -1).alias("between"))
-    chars = lambda a, n: F.aggregate(F.slice(a, F.lit(1), n), F.lit(0), lambda s, x: s + F.length(x))
-    found = docs.where(F.col("text").contains("```molecode")).select("doc_id", parts.alias("p"))
-    rows = found.select("doc_id", "p", F.posexplode("p.inside").alias("block_idx", "block"))
-    start = chars(F.col("p.between"), F.col("block_idx") + 1) + chars(F.col("p.whole"), F.col("block_idx"))
-    rows = rows.select("doc_id", "block_idx", "block", start.alias("char_start"), F.length(F.get("p.whole", F.col("block_idx"))).alias("n"))
-    return rows.select("doc_id", "block_idx", "block", "char_start", (F.col("char_start") + F.col("n")).alias("char_end"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pattern = re.compile(BLOCK)
+        held: list[tuple] = []
+
+        def handed(ids: pa.DataType) -> pa.RecordBatch:
+            kinds = (ids, pa.int32(), pa.string(), pa.int32(), pa.int32())
+            arrays = [pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds, strict=True)]
+            held.clear()
+            return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "block_idx", "block", "char_start", "char_end"])
+
+        for b in batches:
+            for row in range(b.num_rows):
+                doc = b.column(0)[row].as_py()
+                held.extend((doc, k, m.group(1), m.start(), m.end()) for k, m in enumerate(pattern.finditer(b.column(1)[row].as_py())))
+                if len(held) >= BLOCKS_HELD:
+                    yield handed(b.schema.field(0).type)
+            if held:
+                yield handed(b.schema.field(0).type)
+
+    fenced = docs.where(F.col("text").contains("```molecode")).select("doc_id", "text")
+    return fenced.mapInArrow(work, f"doc_id {kind}, block_idx int, block string, char_start int, char_end int")
 
 
 def text_evidence(docs: DataFrame, molecules: DataFrame, around: int = 200) -> DataFrame:
@@ -121,7 +144,7 @@ def text_evidence(docs: DataFrame, molecules: DataFrame, around: int = 200) -> D
     """
     name = F.coalesce(F.nullif("name", F.lit("")), F.concat(F.lit("Mol_"), F.substring("mol_id", 1, 8)))
     m = molecules.where(F.coalesce("status", F.lit("")) != "rejected").select("doc_id", "mol_id", "esmiles", name.alias("name"))
-    blocks = code_blocks(docs)
+    blocks = kept(code_blocks(docs), "blocks")  # read twice
     links = text_links(blocks, m.select("doc_id", "mol_id", "name", F.col("mol_id").alias("smiles")).distinct())
     placed = links.join(blocks.select("doc_id", "block_idx", "char_start", "char_end"), ["doc_id", "block_idx"]).join(docs.select("doc_id", "text"), "doc_id")
     start = F.greatest(F.lit(0), F.col("char_start") - around)
