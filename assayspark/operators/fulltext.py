@@ -1,9 +1,9 @@
 """A positional index and searches over it: phrases, prefixes, first words, nearness, and, or, not.
 
-The index has a row for each word, key and column with the word's places. It is written sorted by word in ranges, so a search
-reads only the row groups that can hold its words or prefixes; a word that a third of all texts have spreads over as many ranges
-as it fills. Places are written delta-packed. A search is one scan and one shuffle by key: the rows of its words come together for each
-text, and phrases, nearness and the rest are evaluated on their lists of places.
+The index has a row for each word, key and column with the word's places. It is written in segments, each the texts of one task sorted
+by word, with no shuffle of words: a search reads from each segment only the row groups that can hold its words or prefixes, and a word that a
+third of all texts have lies in as many segments as texts do. Places are written delta-packed. A search is one scan and one shuffle by
+key: the rows of its words come together for each text, and phrases, nearness and the rest are evaluated on their lists of places.
 
 Searches are built from :func:`phrase` and :func:`near` with ``&``, ``|`` and ``-`` (but not). Words are folded alike in texts
 and searches: lower case, without diacritics, parted at all but letters and digits.
@@ -11,48 +11,94 @@ and searches: lower case, without diacritics, parted at all but letters and digi
 
 from __future__ import annotations
 
+import re
 import unicodedata
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
-from functools import reduce
+from functools import lru_cache, reduce
+from itertools import chain
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def _folding() -> tuple[str, str]:
-    """Lower-case letters of the Latin blocks with diacritics, and the letters that they stand on."""
-    pairs = []
+@lru_cache(maxsize=1)
+def _folding() -> dict[int, str | None]:
+    """What ``str.translate`` makes of lower-case text: letters of the Latin blocks without diacritics, no combining marks."""
+    out: dict[int, str | None] = {}
     for block in (range(0xC0, 0x250), range(0x1E00, 0x1F00)):
         for c in map(chr, block):
             base = unicodedata.normalize("NFD", c)[0]
-            if base != c and c == c.lower() and base.isalpha():
-                pairs.append((c, base))
-    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+            if base != c and base.isalpha():
+                out[ord(c)] = base
+    return out | {c: None for c in range(0x300, 0x20000) if unicodedata.category(chr(c)).startswith("M")}
 
 
-_MARKED, _BARE = _folding()
+#: Runs of letters and digits.
+_WORD, _PLAIN_WORD = re.compile(r"[^\W_]+"), re.compile("[a-z0-9]+")
 
 
-def words(text: Column) -> Column:
-    """The folded words of a text in order; null has none."""
-    folded = F.translate(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"\p{M}", ""), _MARKED, _BARE)
-    return F.filter(F.split(folded, r"[^\p{L}\p{N}]+"), lambda x: x != "")
+def words(text: str | None) -> list[str]:
+    """The folded words of a text, or of what a user has typed, in order; null has none."""
+    low = (text or "").lower()
+    return _PLAIN_WORD.findall(low) if low.isascii() else _WORD.findall(low.translate(_folding()))
 
 
-def positional_index(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
-    """``word``, key, ``column``, ``places`` (from 0, rising): a row for each word of each text. A null key has none."""
+#: Rows of an index that a task hands on at a time.
+HANDED = 100_000
 
-    def placed(c: str) -> Column:
-        return F.transform(words(F.col(c)), lambda w, i: F.struct(w.alias("word"), F.lit(c).alias("column"), i.alias("place")))
 
-    rows = df.where(F.col(key).isNotNull()).select(key, F.explode(F.concat(*map(placed, columns))).alias("w")).select("w.word", key, "w.column", "w.place")
-    return rows.groupBy("word", key, "column").agg(F.sort_array(F.collect_list("place")).alias("places"))
+def positional_index(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
+    """``word``, key, ``column``, ``places`` (from 0, rising): a row for each word of each text. A null key has none.
+
+    The words of a text come together in the task that reads it, text by text, so none is shuffled. Of rows with one key the words
+    come in rows of their own, so keys should be unique.
+    """
+    kind = df.schema[key].dataType.simpleString()
+
+    def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[str] = []
+        owners, names, lists = [], [], []  # key and number of words; column and number of words; places of each word
+
+        def handed(keys: pa.DataType) -> pa.RecordBatch:
+            sizes = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
+            flat = np.fromiter(chain.from_iterable(lists), dtype=np.int32, count=int(sizes.sum()))
+            places = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(flat))
+            own = pa.array([k for k, _ in owners], keys).take(pa.array(np.repeat(np.arange(len(owners)), [n for _, n in owners])))
+            column = pa.array(columns, pa.string()).take(pa.array(np.repeat([k for k, _ in names], [n for _, n in names]).astype(np.int64)))
+            out = pa.RecordBatch.from_arrays([pa.array(found, pa.string()), own, column, places], names=["word", key, "column", "places"])
+            for part in (found, owners, names, lists):
+                part.clear()
+            return out
+
+        for b in batches:
+            for row in range(b.num_rows):
+                own = b.column(0)[row].as_py()
+                for n, texts in enumerate(b.columns[1:]):
+                    places: dict[str, list[int]] = {}
+                    for k, word in enumerate(words(texts[row].as_py())):
+                        if word in places:
+                            places[word].append(k)
+                        else:
+                            places[word] = [k]
+                    found.extend(places)
+                    lists.extend(places.values())
+                    owners.append((own, len(places)))
+                    names.append((n, len(places)))
+                if len(found) >= HANDED:
+                    yield handed(b.schema.field(0).type)
+            if found:
+                yield handed(b.schema.field(0).type)
+
+    texts = df.where(F.col(key).isNotNull()).select(key, *(F.col(c).alias(f"_{n}") for n, c in enumerate(columns)))
+    return texts.mapInArrow(grouped, f"word string, {key} {kind}, column string, places array<int>")
 
 
 def write_index(index: DataFrame, key: str, path: str) -> None:
-    """Write an index in ranges of words."""
-    out = index.repartitionByRange("word", key).sortWithinPartitions("word", key).write
+    """Write an index, a segment for each task; more texts can be appended as more segments."""
+    out = index.sortWithinPartitions("word", key).write.mode("append")
     # Places as differences of a few bits each, words by dictionary.
     out = out.option("parquet.writer.version", "PARQUET_2_0").option("parquet.enable.dictionary#places.list.element", "false")
     out.option("compression", "zstd").parquet(path)
@@ -153,16 +199,9 @@ class Both(Search):
         return a & b if self.how == "and" else a | b if self.how == "or" else a & ~b
 
 
-def _folded_words(text: str) -> tuple[str, ...]:
-    """As :func:`words`, for what a user has typed."""
-    bare = "".join(c for c in unicodedata.normalize("NFC", text.lower()) if not unicodedata.category(c).startswith("M"))
-    bare = bare.translate(str.maketrans(_MARKED, _BARE))
-    return tuple("".join(c if unicodedata.category(c)[0] in "LN" else " " for c in bare).split())
-
-
 def phrase(text: str, *, prefix: bool = False, first: bool = False, columns: Sequence[str] | None = None) -> Phrase:
     """The words of ``text`` in a row, in any or one of some columns. A text without a word is in no document."""
-    return Phrase(_folded_words(text), prefix, first, None if columns is None else tuple(columns))
+    return Phrase(tuple(words(text)), prefix, first, None if columns is None else tuple(columns))
 
 
 def near(*phrases: Phrase | str, distance: int = 10) -> Near:
@@ -171,7 +210,7 @@ def near(*phrases: Phrase | str, distance: int = 10) -> Near:
 
 def all_words(text: str) -> Search:
     """Every word of ``text``, anywhere."""
-    parts: list[Search] = [Phrase((w,)) for w in dict.fromkeys(_folded_words(text))]
+    parts: list[Search] = [Phrase((w,)) for w in dict.fromkeys(words(text))]
     return reduce(lambda a, b: a & b, parts) if parts else Phrase(())
 
 

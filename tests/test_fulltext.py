@@ -27,7 +27,7 @@ def index(spark, rows, tmp_path_factory):
 
 
 def parts(text):
-    return list(X._folded_words(text or ""))
+    return X.words(text)
 
 
 def starts(text, words, prefix=False):
@@ -81,6 +81,11 @@ def test_every_kind_of_search(index, rows):
     assert all(got.get(str(k)) for k in range(15))
 
 
+def test_words_are_folded():
+    assert X.words("Ünïcode ÉTÉ, a_b c-d 12x! ẞ œ łż") == ["unicode", "ete", "a", "b", "c", "d", "12x", "ß", "œ", "łz"]
+    assert X.words("e\u0301te\u0301 \u0301 x") == ["ete", "x"] and X.words(None) == X.words(" .,") == []
+
+
 def test_first_k_by_key(index):
     assert [r["id"] for r in X.search(index, "id", X.phrase("red"), COLUMNS, k=3).collect()] == sorted(r["id"] for r in X.search(index, "id", X.phrase("red"), COLUMNS).collect())[:3]
 
