@@ -95,7 +95,7 @@ def _activity(have: Callable[[str], DataFrame]) -> DataFrame:
 def _index(have: Callable[[str], DataFrame]) -> DataFrame:
     docs = have("reorganize").select(*HEAD, "text", F.explode(F.array(F.array_distinct(tokens(F.col("text"))))).alias("words"))
     none = F.size("words") == 0
-    return result(docs, F.when(none, "OPENKB_INDEX_FAILED"), F.when(none, "nothing to index"), tokens=F.col("words"), title=T.title(F.col("text")))
+    return result(docs, F.when(none, "INDEX_FAILED"), F.when(none, "nothing to index"), tokens=F.col("words"), title=T.title(F.col("text")))
 
 
 def _persist(have: Callable[[str], DataFrame]) -> DataFrame:
@@ -110,7 +110,7 @@ STAGES = (
     Stage("markdown", _markdown),
     Stage("reorganize", _reorganize, ("LLM_REORGANIZE_FAILED",)),
     Stage("activity", _activity, ("ACTIVITY_EXTRACTION_FAILED",)),
-    Stage("index", _index, ("OPENKB_INDEX_FAILED",)),
+    Stage("index", _index, ("INDEX_FAILED",)),
     Stage("persist", _persist),
 )
 

@@ -42,7 +42,7 @@ def test_failures_stop_their_documents_only_and_a_rerun_does_nothing(spark, lib)
     assert (report.taken, report.finished, report.failed, report.warnings) == (6, 4, 2, 1)
     want = {k: ("done", "persist", None, 1) for k in (1, 4, 5, 6)} | {k: ("failed", "extract", "PDF_PARSE_ERROR", 1) for k in (2, 3)}
     assert states(lib) == want
-    assert lib.read(ingest.LOG).where("event = 'warning'").select("doc_id", "code").collect() == [(5, "OPENKB_INDEX_FAILED")]
+    assert lib.read(ingest.LOG).where("event = 'warning'").select("doc_id", "code").collect() == [(5, "INDEX_FAILED")]
     assert lib.read("persist").where("doc_id = 4").first()["n_tables"] == 1
     version = lib.version()
     done = [r for r in rows if r[0] not in (2, 3)]
