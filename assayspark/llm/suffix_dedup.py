@@ -176,14 +176,12 @@ def smallest_documents(raw: np.ndarray, start: np.ndarray, size: np.ndarray, doc
     left = np.zeros(len(t), dtype=np.int64)
     left[spot] = np.repeat(start + size, size) - np.arange(len(raw))
     array = array[left[array] >= LENGTH]
-    at = array - np.searchsorted(start + np.arange(len(start)), array, side="right") + 1  # back to positions in raw
+    at = array - np.repeat(np.arange(len(start)), size + 1)[array]  # back to positions in raw
     least = np.full(len(raw), NONE)
     if not len(at):
         return least
-    wide = np.r_[raw, np.zeros(8, dtype=np.uint8)]
-    eight = np.zeros(len(raw), dtype=np.uint64)
-    for k in range(8):
-        eight |= wide[k : k + len(raw)].astype(np.uint64) << np.uint64(8 * k)
+    wide = np.lib.stride_tricks.sliding_window_view(np.r_[raw, np.zeros(7, dtype=np.uint8)], 8)
+    eight = np.ascontiguousarray(wide).view("<u8").ravel()
     same = np.ones(len(at) - 1, dtype=bool)
     for k in (*range(0, LENGTH - 8, 8), LENGTH - 8):
         part = eight[at + k]
