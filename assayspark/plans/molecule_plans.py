@@ -250,8 +250,11 @@ WHERE len(list_intersect(a.bits, b.bits))::DOUBLE / len(list_distinct(list_conca
 
 @query(_PAIRS_SQL)
 def tanimoto_pairs(t: Tables) -> DataFrame:
-    fps = t.embeddings.select(F.col("vec_id").alias("id"), Y.on_bits(F.col("embedding"), 0.05).alias("bits"))
-    return Y.similar_pairs(fps, 0.4)
+    return Y.similar_pairs(_fingerprints(t), 0.4)
+
+
+def _fingerprints(t: Tables) -> DataFrame:
+    return t.embeddings.select(F.col("vec_id").alias("id"), Y.on_bits(F.col("embedding"), 0.05).alias("bits"), (F.col("vec_id") % 50 + 1).cast("double").alias("activity"))
 
 
 @query(f"""
@@ -259,8 +262,7 @@ SELECT p.a, p.b, tanimoto, greatest(x.v, y.v) / least(x.v, y.v) AS fold FROM ({_
 JOIN (SELECT vec_id, (vec_id % 50 + 1)::DOUBLE AS v FROM embeddings) x ON x.vec_id = p.a JOIN (SELECT vec_id, (vec_id % 50 + 1)::DOUBLE AS v FROM embeddings) y ON y.vec_id = p.b
 WHERE greatest(x.v, y.v) / least(x.v, y.v) >= 5""")
 def similarity_cliffs(t: Tables) -> DataFrame:
-    activity = t.embeddings.select(F.col("vec_id").alias("id"), (F.col("vec_id") % 50 + 1).cast("double").alias("activity"))
-    return Y.cliffs(tanimoto_pairs(t), activity)
+    return Y.cliffs(_fingerprints(t), 0.4)
 
 
 @query("""
