@@ -201,3 +201,15 @@ def test_agent_events(spark):
 def test_safe_ids(spark):
     ids = spark.createDataFrame([("doc_1.v2-a",), ("a..b",), ("../x",), ("a/b",), (".hid",), ("",), (None,)], "doc_id string")
     assert [r.ok for r in ids.select(files.safe_id(F.col("doc_id")).alias("ok")).collect()] == [True] + [False] * 6
+
+
+def test_activities_of_a_table_for_each_brand(spark, sf_dir):
+    from assayspark.plans import chain_plans, registry  # noqa: F401
+
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").orderBy("p_partkey").collect()
+    place, want = {}, []
+    for r in parts:
+        place[r.p_brand] = place.get(r.p_brand, 1) + 1  # the header is row 1
+        want.append((r.p_brand, r.p_partkey, place[r.p_brand], 1))
+    got = registry.QUERIES["activity_extraction"](spark, sf_dir).collect()
+    assert sorted((r.doc_id, r.rec_id, r.row_idx, r.col_idx) for r in got) == sorted(want)
