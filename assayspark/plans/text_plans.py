@@ -214,8 +214,7 @@ r AS (SELECT doc_id, line_no, tokens, 0 AS chunk, tokens AS used FROM l WHERE li
   FROM r JOIN l ON l.doc_id = r.doc_id AND l.line_no = r.line_no + 1)
 SELECT doc_id, line_no::INT AS seg_no, tokens, chunk FROM r""")
 def packed_token_chunks(t: Tables) -> DataFrame:
-    rows = X.lines(t.documents).select("doc_id", F.col("line_no").alias("seg_no"), T.tokens_estimate(F.col("line")).alias("tokens"))
-    return X.packed_chunks(rows, 600)
+    return X.packed(t.documents.select("doc_id", F.transform(T.lines_of(F.col("text")), T.tokens_estimate).alias("tokens")), 600)
 
 
 #: The end of a chunk that starts after ``s`` characters, by the last of a mark in its second half.
@@ -232,5 +231,4 @@ WITH RECURSIVE r AS (
 SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1)::INT AS chunk_no, chunk
 FROM (SELECT doc_id, s, trim(text[s + 1:e], ' ' || chr(9) || chr(10) || chr(13)) AS chunk FROM r) WHERE chunk <> ''""")
 def character_chunks(t: Tables) -> DataFrame:
-    c = X.character_chunks(F.col("text"), F.lit(512), F.lit(128))
-    return t.documents.select("doc_id", F.posexplode(c).alias("chunk_no", "chunk"))
+    return X.chunk_rows(t.documents, 512, 128)

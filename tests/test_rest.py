@@ -213,3 +213,16 @@ def test_activities_of_a_table_for_each_brand(spark, sf_dir):
         want.append((r.p_brand, r.p_partkey, place[r.p_brand], 1))
     got = registry.QUERIES["activity_extraction"](spark, sf_dir).collect()
     assert sorted((r.doc_id, r.rec_id, r.row_idx, r.col_idx) for r in got) == sorted(want)
+
+
+def test_chunks_of_a_batch_are_handed_on_in_parts(spark, sf_dir, monkeypatch):
+    from assayspark.plans import registry, text_plans  # noqa: F401
+
+    texts = [(k, None if k % 7 == 3 else " " * (k % 5) + "word and another。 line\n" * (k % 40)) for k in range(900)]
+    df = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)
+    want = sorted(map(tuple, df.select("doc_id", F.posexplode(X.character_chunks(F.col("text"), F.lit(100), F.lit(30))).alias("n", "c")).collect()))
+    for held in (1, 500, 1 << 20):
+        monkeypatch.setattr(X, "HANDED", held)
+        assert sorted(map(tuple, X.chunk_rows(df, 100, 30).collect())) == want and len(want) > 3000
+    plan = registry.QUERIES["character_chunks"](spark, sf_dir)._jdf.queryExecution().toString()
+    assert "ArrowEvalPython" not in plan  # which holds the chunks of a whole batch

@@ -75,3 +75,26 @@ def test_small_rules(spark):
     assert values(spark, ["**OC(=O)", ""], T.safe_identifier(F.col("text"))) == ["__OC__O_", "Unnamed"]
     assert values(spark, ["| a | b |"], T.cells(F.col("text"))) == [["a", "b"]]
     assert [len(x) for x in values(spark, ["```json\n[{\"a\":1}]\n```", "bad", "{\"a\":1}"], T.json_array(F.col("text"), "array<struct<a:int>>"))] == [1, 0, 0]
+
+
+def test_packed_documents_need_no_shuffle(spark, sf_dir):
+    import random
+
+    from assayspark.plans import registry, text_plans  # noqa: F401
+
+    rng = random.Random(6)
+    docs = [(d, [rng.choice([0, 0, 1, 5, 9]) for _ in range(rng.randrange(12))]) for d in range(1300)] + [(1300, None), (1301, [])]
+    df = spark.createDataFrame(docs, "doc_id long, tokens array<long>").coalesce(1)
+    want = []
+    for d, tokens in docs:
+        chunk, used = 0, 0
+        for k, n in enumerate(tokens or []):
+            if used and used + n > 8:
+                chunk, used = chunk + 1, 0
+            used += n
+            want.append((d, k, n, chunk))
+    got = sorted(map(tuple, X.packed(df, 8).collect()))
+    rows = df.select("doc_id", F.posexplode("tokens").alias("seg_no", "tokens"))
+    assert got == sorted(want) == sorted(map(tuple, X.packed_chunks(rows, 8).collect()))
+    plan = registry.QUERIES["packed_token_chunks"](spark, sf_dir)._jdf.queryExecution().toString()
+    assert "Exchange" not in plan and "InPandas" not in plan
