@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from assayspark.functions import chem
 from assayspark.operators.evidence import EVIDENCE, MOLECULE, rejection, shaped
 from assayspark.operators.matching import linked_activities
+from assayspark.scratch import kept
 from assayspark.sources.library import Transaction
 
 #: Detections that are listed with a molecule; all are counted.
@@ -49,14 +50,14 @@ def persist(tx: Transaction, molecules: DataFrame, records: DataFrame | None = N
     (but text evidence) replace their earlier ones.
     """
     good = molecules.where("status != 'rejected' AND canonical_smiles IS NOT NULL AND canonical_smiles != ''").withColumn("d", F.get("detections", F.lit(0)))
-    kept = good.select("doc_id", "position", "canonical_smiles", "esmiles", "name", F.col("d.page").alias("page"), F.col("d.confidence").alias("confidence"))
+    stored = good.select("doc_id", "position", "canonical_smiles", "esmiles", "name", F.col("d.page").alias("page"), F.col("d.confidence").alias("confidence"))
     ids = molecules.select("doc_id").distinct()
     if tx.exists("molecule_detections"):
         tx.delete("molecule_detections", ids)
     if tx.exists("evidence"):
         tx.delete("evidence", ids.withColumn("kind", F.explode(F.array(*map(F.lit, ("figure", "table", "table_row"))))))
     head = F.col("mol_id").alias("canonical_smiles")
-    found = tx.append("molecule_detections", kept.select(F.col("canonical_smiles").alias("mol_id"), "doc_id", F.col("position").cast("long"), F.col("page").cast("int"), "confidence", "esmiles", "name"))
+    found = tx.append("molecule_detections", stored.select(F.col("canonical_smiles").alias("mol_id"), "doc_id", F.col("position").cast("long"), F.col("page").cast("int"), "confidence", "esmiles", "name"))
     rows = shaped(found.select(head, "mol_id", "doc_id", "page", F.lit("detected").alias("role"), F.lit("figure").alias("kind"), "confidence", F.lit("image").alias("source_type")), EVIDENCE)
     new = found.groupBy("mol_id").agg(F.min_by(F.struct("esmiles", "name"), F.struct("doc_id", "position")).alias("m")).select(
         "mol_id", F.col("mol_id").alias("smiles"), "m.esmiles", F.coalesce("m.name", F.lit("")).alias("name"), F.lit("image").alias("source_type"), F.lit("pending").alias("status"), head
@@ -69,7 +70,7 @@ def persist(tx: Transaction, molecules: DataFrame, records: DataFrame | None = N
     if records is not None:
         c = found.select("doc_id", F.col("position").alias("cand_id"), "name", F.col("mol_id").alias("canonical"), "esmiles", "page")
         linked = linked_activities(c, records).withColumnRenamed("cand_id", "position").join(found.select("doc_id", "position", "mol_id"), ["doc_id", "position"])
-        linked = linked.join(records, ["doc_id", "rec_id"])
+        linked = kept(linked.join(records, ["doc_id", "rec_id"]), "linked")  # evidence and molecules both take from it
         at_row = lambda c: F.when(F.col("kind") == "table_row", F.col(c)).alias(c)
         activities = linked.select(
             head, "mol_id", "doc_id", F.col("page_num").alias("page"), F.lit("activity_data").alias("role"), "kind", "confidence", F.lit("llm_extraction").alias("source_type"),

@@ -86,3 +86,24 @@ def test_persisted_with_activities_and_again(spark, tmp_path):
         assert lib.read("evidence").where("kind = 'text'").count() == 1 and lib.read("molecule_detections").count() == 4
     lib.run(lambda tx: C.persist(tx, molecules.where("doc_id = 2"), None))
     assert lib.read("evidence").where("doc_id = 2").count() == 1 and lib.read("molecules").where("mol_id = 'CCO'").first()["activity"] == 99.0
+
+
+def test_activities_are_linked_once(spark, tmp_path, monkeypatch):
+    runs = spark.sparkContext.accumulator(0)
+    plain = C.linked_activities
+
+    def counted(c, r):
+        def seen(batches):
+            runs.add(1)
+            yield from batches
+
+        out = plain(c, r).coalesce(1)
+        return out.mapInArrow(seen, out.schema)
+
+    monkeypatch.setattr(C, "linked_activities", counted)
+    c = spark.createDataFrame([(1, 1, "CCO", "m", "a", 0.5, 1, True, "CCO")], "doc_id long, ord int, esmiles string, name string, source string, confidence double, page int, valid boolean, canonical string")
+    r = spark.createDataFrame([(1, 9, 0, 1, 1, "M", None, 1, 0.5, 2.0, "IC50", "nM", "m 2")], "doc_id long, rec_id long, table_idx int, row_idx int, col_idx int, row_label string, row_smiles string, page_num int, confidence double, value double, activity_type string, unit string, raw_text string")
+    library = Library(spark, f"file://{tmp_path}/once")
+    library.run(lambda tx: C.persist(tx, C.normalised(c), r))
+    assert library.read("evidence").where("kind = 'table_row'").count() == 1 and library.read("molecules").first().activity == 2.0
+    assert runs.value == 1
