@@ -1,7 +1,7 @@
 """A positional index and searches over it: phrases, prefixes, first words, nearness, and, or, not.
 
-The index has a row for each word, key and column with the word's places. It is written in segments, each the texts of one task sorted
-by word, with no shuffle of words: a search reads from each segment only the row groups that can hold its words or prefixes, and a word that a
+The index has a row for each word, key and column with the word's places. It is written in segments, each the texts of one task in runs
+sorted by word, with no shuffle of words: a search reads from each segment only the row groups that can hold its words or prefixes, and a word that a
 third of all texts have lies in as many segments as texts do. Places are written delta-packed. A search is one scan and one shuffle by
 key: the rows of its words come together for each text, and phrases, nearness and the rest are evaluated on their lists of places.
 
@@ -20,6 +20,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,14 +47,14 @@ def words(text: str | None) -> list[str]:
     return _PLAIN_WORD.findall(low) if low.isascii() else _WORD.findall(low.translate(_folding()))
 
 
-#: Rows of an index that a task hands on at a time.
-HANDED = 100_000
+#: Rows of an index that a task makes at a time, that it sorts at a time, and of a file's row group.
+HANDED, RUN, GROUP = 100_000, 1_000_000, 50_000
 
 
 def positional_index(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     """``word``, key, ``column``, ``places`` (from 0, rising): a row for each word of each text. A null key has none.
 
-    The words of a text come together in the task that reads it, text by text, so none is shuffled. Of rows with one key the words
+    The words of a text come together in the task that reads it, so none is shuffled; rows are handed on in runs of about RUN rows, each sorted by word and key. Of rows with one key the words
     come in rows of their own, so keys should be unique.
     """
     kind = df.schema[key].dataType.simpleString()
@@ -73,6 +74,15 @@ def positional_index(df: DataFrame, key: str, columns: Sequence[str]) -> DataFra
                 part.clear()
             return out
 
+        made: list[pa.RecordBatch] = []
+
+        def run() -> Iterator[pa.RecordBatch]:
+            whole = pa.Table.from_batches(made).combine_chunks()
+            made.clear()
+            order = pc.sort_indices(whole, sort_keys=[("word", "ascending"), (key, "ascending")])
+            for first in range(0, len(order), HANDED):
+                yield from whole.take(order.slice(first, HANDED)).combine_chunks().to_batches()
+
         for b in batches:
             for row in range(b.num_rows):
                 own = b.column(0)[row].as_py()
@@ -88,17 +98,24 @@ def positional_index(df: DataFrame, key: str, columns: Sequence[str]) -> DataFra
                     owners.append((own, len(places)))
                     names.append((n, len(places)))
                 if len(found) >= HANDED:
-                    yield handed(b.schema.field(0).type)
+                    made.append(handed(b.schema.field(0).type))
+                    if sum(m.num_rows for m in made) >= RUN:
+                        yield from run()
             if found:
-                yield handed(b.schema.field(0).type)
+                made.append(handed(b.schema.field(0).type))
+        if made:
+            yield from run()
 
     texts = df.where(F.col(key).isNotNull()).select(key, *(F.col(c).alias(f"_{n}") for n, c in enumerate(columns)))
     return texts.mapInArrow(grouped, f"word string, {key} {kind}, column string, places array<int>")
 
 
 def write_index(index: DataFrame, key: str, path: str) -> None:
-    """Write an index, a segment for each task; more texts can be appended as more segments."""
-    out = index.sortWithinPartitions("word", key).write.mode("append")
+    """Write an index, a segment for each task; more texts can be appended as more segments.
+
+    An index comes in sorted runs, each of several row groups with a range of words, so nothing is sorted and spilled here.
+    """
+    out = index.write.mode("append").option("parquet.block.row.count.limit", str(GROUP))
     # Places as differences of a few bits each, words by dictionary.
     out = out.option("parquet.writer.version", "PARQUET_2_0").option("parquet.enable.dictionary#places.list.element", "false")
     out.option("compression", "zstd").parquet(path)

@@ -99,3 +99,19 @@ def test_words_reach_the_scan_and_a_search_shuffles_once(index):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "id long, name string, notes string")
     assert X.search(X.positional_index(df, "id", COLUMNS), "id", X.phrase("red"), COLUMNS).collect() == []
+
+
+def test_index_comes_in_sorted_runs(spark, tmp_path, monkeypatch):
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr(X, "HANDED", 50)
+    monkeypatch.setattr(X, "RUN", 300)
+    monkeypatch.setattr(X, "GROUP", 100)
+    df = spark.createDataFrame([(k, f"w{k % 7} w{k % 11} w{k % 13} w1") for k in range(400)], "id long, t string").coalesce(1)
+    made = X.positional_index(df, "id", ["t"])
+    X.write_index(made, "id", f"file://{tmp_path}/i")
+    (file,) = tmp_path.glob("i/*.parquet")
+    got = pq.ParquetFile(file)
+    words = [(r["word"], r["id"]) for r in got.read(columns=["word", "id"]).to_pylist()]
+    assert got.num_row_groups >= len(words) // 100 and sum(a > b for a, b in zip(words, words[1:], strict=False)) <= len(words) // 300
+    assert sorted(words) == sorted({(w, k) for k in range(400) for w in (f"w{k % 7}", f"w{k % 11}", f"w{k % 13}", "w1")})
