@@ -42,6 +42,8 @@ class Stage:
     name: str
     make: Callable[[Callable[[str], DataFrame]], DataFrame]
     recoverable: tuple[str, ...] = ()
+    #: Paths of columns whose values hardly repeat, so that a dictionary of them is made in vain.
+    plain: tuple[str, ...] = ()
 
 
 def result(df: DataFrame, code: Column | None = None, message: Column | None = None, **made: Column) -> DataFrame:
@@ -55,12 +57,14 @@ def result(df: DataFrame, code: Column | None = None, message: Column | None = N
 
 def pages_of(text: Column) -> Column:
     """The pages of a text, parted by form feeds: ``page_num`` from 1, ``text``, ``needs_ocr``."""
-    page = lambda x, i: F.struct((i + 1).alias("page_num"), x.alias("text"), (F.length(T.strip(x)) <= NATIVE_CHARS).alias("needs_ocr"))
+    # At most so many characters are left of a page without outer white space if nothing but that follows them.
+    short = lambda x: T.blank(F.substring(F.ltrim(x, F.lit(T.BLANK)), NATIVE_CHARS + 1, 1 << 30))
+    page = lambda x, i: F.struct((i + 1).alias("page_num"), x.alias("text"), short(x).alias("needs_ocr"))
     return F.transform(F.split(text, "\f", -1), page)
 
 
 def _extract(have: Callable[[str], DataFrame]) -> DataFrame:
-    bad = F.coalesce(T.strip(F.col("text")) == "", F.lit(True))
+    bad = F.coalesce(T.blank(F.col("text")), F.lit(True))
     return result(have("source"), F.when(bad, "PDF_PARSE_ERROR"), F.when(bad, "no text"), pages=F.when(~bad, pages_of(F.col("text"))))
 
 
@@ -76,10 +80,10 @@ def _markdown(have: Callable[[str], DataFrame]) -> DataFrame:
 
 def _reorganize(have: Callable[[str], DataFrame]) -> DataFrame:
     """The rules' text; where it has lost too much, the rough one and a warning."""
-    # Generators keep the text and the verdict from being computed for every use.
+    # A generator keeps the text from being computed for every use.
     both = have("markdown").select(*HEAD, "markdown", F.explode(F.array(T.reorganised(F.col("markdown")))).alias("fine"))
     bad = F.coalesce(T.degenerate(F.col("fine"), F.col("markdown")) | T.collapsed(F.col("fine"), F.col("markdown")), F.lit(False))
-    both = both.select("*", F.explode(F.array(bad)).alias("bad"))
+    both = both.withColumn("bad", bad)
     return result(both, F.when(F.col("bad"), "LLM_REORGANIZE_FAILED"), F.when(F.col("bad"), "rough text kept"), text=F.when(F.col("bad"), F.col("markdown")).otherwise(F.col("fine")))
 
 
@@ -105,12 +109,12 @@ def _persist(have: Callable[[str], DataFrame]) -> DataFrame:
 
 
 STAGES = (
-    Stage("extract", _extract),
+    Stage("extract", _extract, plain=("pages.list.element.text",)),
     Stage("density", _density),
-    Stage("markdown", _markdown),
-    Stage("reorganize", _reorganize, ("LLM_REORGANIZE_FAILED",)),
+    Stage("markdown", _markdown, plain=("markdown",)),
+    Stage("reorganize", _reorganize, ("LLM_REORGANIZE_FAILED",), ("text",)),
     Stage("activity", _activity, ("ACTIVITY_EXTRACTION_FAILED",)),
-    Stage("index", _index, ("INDEX_FAILED",)),
+    Stage("index", _index, ("INDEX_FAILED",), ("tokens.list.element", "title")),
     Stage("persist", _persist),
 )
 
@@ -147,34 +151,46 @@ def todo(library: Library, docs: DataFrame, n_stages: int) -> DataFrame:
     return rest.select("doc_id", "digest", "copies", F.when(same, F.col("place") + 1).otherwise(0).alias("start"), (F.coalesce("attempt", F.lit(0)) + 1).alias("attempt"))
 
 
+def first_ids(docs: DataFrame) -> tuple[int, int]:
+    """The number of ids, and of the rows of the one that stands most often; texts aren't read."""
+    ids = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("copies"))
+    return tuple(ids.agg(F.count("*"), F.coalesce(F.max("copies"), F.lit(0))).first())
+
+
 def run(library: Library, docs: DataFrame, stages: Sequence[Stage] = STAGES) -> Report:
     """Bring every document of ``docs`` (``doc_id``, ``text``) through the stages; see the module's text.
 
     Of rows with one id the one with the least digest is taken; rows without id are left out.
     """
     spark, run_id = library.spark, uuid.uuid4().hex
-    tasks = kept(todo(library, docs, len(stages)), "ingest-todo")
-    groups = tasks.groupBy("start").agg(F.count("*").alias("n"), F.max("copies").alias("copies")).collect()
-    starts = {r["start"]: r["n"] for r in groups}
+    base = library.manifest()
+    whole = STATE not in base.tables
+    n, copies = first_ids(docs) if whole else (0, 0)
+    starts, repeated, tasks = {0: n} if n else {}, copies > 1, None
+    if repeated or not whole:  # else all documents are taken, each from its one row, and no digest tells more
+        tasks = kept(todo(library, docs, len(stages)), "ingest-todo")
+        groups = tasks.groupBy("start").agg(F.count("*").alias("n"), F.max("copies").alias("copies")).collect()
+        starts, repeated = {r["start"]: r["n"] for r in groups}, any(r["copies"] > 1 for r in groups)
     if not starts:
         return Report(0, 0, 0, 0, ())
-    base = library.manifest()
-    whole, repeated = STATE not in base.tables, any(r["copies"] > 1 for r in groups)
     places = {s.name: k for k, s in enumerate(stages)}
     written: dict[str, DataFrame] = {}
     failed: list[DataFrame] = []
     counts = {"success": 0, "warning": 0, "error": 0}
     ran = []
 
+    def few(ids: DataFrame, n: int) -> DataFrame:
+        return F.broadcast(ids) if n <= FEW_IDS else ids  # counted, so texts needn't move to meet a few ids
+
     def alive(df: DataFrame) -> DataFrame:
         return reduce(lambda a, f: a.join(f, "doc_id", "left_anti"), failed, df)
 
     def source() -> DataFrame:
-        text = docs.where("doc_id IS NOT NULL").select("doc_id", "text").withColumn("digest", digest(F.col("text")))
-        if repeated or not whole:  # else every row is wanted, and no text has to move
-            text = text.join(tasks.where("start = 0").select(*HEAD), HEAD[:2])
-        else:
-            text = text.withColumn("attempt", F.lit(1))
+        text = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
+        if tasks is None:  # every row is wanted, and no text has to move
+            return text.withColumn("digest", digest(F.col("text"))).withColumn("attempt", F.lit(1))
+        wanted = few(tasks.where("start = 0").select("doc_id", F.col("digest").alias("_chosen"), "attempt"), starts.get(0, 0))
+        text = text.join(wanted, "doc_id").withColumn("digest", digest(F.col("text"))).where("digest = _chosen").drop("_chosen")
         return text.dropDuplicates(HEAD) if repeated else text
 
     def reader(place: int) -> Callable[[str], DataFrame]:
@@ -185,7 +201,7 @@ def run(library: Library, docs: DataFrame, stages: Sequence[Stage] = STAGES) ->
             again = [k for k in starts if places[name] < k <= place]
             if again:
                 ids = tasks.where(F.col("start").isin(again)).select("doc_id", "attempt")
-                parts.append(alive(library.read(name, base).drop("attempt").join(ids, "doc_id")))
+                parts.append(alive(library.read(name, base).drop("attempt").join(few(ids, sum(starts[k] for k in again)), "doc_id")))
             return reduce(DataFrame.unionByName, parts)
 
         return have
@@ -198,7 +214,7 @@ def run(library: Library, docs: DataFrame, stages: Sequence[Stage] = STAGES) ->
         told: list[DataFrame] = []
 
         def change(tx: Transaction, stage: Stage = stage, place: int = place, known: tuple = known, told: list = told) -> None:
-            rows = tx.replace(stage.name, stage.make(reader(place)), ["doc_id"])
+            rows = tx.replace(stage.name, stage.make(reader(place)), ["doc_id"], stage.plain)
             event = F.when(F.col("code").isNull(), "success").when(F.col("code").isin(*known), "warning").otherwise("error") if known else F.when(F.col("code").isNull(), "success").otherwise("error")
             events = rows.select(*HEAD, "code", "message", event.alias("event"))
             end = F.when(F.col("event") == "error", "failed").when(F.lit(place == len(stages) - 1), "done").otherwise("running")
@@ -215,6 +231,6 @@ def run(library: Library, docs: DataFrame, stages: Sequence[Stage] = STAGES) ->
             counts[r["event"]] += r["n"]
             if r["event"] == "error":
                 ids = kept(events.where("event = 'error'").select("doc_id"), "ingest-failed")
-                failed.append(F.broadcast(ids) if r["n"] <= FEW_IDS else ids)  # counted, so texts needn't move to meet a few ids
+                failed.append(few(ids, r["n"]))
     taken = sum(starts.values())
     return Report(taken, taken - counts["error"], counts["error"], counts["warning"], tuple(ran))

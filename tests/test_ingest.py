@@ -101,3 +101,33 @@ def test_a_run_that_is_broken_off_goes_on_where_each_document_stopped(spark, lib
 def test_empty_table(spark, lib):
     assert ingest.run(lib, table(spark, [])) == ingest.Report(0, 0, 0, 0, ())
     assert lib.version() == 0
+
+
+def test_a_first_run_reads_no_text_to_choose_among_ids_that_stand_once(spark, lib, monkeypatch):
+    def todo(*_):
+        raise AssertionError("all documents are taken, so none has to be compared")
+
+    monkeypatch.setattr(ingest, "todo", todo)
+    assert ingest.run(lib, table(spark, [(1, SAMPLE), (2, None), (None, SAMPLE)])).taken == 2
+    assert {r["doc_id"]: r["attempt"] for r in lib.read(ingest.STATE).collect()} == {1: 1, 2: 1}
+
+
+def test_texts_do_not_move_to_meet_a_few_ids(spark, lib):
+    plans = []
+
+    def extract(have):
+        plans.append(have("source")._jdf.queryExecution().executedPlan().toString())
+        return ingest.STAGES[0].make(have)
+
+    stages = [ingest.Stage("extract", extract), *ingest.STAGES[1:]]
+    rows = [(k, SAMPLE) for k in range(20)]
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if the table of ids were too large to be sent unasked
+    try:
+        ingest.run(lib, table(spark, rows), stages)
+        report = ingest.run(lib, table(spark, [(3, f"{SAMPLE}\f{LONG}three."), *(r for r in rows if r[0] != 3)]), stages)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert report.taken == 1 and len(plans) == 2
+    assert "BroadcastHashJoin" in plans[1] and "hashpartitioning" not in plans[1]
+    assert {r["doc_id"]: r["n_pages"] for r in lib.read("persist").collect()} == {k: 3 if k == 3 else 2 for k in range(20)}

@@ -98,3 +98,14 @@ def test_packed_documents_need_no_shuffle(spark, sf_dir):
     assert got == sorted(want) == sorted(map(tuple, X.packed_chunks(rows, 8).collect()))
     plan = registry.QUERIES["packed_token_chunks"](spark, sf_dir)._jdf.queryExecution().toString()
     assert "Exchange" not in plan and "InPandas" not in plan
+
+
+def test_repetitive_is_what_the_ratio_says(spark):
+    blanks = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+    natural = " ".join(f"word{k * k % 997} stands{blanks[k % len(blanks)]}" for k in range(200))
+    texts = [natural, natural * 9, "abcd " * 300, "中文é" * 200, natural[:600] + "ab" * 4000, "ab" * 4000 + natural, blanks * 40, "x" * 199, "x" * 200, "", None]
+    texts += [natural[:n] + "y" * 1000 for n in range(150, 1150, 25)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = df.select(T.repetitive(F.col("text"), F.lit(0.25)), F.coalesce(T.shingle_ratio(F.col("text")) < 0.25, F.lit(False))).collect()
+    assert [r[0] for r in got] == [r[1] for r in got]
+    assert {r[0] for r in got[-40:]} == {True, False}  # on both sides of the limit
